@@ -28,10 +28,36 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*first, F.round("posterior", 6).alias("posterior"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to dictionary-compressed archives and read back."""
+    from .warc import read_archives, write_archives
+
+    return read_archives(write_archives(_read(spark, sf_dir, "pages")))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces, packed into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of eight, by bytes, copies together."""
+    from .sharding import shard
+
+    return shard(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op4_quality_rules": op4_quality_rules,
+        "op6_warc": op6_warc,
+        "op7_best_fit_packing": op7_best_fit_packing,
+        "op10_sharding": op10_sharding,
     }
 
 
