@@ -28,6 +28,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*first, F.round("posterior", 6).alias("posterior"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data."""
+    from .pii import find_pii
+
+    return find_pii(_read(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to dictionary-compressed archives and read back."""
     from .warc import read_archives, write_archives
@@ -44,6 +51,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets, with how many look live and how many are examples."""
+    from .secrets import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of eight, by bytes, copies together."""
     from .sharding import shard
@@ -55,8 +69,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op4_quality_rules": op4_quality_rules,
+        "op5_pii": op5_pii,
         "op6_warc": op6_warc,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op9_secret_scans": op9_secret_scans,
         "op10_sharding": op10_sharding,
     }
 
