@@ -51,6 +51,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's calibrated probability of good quality."""
+    from .quality_model import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets, with how many look live and how many are examples."""
     from .secrets import scan
@@ -72,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": op5_pii,
         "op6_warc": op6_warc,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_secret_scans": op9_secret_scans,
         "op10_sharding": op10_sharding,
     }

@@ -100,12 +100,17 @@ class Shingler:
         n = len(data)
         if not n:
             return np.empty(0, U64), np.zeros(len(offsets), np.int64)
-        self._grow(n)
         starts, ends = self.spans(data, offsets)
+        return self.hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of each span of bytes."""
+        n = len(data)
+        self._grow(n)
         total = np.zeros(n + 1, U64)
         np.cumsum(self.value[data] * self.powers[:n], out=total[1:])
         found = (total[ends] - total[starts]) * self.inverse[starts]
-        return mix(found + (ends - starts).astype(U64)), np.searchsorted(starts, offsets)
+        return mix(found + (ends - starts).astype(U64))
 
     def shingles(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all shingles in order (repeats included), and offsets into them for each row."""
