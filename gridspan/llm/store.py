@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text in an Arrow batch at most; Spark also holds a batch to the bytes below.
-BATCH_ROWS, BATCH_BYTES = 1000, "16m"
+BATCH_ROWS, BATCH_BYTES = 10_000, "8m"
 
 
 def small_batches(spark: SparkSession) -> None:
