@@ -439,3 +439,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     return measured.join(final, ["p1", "p2"], "left").select(
         null(F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("c", "k")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
+    """`docs`, all columns, with one document of each near-duplicate group: that of the smallest doc_id, once."""
+    groups = stash(near_duplicates(docs, percent, k), "near-duplicates")
+    counted = groups.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if counted.filter("n > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id"])
+    dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped"))
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
