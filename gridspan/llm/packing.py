@@ -78,9 +78,9 @@ class WordTokens:
         self.new.update(again)
         missing = [w for w in missing if w not in again]
         # A comma or full stop after an ASCII letter is a token of its own.
-        tails = [w for w in missing if w[-1] in b".," and len(w) > 1 and (97 <= w[-2] <= 122 or 65 <= w[-2] <= 90)]
+        tails = {w for w in missing if w[-1] in b".," and len(w) > 1 and (97 <= w[-2] <= 122 or 65 <= w[-2] <= 90)}
         stems = {w[:-1] for w in tails} | {w[-1:] for w in tails}
-        plain = {w for w in missing if w not in set(tails)} | {s for s in stems if s not in self.new}
+        plain = {w for w in missing if w not in tails} | {s for s in stems if s not in self.new}
         self.new.update(self._encode(sorted(plain)))
         for w in tails:
             self.new[w] = self.new[w[:-1]] + self.new[w[-1:]]
