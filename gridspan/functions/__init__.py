@@ -1 +1 @@
-"""."""
+"""Column functions: array semantics as Spark expressions."""
