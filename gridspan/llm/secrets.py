@@ -94,7 +94,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     rows = candidates(docs, owner, repository)
     base = F.filter("found", lambda x: x["kind"] < len(BASE))
     plain = F.array_sort(F.transform(base, lambda x: F.struct(x["start"], x["kind"], x["end"])))
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
+    of_kind = lambda k: F.filter("found", lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
     bases = rows.select("row", "doc_id", *counts, plain.alias("base"))
     held = rows.select("row", "owner", "repository", F.explode("found").alias("x")).select(
         "row", "owner", "repository", "x.start", "x.kind", "x.end", F.xxhash64("x.value").alias("h1"), F.xxhash64(F.lit("second"), "x.value").alias("h2")
