@@ -634,8 +634,8 @@ def _special(f):
             return pd.Series(f(x.to_numpy(float)))
 
     def apply(x: ColumnOrValue) -> Column:
-        # NULL goes in as NaN and comes out as NULL.
-        return F.when(double(x).isNotNull(), F.pandas_udf(run, "double")(F.coalesce(double(x), F.lit(NAN))))
+        # Arrow turns pandas' NaN into NULL; NULL goes in as NaN and comes out as NULL.
+        return F.when(double(x).isNotNull(), F.coalesce(F.pandas_udf(run, "double")(F.coalesce(double(x), F.lit(NAN))), F.lit(NAN)))
 
     return apply
 
@@ -699,4 +699,4 @@ def nextafter(a: ColumnOrValue, b: ColumnOrValue) -> Column:
 
     a, b = double(a), double(b)
     none = F.lit(NAN)
-    return F.when(a.isNotNull() & b.isNotNull(), F.pandas_udf(run, "double")(F.coalesce(a, none), F.coalesce(b, none)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.pandas_udf(run, "double")(F.coalesce(a, none), F.coalesce(b, none)), none))

@@ -46,8 +46,10 @@ def negative_zero_sign(x: Column) -> Column:
 
 
 def floor_div(a: ColumnOrValue, b: ColumnOrValue) -> Column:
-    """floor(a / b) as a double; of a zero divisor as safe_div."""
-    return floor_double(safe_div(a, b))
+    """floor(a / b) as a double, -1 for a negative quotient too small to tell from 0; of a zero divisor as safe_div."""
+    a, b = double(a), double(b)
+    found = floor_double(safe_div(a, b))
+    return F.when((found == 0) & (a != 0) & ((a < 0) != (b < 0)), -1.0).otherwise(found)
 
 
 def floor_double(x: Column) -> Column:
