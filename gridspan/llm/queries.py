@@ -102,4 +102,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracle
+
+    return {"op2_benchmark_decontamination": oracle.OP2, "op3_ngram_jaccard_join": oracle.OP3, "op9_secret_scans": oracle.op9()}
