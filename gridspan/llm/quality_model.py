@@ -188,7 +188,7 @@ class Network:
 def _judge(network: Network):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(batch.num_rows, -1)
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(batch.num_rows, 2 * WIDTH + 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.score(x.astype(float)), pa.float64())], ["doc_id", "score"])
 
     return run
@@ -214,7 +214,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
     taught = pooled.filter(~held_out()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "pooled").limit(train_rows).collect()
     taught.sort(key=lambda r: (r.doc_id, bytes(r.pooled)))
-    x = np.frombuffer(b"".join(bytes(r.pooled) for r in taught), np.float32).reshape(len(taught), -1).astype(float)
+    x = np.frombuffer(b"".join(bytes(r.pooled) for r in taught), np.float32).reshape(len(taught), 2 * WIDTH + 2).astype(float)
     network = Network().fit(x, np.array([r.y for r in taught], float))
     scored = pooled.mapInArrow(_judge(network), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
