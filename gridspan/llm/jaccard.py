@@ -5,11 +5,13 @@ The join is exact. Four steps:
 1. Shingles that occur in many documents are counted over the whole corpus. The
    most frequent of them, a bounded number, get a rank; all others are rare.
 2. Every set is ordered by (rank, hash) and its prefix, the first n - ceil(0.75 n)
-   + 1 shingles, is emitted. Two similar sets share a prefix shingle, whatever
-   the order; rare shingles first keep passages that many documents share out
-   of it. Equal sets, and equal prefix shingles within a task, meet before the
-   shuffle. Sharing a prefix shingle within compatible sizes is a candidate link,
-   and the components of candidate links are the groups that can hold a link.
+   + SHARED shingles, is emitted. Two similar sets share SHARED prefix shingles,
+   whatever the order (sets too small for that share one); rare shingles first
+   keep passages that many documents share out of it. Equal sets meet before the
+   shuffle. Pairs of sets that share a shingle of few sets are counted; SHARED
+   of them are a candidate link. A shingle of more than FEW sets links all its
+   sets of compatible sizes at once, as near copies mostly do. The components of
+   candidate links are the groups that can hold a link.
 3. The texts of a group meet in a task, where signature trees find its links: a
    node holds the OR of its sets' bitmaps and their range of sizes; pairs of
    nodes are traversed together and left when their sizes or the largest
@@ -30,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import Forest, components, shrink
+from .components import Forest, components
 from .store import doc_key, small_batches, stash
 from .text import U64, Shingler, column_bytes, mix, pieces
 
 PERCENT, WORDS = 75, 5
 #: Documents that make a shingle frequent, and frequent shingles that get a rank at most.
 FREQUENT, RANKED = 8, 1 << 20
+#: Prefix shingles that similar sets share at least, sets from which on they do for certain, and sets of a shingle whose pairs are counted.
+SHARED, LARGE, FEW = 5, 20, 16
 #: Bits of a shingle's hash that it is counted by, and counted at a time in a task.
-KEY_BITS, HELD = 40, 4_000_000
+KEY_BITS, HELD = 40, 2_000_000
 #: Sets of a group in a task at most, and rows of a table that is broadcast.
 FILL, BROADCAST_ROWS = 2_000, 500_000
 _NULL = -(1 << 63)
@@ -161,13 +165,13 @@ class Ranks:
 
     def __init__(self, packed: np.ndarray):
         self.keys, self.levels = packed >> U64(8), (packed & U64(255)).astype(np.int64)
-        self.screen = np.zeros(1 << 24, bool)
-        self.screen[(self.keys & U64((1 << 24) - 1)).astype(np.int64)] = True
+        self.screen = np.zeros(1 << 23, bool)
+        self.screen[(self.keys & U64((1 << 23) - 1)).astype(np.int64)] = True
 
     def of(self, found: np.ndarray) -> np.ndarray:
         out = np.zeros(len(found), np.int64)
         keys = found >> U64(64 - KEY_BITS)
-        maybe = np.flatnonzero(self.screen[(keys & U64((1 << 24) - 1)).astype(np.int64)])
+        maybe = np.flatnonzero(self.screen[(keys & U64((1 << 23) - 1)).astype(np.int64)])
         if len(maybe):
             at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
             out[maybe] = np.where(self.keys[at] == keys[maybe], self.levels[at], 0)
@@ -188,10 +192,10 @@ def _measure(k: int):
 
 
 def _prefixes(ranks, percent: int, k: int):
-    """Rows (key, class, a, b): a set a with prefix shingle `key`, or, with class -1, a candidate link of a and b."""
+    """Rows (key, kind, a, b): set a of size class `kind`, standing for b sets, has prefix shingle `key`; of kind -1: a and b are linked."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, rank, done = Shingler(k), Ranks(ranks.value), set()
+        shingler, rank, done = Shingler(k), Ranks(ranks.value), set()  # done: some of the sets seen; more would only spare rows
         held: list[tuple[np.ndarray, int, int]] = []
         size = 0
 
@@ -202,18 +206,21 @@ def _prefixes(ranks, percent: int, k: int):
             owner = np.repeat(np.array([p for _, _, p in held], np.int64), count)
             order = np.lexsort((owner, kind, token))
             token, kind, owner = token[order], kind[order], owner[order]
-            again = np.concatenate([[False], (token[1:] == token[:-1]) & (kind[1:] == kind[:-1])])
-            # The first of each shingle and class goes on; the others are linked to it here.
-            first = np.flatnonzero(~again)
-            hub = owner[first][np.cumsum(~again) - 1]
-            links = np.unique(np.stack([hub[again], owner[again]], axis=1), axis=0)
-            n, m = len(first), len(links)
+            first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])]))
+            n = np.diff(np.append(first, len(token)))
+            # Of a shingle that many sets of a class have here, the first goes on for all.
+            many = np.repeat(n, n) > FEW
+            head = np.zeros(len(token), bool)
+            head[first] = True
+            gone = many & ~head
+            links = np.unique(np.stack([np.repeat(owner[first], n)[gone], owner[gone]], axis=1), axis=0)
+            token, kind, a, b = token[~gone], kind[~gone], owner[~gone], np.where(many, np.repeat(n, n), 1)[~gone]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([token[first], mix(links[:, 1].astype(U64)).astype(np.int64)])),
-                    pa.array(np.concatenate([kind[first], np.full(m, -1)]), pa.int32()),
-                    pa.array(np.concatenate([owner[first], links[:, 0]])),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), links[:, 1]])),
+                    pa.array(np.concatenate([token, mix(links[:, 1].astype(U64)).astype(np.int64)])),
+                    pa.array(np.concatenate([kind, np.full(len(links), -1)]), pa.int32()),
+                    pa.array(np.concatenate([a, links[:, 0]])),
+                    pa.array(np.concatenate([b, links[:, 1]])),
                 ],
                 ["key", "kind", "a", "b"],
             )
@@ -223,13 +230,13 @@ def _prefixes(ranks, percent: int, k: int):
                 n = len(found)
                 if not n or (name := _prints(found)[0]) in done:
                     continue
-                if len(done) < 1_000_000:
+                if len(done) < 100_000:
                     done.add(name)
                 level = rank.of(found)
                 order = np.argsort(level, kind="stable") if level.any() else slice(None)
-                held.append((found[order][: n + percent * n // -100 + 1], n, name))
+                held.append((found[order][: n + percent * n // -100 + SHARED], n, name))
                 size += len(held[-1][0])
-                if size >= HELD // 4:
+                if size >= HELD // 8:
                     yield out()
                     held, size = [], 0
         if held:
@@ -239,22 +246,54 @@ def _prefixes(ranks, percent: int, k: int):
 
 
 def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links of rows in order of key, class and a."""
-    last = None
+    """(a, b, n): pairs that share n prefix shingles, of rows in order of key, kind and a. A link at once counts SHARED."""
+    small = int(size_class(LARGE)) + 1
+    rest = tuple(np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int64))
+
+    def settle(key, kind, a, b) -> list[np.ndarray]:
+        """Of whole keys."""
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(first, len(key)))
+        total = np.repeat(np.add.reduceat(b, first), n)
+        made = []
+        for step in range(1, min(FEW, len(key))):
+            same = (key[step:] == key[:-step]) & (kind[step:] - kind[:-step] <= 1) & (a[step:] != a[:-step])
+            at = np.flatnonzero(same & ((total[step:] <= FEW) | (step == 1)))
+            if not len(at) and not (key[step:] == key[:-step]).any():
+                break
+            weight = np.where((total[at] > FEW) | (kind[at] <= small), SHARED, 1)
+            made.append(np.stack([np.minimum(a[at], a[at + step]), np.maximum(a[at], a[at + step]), weight], axis=1))
+        return made
+
     for batch in batches:
         key, kind, a, b = (np.asarray(c) for c in batch.columns)
-        made = kind < 0
-        links = [np.stack([a[made], b[made]], axis=1)]
-        key, kind, a = key[~made], kind[~made], a[~made]
-        if last is not None:
-            key, kind, a = (np.concatenate([[x], y]) for x, y in zip(last, (key, kind, a), strict=True))
+        link = kind < 0
+        found = [np.stack([np.minimum(a, b)[link], np.maximum(a, b)[link], np.full(link.sum(), SHARED)], axis=1)]
+        key, kind, a, b = (np.concatenate([x, y[~link]]) for x, y in zip(rest, (key, kind, a, b), strict=True))
         if len(key):
-            last = key[-1], kind[-1], a[-1]
-            near = (key[1:] == key[:-1]) & (kind[1:] - kind[:-1] <= 1) & (a[1:] != a[:-1])
-            links.append(np.stack([a[:-1][near], a[1:][near]], axis=1))
-        found = np.unique(np.concatenate(links), axis=0)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            once = np.concatenate([[True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (a[1:] != a[:-1])])
+            b = np.maximum.reduceat(b, np.flatnonzero(once))
+            key, kind, a = key[once], kind[once], a[once]
+            start = np.searchsorted(key == key[-1], True) if key[0] != key[-1] else 0
+            if start:
+                found += settle(key[:start], kind[:start], a[:start], b[:start])
+            rest = key[start:], kind[start:], a[start:], b[start:]
+            if len(rest[0]) > FEW:
+                found += settle(*rest)
+                # What comes yet of this key meets its last set, as one of many.
+                rest = tuple(x[-1:] for x in rest[:3]) + (np.array([FEW + 1]),)
+        yield _pairs(found)
+    if len(rest[0]):
+        yield _pairs(settle(*rest))
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.concatenate([np.empty((0, 3), np.int64), *found])
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])) if len(rows) else np.empty(0, int)
+    n = np.add.reduceat(rows[:, 2], first) if len(rows) else rows[:, 2]
+    return pa.RecordBatch.from_arrays([pa.array(rows[first, 0]), pa.array(rows[first, 1]), pa.array(n, pa.int64())], ["a", "b", "n"])
 
 
 # 3. Links, by signature trees
@@ -421,8 +460,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
 
     ranks = spark.sparkContext.broadcast(frequent_shingles(rows, k))
     prefixes = rows.select("text").mapInArrow(_prefixes(ranks, percent, k), "key long, kind int, a long, b long")
-    candidates = prefixes.repartition("key").sortWithinPartitions("key", "kind", "a").mapInArrow(_links, "a long, b long")
-    near = components(candidates)
+    candidates = prefixes.repartition("key").sortWithinPartitions("key", "kind", "a").mapInArrow(_links, "a long, b long, n long")
+    near = components(candidates.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= SHARED))
     tops = near.select(F.col("root").alias("node"), "root").distinct()
     named = near.unionAll(tops).select(F.col("node").alias("p1"), F.col("root").alias("group"))
     groups = stash(sets.join(named, "p1"), "groups")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at a time. A longer text is handled alone, whole.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)  # odd, so a power of it has an inverse
