@@ -125,9 +125,10 @@ class Generator:
         return F.array(*(sum((float(root[i, j]) * z[j] for j in range(i + 1)), F.lit(float(m))) for i, m in enumerate(mean)))
 
 
-def _drawn(name: str, kind: str = "double", item: bool = True):
+def _drawn(name: str, kind: str = "double"):
     def sample(self: Generator, index, *args):
-        return self._numpy(index, lambda g: getattr(g, name)(*args).item() if hasattr(getattr(g, name)(*args), "item") and item else getattr(g, name)(*args), kind)
+        number = float if kind == "double" else int
+        return self._numpy(index, lambda g: number(getattr(g, name)(*args)), kind)
 
     sample.__name__ = name
     return sample

@@ -108,7 +108,7 @@ SERIES: dict[str, tuple[object, str]] = {
         lambda a: a[:1000].reshape(10, 100) - a[:1000].reshape(10, 100).mean(0),
         f"WITH t AS ({_SERIES}) SELECT i0 // 100 AS i0, i0 % 100 AS i1, round(x - avg(x) OVER (PARTITION BY i0 % 100), 4) AS x FROM t WHERE i0 < 1000",
     ),
-    "stack": (lambda a: G.stack([a, a * 2.0]), f"WITH t AS ({_SERIES}) SELECT r AS i0, i0 AS i1, round(x * (r + 1), 4) AS x FROM t, (VALUES (0), (1)) v(r)"),
+    "stack": (lambda a: G.stack([a, a * 2.0]), f"WITH t AS ({_SERIES}) SELECT CAST(r AS BIGINT) AS i0, i0 AS i1, round(x * (r + 1), 4) AS x FROM t, (VALUES (0), (1)) v(r)"),
     "split": (lambda a: G.array_split(a, 3)[1], f"WITH t AS ({_SERIES}) SELECT i0 - (n // 3 + CASE WHEN n % 3 > 0 THEN 1 ELSE 0 END) AS i0, round(x, 4) AS x FROM t WHERE i0 >= n // 3 + CASE WHEN n % 3 > 0 THEN 1 ELSE 0 END AND i0 < 2 * (n // 3) + least(n % 3, 2)"),
     "pad_edge": (lambda a: a.pad(2, 1, 0, "edge"), f"WITH t AS ({_SERIES}) SELECT i0 + 2 AS i0, round(x, 4) AS x FROM t UNION ALL SELECT r, round(x, 4) FROM t, (VALUES (0), (1)) v(r) WHERE i0 = 0 UNION ALL SELECT n + 2, round(x, 4) FROM t WHERE i0 = n - 1"),
     "pad_wrap": (lambda a: a.pad(2, 0, 0, "wrap"), f"WITH t AS ({_SERIES}) SELECT i0 + 2 AS i0, round(x, 4) AS x FROM t UNION ALL SELECT i0 - n + 2, round(x, 4) FROM t WHERE i0 >= n - 2"),
@@ -118,7 +118,7 @@ SERIES: dict[str, tuple[object, str]] = {
         f"WITH t AS ({_SERIES}) SELECT i0 + j AS i0, round(sum(x * w), 4) AS x FROM t, (VALUES (0, 0.25), (1, 0.5), (2, 0.25)) k(j, w) GROUP BY 1",
     ),
     "correlate": (lambda a: FT.correlate(a, [1.0, -1.0], "full"), f"WITH t AS ({_SERIES}) SELECT i0 + j AS i0, round(sum(x * w), 4) AS x FROM t, (VALUES (0, -1.0), (1, 1.0)) k(j, w) GROUP BY 1"),
-    "add_reduceat": (lambda a: a.add_reduceat([0, 100, 250]), f"WITH t AS ({_SERIES}) SELECT CASE WHEN i0 < 100 THEN 0 WHEN i0 < 250 THEN 1 ELSE 2 END AS i0, round(sum(x), 4) AS x FROM t GROUP BY 1"),
+    "add_reduceat": (lambda a: a.add_reduceat([0, 100, 250]), f"WITH t AS ({_SERIES}) SELECT CAST(CASE WHEN i0 < 100 THEN 0 WHEN i0 < 250 THEN 1 ELSE 2 END AS BIGINT) AS i0, round(sum(x), 4) AS x FROM t GROUP BY 1"),
     "ufunc_outer": (lambda a: UF.UFUNCS["subtract"].outer(a[:20], a[:30]), f"WITH t AS ({_SERIES}) SELECT a.i0 AS i0, b.i0 AS i1, round(a.x - b.x, 4) AS x FROM t a, t b WHERE a.i0 < 20 AND b.i0 < 30"),
     "ufunc_where": (lambda a: UF.UFUNCS["sqrt"](a, where_=a > 1e5, out=a), _series_sql("CASE WHEN x > 1e5 THEN sqrt(x) ELSE x END")),
     "ma_masked_where": (lambda a: M.masked_greater(a, 2e5), _series_sql("CASE WHEN x > 2e5 THEN NULL ELSE x END")),

@@ -197,3 +197,16 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("select sum(count) n, count(*) c from h").first() == (100, 10)
+
+
+def test_one_namespace(spark):
+    from gridspan import api as gs
+
+    a = gs.array(spark, [[1.0, 2.0], [3.0, float("nan")]])
+    assert gs.nansum(a, axis=0).tolist() == [4.0, 2.0]
+    assert gs.sin(gs.array(spark, [0.0])).tolist() == [0.0]
+    assert gs.maximum(2.5, gs.array(spark, [1.0, 3.0])).tolist() == [2.5, 3.0]
+    assert gs.sum(gs.array(spark, [1.0, 2.0])).tolist() == 3.0
+    assert [i.tolist() for i in gs.tril_indices(spark, 3)] == [i.tolist() for i in np.tril_indices(3)]
+    assert spark.range(6).select(*gs.unravel_index(F.col("id"), (2, 3))).collect()[4] == (1, 1)
+    assert gs.round(gs.array(spark, [2.5]), 0).tolist() == [2.0] and gs.gamma(gs.array(spark, [5.0])).tolist() == [24.0]
