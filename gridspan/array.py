@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspan.functions import elementwise as E
-from gridspan.layout import neighbours, ranked, running
+from gridspan.layout import neighbours, ranked, running, running_by_range
 from gridspan.operators import aggregate as A
 
 Index = int | slice
@@ -344,8 +344,7 @@ class GridArray:
         cells = self.df.select(F.col("x").cast("double").alias("v"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at"))
         asked = values.ravel().df.select(F.col("x").cast("double").alias("v"), F.lit(-mark).alias("kind"), F.col("i0").alias("at"))
         both = cells.unionByName(asked)
-        placed = ranked(both, [F.col("v"), F.col("kind"), F.col("at")], "_at", (), "v")
-        wide = running(placed, F.when(F.col("kind") == 0, 1).otherwise(0), "_at", [], "_n", F.sum, lambda a, b: a + b, F.lit(0))
+        wide = running_by_range(both, (F.col("kind") == 0).cast("long"), ["v", "kind", "at"], "_n", "v")
         found = wide.filter(F.col("kind") != 0).select(F.col("at").alias("i0"), F.col("_n").cast("long").alias("x"))
         return GridArray(found, [values.size]).reshape(values.shape)
 

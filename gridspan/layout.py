@@ -52,6 +52,35 @@ def neighbours(df: DataFrame, order: str, keys: Sequence[str], value: str, steps
     return rows.groupBy(*keys, F.col("_s.at").alias(order)).agg(*(F.max(F.when(F.col("_s.step") == s, F.struct(F.col(value)))).getField(value).alias(n) for s, n in names.items()))
 
 
+def range_of(x: Column, cuts: Sequence[float]) -> Column:
+    """How many of the rising cuts lie below x, by halving."""
+
+    def halve(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(x <= cuts[mid], halve(low, mid)).otherwise(halve(mid + 1, high))
+
+    return halve(0, len(cuts))
+
+
+def running_by_range(df: DataFrame, value: Column, by: Sequence[str | Column], out: str, first: str) -> DataFrame:
+    """`df` with `out`: the sum of the whole number `value` over all rows up to this one in the order of `by`.
+
+    `first`, the numeric column that leads the order, is cut at its approximate
+    quantiles; each range is summed alone, and the sums of lower ranges, one row
+    each, are added.
+    """
+    order = [F.col(b) if isinstance(b, str) else b for b in by]
+    x = F.col(first).cast("double")
+    cuts = sorted(set(df.select(x.alias("_x")).filter(~F.isnan("_x")).approxQuantile("_x", [k / RANGES for k in range(1, RANGES)], 0.01)))
+    cut = df.withColumn("_range", F.when(x.isNull(), len(cuts) + 1).otherwise(range_of(x, cuts))).withColumn("_v", value)
+    sums = cut.groupBy("_range").agg(F.sum("_v").alias("_n"))
+    base = sums.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = cut.withColumn("_in", F.sum("_v").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.join(F.broadcast(base), "_range").withColumn(out, (F.col("_base") + F.col("_in")).cast("long")).drop("_range", "_base", "_in", "_v")
+
+
 def ranked(df: DataFrame, by: Sequence[str | Column], out: str, keys: Sequence[str] = (), first: str | None = None) -> DataFrame:
     """`df` with `out`: the 0-based place of each row in the order of `by` within `keys`.
 
@@ -62,12 +91,4 @@ def ranked(df: DataFrame, by: Sequence[str | Column], out: str, keys: Sequence[s
     order = [F.col(b) if isinstance(b, str) else b for b in by]
     if keys or first is None:
         return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
-    cuts = sorted(set(df.filter(~F.isnan(F.col(first).cast("double"))).approxQuantile(first, [k / RANGES for k in range(1, RANGES)], 0.01)))
-    place = F.lit(len(cuts))
-    for k in reversed(range(len(cuts))):
-        place = F.when(F.col(first) <= cuts[k], k).otherwise(place)
-    cut = df.withColumn("_range", F.when(F.col(first).isNull(), len(cuts) + 1).otherwise(place))
-    counts = cut.groupBy("_range").agg(F.count("*").alias("_n"))
-    base = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = cut.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
-    return inside.join(F.broadcast(base), "_range").withColumn(out, (F.col("_base") + F.col("_in")).cast("long")).drop("_range", "_base", "_in")
+    return running_by_range(df, F.lit(1), order, out, first).withColumn(out, F.col(out) - 1)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspan.functions.semantics import NAN, double
+from gridspan.layout import range_of
 
 
 def bin_of(x: Column, low: float, high: float, bins: int) -> Column:
@@ -106,10 +107,7 @@ def asof(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str] = (), v
         found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w))
     else:
         cuts = sorted(set(left.unionByName(right, allowMissingColumns=True).select(F.col(on).cast("double").alias("_o")).approxQuantile("_o", [k / ranges for k in range(1, ranges)], 0.01)))
-        place = F.lit(len(cuts))
-        for k in reversed(range(len(cuts))):
-            place = F.when(F.col(on).cast("double") <= cuts[k], k).otherwise(place)
-        cut = both.withColumn("_range", place)
+        cut = both.withColumn("_range", range_of(F.col(on).cast("double"), cuts))
         w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         tops = cut.filter("_v is not null").groupBy("_range").agg(F.max_by("_v", on).alias("_t"))
         grid = left.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_range")).join(tops, "_range", "left")
