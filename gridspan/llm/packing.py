@@ -13,6 +13,8 @@ its place by its length and rank, without meeting other pieces.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -29,6 +31,32 @@ CAPACITY, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
+#: What a tokenizer must state of itself for its words to be split here (fixed values of the vocabulary file).
+_STATED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: Characters that count as letters, digits or marks by any edition of the Unicode tables.
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SIMPLE = re.compile(rf"(?!.*<\|)[\x21-\x7e{_LETTERS}]+")
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
+def _spelling() -> dict[int, int]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, the others as characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_SPELLING = _spelling()
+
+
 class WordTokens:
     """Token ids of texts, word by word: no token of this vocabulary spans white space.
 
@@ -46,15 +74,35 @@ class WordTokens:
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        stated = json.loads(self.tokenizer.to_str())
+        self.simple = (stated["normalizer"], stated["pre_tokenizer"]) == _STATED
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         # Kept by the process, so that the next task of this worker starts with it.
         self.new, self.old = tokenizers.__dict__.setdefault("_word_tokens", {}).setdefault(path, ({}, {}))
 
+    def _simple(self, word: bytes) -> bytes | None:
+        """The ids of a word of Latin letters, digits and ASCII marks, straight from the model, else None.
+
+        Lower case, the split and the spelling of bytes are those that the
+        tokenizer's own description states; without it, or for other
+        characters, the tokenizer does all the work.
+        """
+        if not _SIMPLE.fullmatch(text := word.decode("utf-8", "replace")):
+            return None
+        model = self.tokenizer.model.tokenize
+        return np.array([t.id for part in _SPLIT.findall(text.lower()) for t in model(part.encode().decode("latin-1").translate(_SPELLING))], "<u4").tobytes()
+
     def _plain(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        if self.simple:
+            known = {w: ids for w in words if (ids := self._simple(w)) is not None}
+            return known | self._encode_joined([w for w in words if w not in known])
+        return self._encode_joined(words)
+
+    def _encode_joined(self, words: list[bytes]) -> dict[bytes, bytes]:
         joined = [w for w in words if self.mark is not None and b"\x1e" not in w]
         found = {}
         if joined:
