@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stash
+from .store import stash, tidy
 
 
 class Forest:
@@ -69,7 +69,7 @@ def _shrink(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shrink(edges: DataFrame) -> DataFrame:
     """Edges with the same components, at most one a node and task. edges: (a, b), no nulls."""
-    return edges.mapInArrow(_shrink, "a long, b long")
+    return edges.mapInArrow(tidy(_shrink), "a long, b long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

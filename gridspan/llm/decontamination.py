@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .store import small_batches
+from .store import small_batches, tidy
 from .text import Shingler, column_bytes, pieces
 
 #: Items in a block at most. A block's sketches and shingles go to every task; more items mean more blocks.
@@ -125,7 +125,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k: in
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     found = None
     for block in blocks(benchmark):
-        part = rows.mapInArrow(_searcher(Index(block, percent, k)), FOUND)
+        part = rows.mapInArrow(tidy(_searcher(Index(block, percent, k))), FOUND)
         found = part if found is None else found.unionAll(part)
     return spark.createDataFrame([], FOUND) if found is None else found
 
@@ -149,5 +149,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75,
     """`docs` with all its columns, without the documents that `contaminated` finds. One pass for each block of items."""
     small_batches(docs.sparkSession)
     for block in blocks(benchmark):
-        docs = docs.mapInArrow(_sieve(Index(block, percent, k), docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(tidy(_sieve(Index(block, percent, k), docs.columns.index("text"))), docs.schema)
     return docs

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .store import doc_key, small_batches, stash
+from .store import doc_key, small_batches, stash, tidy
 from .text import U64, Shingler, column_bytes, mix, pieces
 
 PERCENT, WORDS = 75, 5
@@ -150,13 +150,13 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """
     parts = max(docs.rdd.getNumPartitions(), 1)
     buckets = 1 << max(8, (4 * parts - 1).bit_length())
-    keys = docs.select("text").mapInArrow(_keys(buckets, k), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
-    counted = stash(keys.mapInArrow(_count(buckets), "levels array<long>, data binary"), "frequent")
+    keys = docs.select("text").mapInArrow(tidy(_keys(buckets, k)), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    counted = stash(keys.mapInArrow(tidy(_count(buckets)), "levels array<long>, data binary"), "frequent")
     levels = np.zeros(64, np.int64)
     for level, n in counted.select(F.posexplode("levels")).groupBy("pos").agg(F.sum("col")).collect():
         levels[level] = n
     least = next(x for x in range(65) if levels[x:].sum() <= RANKED)
-    rows = counted.mapInArrow(_from_level(least), "data binary").collect()  # RANKED entries at most
+    rows = counted.mapInArrow(tidy(_from_level(least)), "data binary").collect()  # RANKED entries at most
     return np.sort(np.frombuffer(b"".join(bytes(r.data) for r in rows), "<u8").astype(U64))
 
 
@@ -455,12 +455,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(doc_key().alias("k"), "text")
-    measured = stash(rows.mapInArrow(_measure(k), "k long, n long, p1 long, p2 long"), "sets")
+    measured = stash(rows.mapInArrow(tidy(_measure(k)), "k long, n long, p1 long, p2 long"), "sets")
     sets = measured.filter("n > 0").groupBy("p1", "p2").agg(F.min("k").alias("rep"), F.max("n").alias("n"))
 
     ranks = spark.sparkContext.broadcast(frequent_shingles(rows, k))
-    prefixes = rows.select("text").mapInArrow(_prefixes(ranks, percent, k), "key long, kind int, a long, b long")
-    candidates = prefixes.repartition("key").sortWithinPartitions("key", "kind", "a").mapInArrow(_links, "a long, b long, n long")
+    prefixes = rows.select("text").mapInArrow(tidy(_prefixes(ranks, percent, k)), "key long, kind int, a long, b long")
+    candidates = prefixes.repartition("key").sortWithinPartitions("key", "kind", "a").mapInArrow(tidy(_links), "a long, b long, n long")
     near = components(candidates.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= SHARED))
     tops = near.select(F.col("root").alias("node"), "root").distinct()
     named = near.unionAll(tops).select(F.col("node").alias("p1"), F.col("root").alias("group"))
@@ -470,7 +470,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     if groups.count() <= BROADCAST_ROWS:
         to = F.broadcast(to)
     parts = rows.join(to, rows["k"] == to["rep"]).select("group", "part", "side", "rep", "p1", "p2", "text")
-    links = parts.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(_verify(percent, k), "a long, b long")
+    links = parts.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(tidy(_verify(percent, k)), "a long, b long")
     linked = components(links).select(F.col("node").alias("rep"), "root")
     final = sets.join(linked, "rep", "left").select("p1", "p2", F.coalesce("root", "rep").alias("c"))
     # Rows of one id with different texts: each text's component, joined through the id.

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import small_batches, stash
+from .store import small_batches, stash, tidy
 
 CAPACITY, END_ID = 2048, 0
 
@@ -64,7 +64,7 @@ class WordTokens:
     neither is encoded together with all other new words of a batch.
     """
 
-    ENTRIES = 250_000
+    ENTRIES = 120_000
     MARK = "\x1e"
 
     def __init__(self, path: str):
@@ -147,7 +147,7 @@ def _tokenise(path: str, capacity: int):
             while row < len(texts):
                 # Some megabytes at a time: the table must hold all words of what is joined next.
                 first, size, words = row, 0, []
-                while row < len(texts) and (size < 1 << 21 or row == first):
+                while row < len(texts) and (size < 1 << 20 or row == first):
                     size += len(texts[row] or b"")
                     # Splits at six ASCII characters that the tokenizer drops as white space. Lower case
                     # is the tokenizer's own; done here it makes equal words of more, but "<|" may begin
@@ -278,7 +278,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     """
     small_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text")
-    found = stash(rows.mapInArrow(_tokenise(tokenizer_path, capacity), PIECES), "pieces")
+    found = stash(rows.mapInArrow(tidy(_tokenise(tokenizer_path, capacity)), PIECES), "pieces")
     each = found.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in each.groupBy("length").agg(F.sum("n")).collect():  # at most one row a length
@@ -287,4 +287,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     base = each.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = found.join(base, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInArrow(_place(plan(counts)), schema)
+    return ranked.mapInArrow(tidy(_place(plan(counts))), schema)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .store import small_batches
+from .store import small_batches, tidy
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("local_phone", "id_number", "iban", "email_words", "ipv6")
@@ -303,7 +303,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     overlap neither base spans nor each other. Other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_scan(Trees().fit(*examples())), FOUND)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(_scan(Trees().fit(*examples()))), FOUND)
 
 
 def _redactor(trees: Trees, text_at: int, size_at: int | None):
@@ -326,4 +326,4 @@ def redact_pii(docs: DataFrame) -> DataFrame:
     """`docs` with the found spans replaced in `text`, and `n_chars`, if there is such a column, set anew where a text changed."""
     small_batches(docs.sparkSession)
     at = docs.columns.index
-    return docs.mapInArrow(_redactor(Trees().fit(*examples()), at("text"), at("n_chars") if "n_chars" in docs.columns else None), docs.schema)
+    return docs.mapInArrow(tidy(_redactor(Trees().fit(*examples()), at("text"), at("n_chars") if "n_chars" in docs.columns else None)), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, stash
+from .store import small_batches, stash, tidy
 from .text import U64, Shingler, column_bytes, mix, pieces
 
 #: Rows of the word vector table, its width, the neighbours on each side, and the parts that tasks send it in.
@@ -96,8 +96,8 @@ def _add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The table of word vectors of all texts: each row centred and of length 1."""
-    part = docs.select("text").mapInArrow(_neighbours, "block int, data binary")
-    whole = part.repartition(BLOCKS, "block").mapInArrow(_add, "block int, data binary")
+    part = docs.select("text").mapInArrow(tidy(_neighbours), "block int, data binary")
+    whole = part.repartition(BLOCKS, "block").mapInArrow(tidy(_add), "block int, data binary")
     table = np.zeros((BLOCKS, ROWS * WIDTH // BLOCKS))
     for k, data in whole.collect():  # the table itself: of fixed size
         table[k] = np.frombuffer(zlib.decompress(data), "<i8")
@@ -210,11 +210,11 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    pooled = stash(rows.mapInArrow(_pool(word_vectors(rows)), "doc_id long, pooled binary"), "pooled")
+    pooled = stash(rows.mapInArrow(tidy(_pool(word_vectors(rows))), "doc_id long, pooled binary"), "pooled")
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
     taught = pooled.filter(~held_out()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "pooled").limit(train_rows).collect()
     taught.sort(key=lambda r: (r.doc_id, bytes(r.pooled)))
     x = np.frombuffer(b"".join(bytes(r.pooled) for r in taught), np.float32).reshape(len(taught), 2 * WIDTH + 2).astype(float)
     network = Network().fit(x, np.array([r.y for r in taught], float))
-    scored = pooled.mapInArrow(_judge(network), "doc_id long, score double")
+    scored = pooled.mapInArrow(tidy(_judge(network)), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import doc_key, small_batches
+from .store import doc_key, small_batches, tidy
 from .text import U64, column_bytes, mix, pieces
 
 SPAN, GRAM = 100, 48
@@ -399,9 +399,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def _told(rows: DataFrame) -> DataFrame:
     gather = lambda df, *c: df.groupBy("k").agg(F.collect_list(F.struct(*c)).alias("told"))
-    found = rows.mapInArrow(_find, _ROW).repartition("key").sortWithinPartitions("key", "e", "k", "pos").mapInArrow(_meet, _ROW)
-    fetched = rows.join(gather(found, "kind", "pos", "key").hint("shuffle_hash"), "k").select("k", "text", "told").mapInArrow(_fetch, _CONTEXT)
-    repeats = fetched.repartition("key").sortWithinPartitions("key", "k", "pos").mapInArrow(_repeats, _ROW)
+    found = rows.mapInArrow(tidy(_find), _ROW).repartition("key").sortWithinPartitions("key", "e", "k", "pos").mapInArrow(tidy(_meet), _ROW)
+    fetched = rows.join(gather(found, "kind", "pos", "key").hint("shuffle_hash"), "k").select("k", "text", "told").mapInArrow(tidy(_fetch), _CONTEXT)
+    repeats = fetched.repartition("key").sortWithinPartitions("key", "k", "pos").mapInArrow(tidy(_repeats), _ROW)
     return gather(repeats, "pos")
 
 
@@ -418,4 +418,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(doc_key().alias("k"), F.col("text").cast("binary").alias("text"))
     judged = rows.join(_told(rows).hint("shuffle_hash"), "k", "left").select("k", "text", "told")
     schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return judged.mapInArrow(_judge, schema).select(F.when(F.col("k") != F.lit(_NULL), F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return judged.mapInArrow(tidy(_judge), schema).select(F.when(F.col("k") != F.lit(_NULL), F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

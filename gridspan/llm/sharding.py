@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import small_batches, stash
+from .store import small_batches, stash, tidy
 
 SHARDS, GROUPS = 8, 20_000
 
@@ -113,7 +113,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"))
     schema = "h1 long, h2 long, bytes long, partial long, label int"
-    divided = stash(groups.mapInArrow(_divide(shards), schema), "groups")
+    divided = stash(groups.mapInArrow(tidy(_divide(shards)), schema), "groups")
     sums: dict[int, list[int]] = {}
     for r in divided.groupBy("partial", "label").agg(F.sum("bytes").alias("n")).collect():  # 8 rows a partial
         sums.setdefault(r.partial, [0] * shards)[r.label] = r.n
@@ -122,7 +122,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     target = spark.createDataFrame(chosen, "partial long, label int, shard int")
     placed = divided.join(target, ["partial", "label"]).select("h1", "h2", "shard")
     joined = rows.join(placed, ["h1", "h2"]).select("doc_id", "size", "text_crc32", "shard")
-    numbered = stash(joined.mapInArrow(_number(shards), "doc_id long, size long, text_crc32 long, shard int, task int, nth long"), "sharded")
+    numbered = stash(joined.mapInArrow(tidy(_number(shards)), "doc_id long, size long, text_crc32 long, shard int, task int, nth long"), "sharded")
     before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = numbered.groupBy("shard", "task").agg(F.count("*").alias("n")).select("shard", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return numbered.join(base, ["shard", "task"]).select(

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import doc_key, small_batches, stash
+from .store import doc_key, small_batches, stash, tidy
 
 #: Bytes of payload in an archive, of its dictionary, and of the records that the dictionary is built from.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 32 << 20, 64 << 10, 1 << 20
@@ -132,7 +132,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     marked = rows.join(later, ["k", "digest"], "left")
     null_id = F.col("first") == F.lit(-(1 << 63))
     told = marked.select("page_id", "url", "html", F.when(~null_id, F.col("first")).alias("first"), F.col("first").isNotNull().alias("revisit"))
-    return stash(told.mapInArrow(_write, "archive string, records long, data binary"), "archives")
+    return stash(told.mapInArrow(tidy(_write), "archive string, records long, data binary"), "archives")
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, read back."""
-    return archives.select("data").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("data").mapInArrow(tidy(_read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def export(archives: DataFrame, folder: str) -> None:
