@@ -1,11 +1,14 @@
 """Quality rules as weak supervision.
 
-Each rule votes good (1) or bad (-1) on a document, or abstains (0). A label
-model with two hidden classes says how likely each vote is in each class;
-expectation-maximisation estimates it from how often each pattern of votes
-occurs in the whole corpus. The posterior probability of the good class
-replaces a filter that all rules must pass. Patterns are counted by a
-distributed aggregation; there are at most 3^8 of them, whatever the corpus.
+Each rule votes good (1), weakly bad (-1) or badly (-2) on a document, or
+abstains (0). A label model says how likely each vote is in each of several
+hidden classes: good documents, and one kind of junk for each rule, the one it
+knows. Expectation-maximisation estimates the classes' shares and votes from
+how often each pattern of votes occurs in the whole corpus. The posterior
+probability of the good class replaces a filter that all rules must pass:
+a bad vote that good documents often have, beside good votes, is a blemish.
+Patterns are counted by a distributed aggregation; there are at most 4^8 of
+them, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -20,18 +23,17 @@ from pyspark.sql import functions as F
 from .store import small_batches, stash, tidy
 from .text import U64, Shingler, column_bytes, mix, pieces, sums
 
-#: (rule, what it looks at, good if at or beyond, bad if beyond). Shares are of words, lines or letters; None: it
-#: never votes so. A rule that knows one kind of junk says nothing of a text without it. Every rule abstains
-#: between its bounds and where it has nothing to look at.
+#: (rule, what it looks at, good if at or beyond, bad if beyond, very bad if beyond). Shares are of words, lines or
+#: letters. Every rule abstains between its bounds and where it has nothing to look at.
 RULES = {
-    "length": ("n_words", (">=", 80), ("<", 50)),
-    "word_length": ("mean_word", None, (">", 16.0)),
-    "symbols": ("symbol_share", None, (">", 0.1)),
-    "repeats": ("repeat_share", None, (">", 0.3)),
-    "lines": ("dup_share", None, (">", 0.5)),
-    "capitals": ("upper_share", None, (">", 0.5)),
-    "shouting": ("shout_share", None, (">", 0.3)),
-    "tables": ("bar_share", None, (">", 0.15)),
+    "length": ("n_words", (">=", 80), ("<", 50), 25),
+    "word_length": ("mean_word", ("<=", 10.0), (">", 16.0), 24.0),
+    "symbols": ("symbol_share", ("<=", 0.02), (">", 0.1), 0.25),
+    "repeats": ("repeat_share", ("<=", 0.1), (">", 0.3), 0.5),
+    "lines": ("dup_share", ("<=", 0.1), (">", 0.5), 0.8),
+    "capitals": ("upper_share", ("<=", 0.2), (">", 0.5), 0.8),
+    "shouting": ("shout_share", ("<=", 0.05), (">", 0.3), 0.6),
+    "tables": ("bar_share", ("<=", 0.02), (">", 0.15), 0.3),
 }
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_shouts long, n_bars long"
@@ -129,10 +131,12 @@ def features(docs: DataFrame) -> DataFrame:
 def votes() -> dict[str, Column]:
     """Each rule's vote as an expression over FEATURES."""
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    symbols = share("n_symbols", "n_words")
     looks = {
         "n_words": F.col("n_words"),
         "mean_word": share("word_chars", "n_words"),
-        "symbol_share": share("n_symbols", "n_words"),
+        # A few bars are for the rule of their own; counted twice, one blemish would look like two.
+        "symbol_share": F.when(symbols > RULES["symbols"][3], symbols).otherwise(symbols - share("n_bars", "n_words")),
         "repeat_share": share("n_repeat_words", "n_words"),
         "dup_share": share("n_dup_lines", "n_lines"),
         "upper_share": share("n_upper", "n_letters"),
@@ -141,59 +145,80 @@ def votes() -> dict[str, Column]:
     }
     beyond = {">=": lambda x, y: x >= y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, "<": lambda x, y: x < y}
     found = {}
-    for rule, (on, good, bad) in RULES.items():
-        vote = F.when(beyond[bad[0]](looks[on], bad[1]), -1)
-        found[rule] = (vote.when(beyond[good[0]](looks[on], good[1]), 1) if good else vote).otherwise(0).cast("byte")
+    for rule, (on, good, bad, very) in RULES.items():
+        vote = F.when(beyond[bad[0]](looks[on], very), -2).when(beyond[bad[0]](looks[on], bad[1]), -1)
+        found[rule] = vote.when(beyond[good[0]](looks[on], good[1]), 1).otherwise(0).cast("byte")
     return found
 
 
-def logit(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
-
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-#: Between these bounds lies how often a rule is right when it votes bad, and when it votes good. A rule that
-#: knows one kind of junk is right far more often than not, but no kind is common enough for others to confirm it.
-BAD_RIGHT, GOOD_RIGHT = (0.9, 0.995), (0.6, 0.75)
+#: The votes that a rule can cast, and how often it casts each where it doesn't abstain, before any document is seen:
+#: on documents of other classes than its own kind of junk, and on that kind.
+LEVELS = (1, -1, -2)
+ELSEWHERE, OWN_KIND = (0.98, 0.0195, 0.0005), (0.05, 0.25, 0.7)
+#: The share of junk, and how many documents it counts for. The chances above count for WEIGHT documents and as many as
+#: their class has: lone bad votes of a rule fit its kind of junk and blemishes equally well, so counts alone don't tell.
+JUNK, WEIGHT = 0.1, 20.0
 
 
 class LabelModel:
-    """Two even classes; a rule that votes is right with a probability of its own, which
-    expectation-maximisation estimates for each direction; an abstention says nothing.
+    """A good class and one of junk for each rule. In each class, every rule that votes has probabilities of its own for
+    each level, which expectation-maximisation estimates together with the classes' shares; an abstention says nothing.
     """
 
-    def __init__(self, rounds: int = 100, smooth: float = 2.0):
-        self.rounds, self.smooth = rounds, smooth
+    def __init__(self, rounds: int = 500):
+        self.rounds = rounds
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
         """patterns: a row of votes each, in any order; counts: the documents with it."""
         order = np.lexsort(patterns.T[::-1]) if len(patterns) else np.empty(0, int)
-        patterns, counts = patterns[order], counts[order].astype(float)
-        bad, good = (patterns == -1).astype(float), (patterns == 1).astype(float)
+        cast, counts = self._cast(patterns[order]), counts[order].astype(float)
         n = patterns.shape[1]
-        self.bad_right, self.good_right = np.full(n, sum(BAD_RIGHT) / 2), np.full(n, sum(GOOD_RIGHT) / 2)
+        prior = np.tile(ELSEWHERE, (n + 1, n, 1))
+        prior[np.arange(1, n + 1), np.arange(n)] = OWN_KIND
+        share = np.array([1 - JUNK] + [JUNK / n] * n)
+        self.chance, self.share = prior, share
         for _ in range(self.rounds):
-            quality = 1 / (1 + np.exp(-(good @ logit(self.good_right) - bad @ logit(self.bad_right))))
-            before = np.concatenate([self.bad_right, self.good_right])
-            self.bad_right = self._right(bad, counts, 1 - quality, BAD_RIGHT)
-            self.good_right = self._right(good, counts, quality, GOOD_RIGHT)
-            if np.abs(np.concatenate([self.bad_right, self.good_right]) - before).max(initial=0) < 1e-9:
+            weights = counts[:, None] * self._classes(cast)
+            before = self.chance, self.share
+            votes = np.einsum("pc,prl->crl", weights, cast) + (WEIGHT + weights.sum(0))[:, None, None] * prior
+            self.chance = votes / votes.sum(2, keepdims=True)
+            self.share = (weights.sum(0) + WEIGHT * share) / (counts.sum() + WEIGHT)
+            if max(np.abs(self.chance - before[0]).max(), np.abs(self.share - before[1]).max()) < 1e-7:
                 break
         return self
 
-    def _right(self, voted: np.ndarray, counts: np.ndarray, agrees: np.ndarray, bounds: tuple[float, float]) -> np.ndarray:
-        share = (voted.T @ (counts * agrees) + self.smooth * sum(bounds) / 2) / (voted.T @ counts + self.smooth)
-        return np.clip(share, *bounds)
+    @staticmethod
+    def _cast(patterns: np.ndarray) -> np.ndarray:
+        """1 where a pattern (first) has a rule (second) vote at a level (third)."""
+        return np.stack([patterns == level for level in LEVELS], axis=2).astype(float)
+
+    def _classes(self, cast: np.ndarray) -> np.ndarray:
+        """The probability of each class (second) given a pattern (first)."""
+        score = np.log(self.share) + np.einsum("prl,crl->pc", cast, np.log(self.chance))
+        found = np.exp(score - score.max(1, keepdims=True))
+        return found / found.sum(1, keepdims=True)
+
+    def good(self, patterns: np.ndarray) -> np.ndarray:
+        """The probability of the good class for rows of votes."""
+        return self._classes(self._cast(patterns))[:, 0]
 
     def posterior(self) -> Column:
         """The probability of the good class as an expression over the votes."""
-        score = F.lit(0.0)
-        for rule, bad, good in zip(RULES, logit(self.bad_right).tolist(), logit(self.good_right).tolist(), strict=True):
-            score = score + F.when(F.col(rule) == -1, -bad).when(F.col(rule) == 1, good).otherwise(0.0)
-        return F.lit(1.0) / (1 + F.exp(-score))
+        odds = F.lit(1.0)
+        start, gain = np.log(self.share[1:] / self.share[0]), np.log(self.chance[1:] / self.chance[0])
+        for c in range(len(start)):
+            score = F.lit(float(start[c]))
+            for rule, by_level in zip(RULES, gain[c].tolist(), strict=True):
+                vote = F.when(F.col(rule) == LEVELS[0], by_level[0])
+                for level, value in zip(LEVELS[1:], by_level[1:], strict=True):
+                    vote = vote.when(F.col(rule) == level, value)
+                score = score + vote.otherwise(0.0)
+            odds = odds + F.exp(score)
+        return F.lit(1.0) / odds
 
 
 def fit_label_model(measured: DataFrame) -> LabelModel:

@@ -89,6 +89,22 @@ def test_quality_agrees_with_labels(spark):
     assert Q.keep_quality(docs).count() == sum(k for k, _ in kept.values())
 
 
+def test_a_weak_bad_vote_can_be_outvoted(table):
+    """Clean tables, with a '|' for every fifth word, are kept; symbols everywhere are not, though no other rule objects."""
+    words = lambda k, n: [f"{chr(97 + (k * 7 + j * j) % 26)}word{(k * 131 + j * 17) % 9973}" for j in range(n)]
+    clean = [(k, " ".join(words(k, 120))) for k in range(150)]
+    tables = [(200 + k, " ".join(w + "|" * (j % 5 == 0) for j, w in enumerate(words(k, 120)))) for k in range(12)]
+    junk = [(300 + k, " ".join(w + " $ &" for w in words(k, 120))) for k in range(12)]
+    rows = clean + tables + junk
+    found = {r.doc_id: r for r in Q.quality(table(rows)).collect()}
+    assert all(found[k].tables == -1 and not found[k].base_failed for k, _ in tables)
+    assert all(found[k].kept for k, _ in clean + tables)
+    assert not any(found[k].kept or found[k].base_failed for k, _ in junk)
+    model = Q.LabelModel().fit(np.array([[1] * 8, [1] * 7 + [-1], [1, 1, -2, 1, 1, 1, 1, 1]]), np.array([150, 12, 12]))
+    assert model.good(np.array([[1] * 7 + [-1]]))[0] > 0.5 > model.good(np.array([[1, 1, -2, 1, 1, 1, 1, 1]]))[0]
+    assert {r.doc_id for r in Q.keep_quality(table(rows)).collect()} == {k for k, _ in clean + tables}
+
+
 def base_pii(text):
     text, out = text or "", []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
