@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .store import doc_key, small_batches, stash, tidy
+from .store import doc_key, row_keys, small_batches, stash, text_key, tidy
 from .text import U64, Shingler, column_bytes, mix, pieces
 
 PERCENT, WORDS = 75, 5
@@ -481,10 +481,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """`docs`, all columns, with one document of each near-duplicate group: that of the smallest doc_id, once."""
-    groups = stash(near_duplicates(docs, percent, k), "near-duplicates")
-    counted = groups.groupBy("doc_id").agg(F.count("*").alias("n"))
-    if counted.filter("n > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id"])
-    dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
+    """`docs`, all columns, with one document of each near-duplicate group: that of the smallest doc_id, once.
+
+    Rows that share a doc_id, or have none, with different texts are documents of their own.
+    """
+    keys = row_keys(docs)
+    if keys is None:
+        keyed = docs.withColumn("_row", doc_key())
+    else:
+        names = keys.select(F.col("k").alias("_row"), F.col("d").alias("_d"), F.col("h").alias("_h"))
+        keyed = docs.withColumns({"_d": doc_key(), "_h": text_key()}).join(names, ["_d", "_h"]).drop("_d", "_h")
+    groups = stash(near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), percent, k), "near-duplicates")
+    dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(_NULL)).alias("_dropped"))
+    left = keyed.join(dropped, keyed["_row"] == dropped["_dropped"], "left_anti")
+    return (left if keys is None else left.dropDuplicates(["_row"])).drop("_row")

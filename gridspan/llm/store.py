@@ -61,3 +61,19 @@ def stash(df: DataFrame, what: str) -> DataFrame:
 def doc_key(column: str = "doc_id"):
     """doc_id for joins and order: a null id counts as the smallest."""
     return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
+def row_keys(docs: DataFrame) -> DataFrame | None:
+    """(k, d, h): a number for each distinct (doc_id, text), in order of doc_id; None if every doc_id, null too, is of one row.
+
+    d is the row's `doc_key` and h its `text_key`. Numbers rather than ids keep rows apart that share an id.
+    """
+    ids = docs.select(doc_key().alias("d"))
+    if not ids.groupBy("d").count().filter("count > 1").limit(1).count():
+        return None
+    rows = docs.select(doc_key().alias("d"), text_key().alias("h")).distinct().orderBy("d", "h")
+    return stash(rows.select(F.monotonically_increasing_id().alias("k"), "d", "h"), "row-keys")
+
+
+def text_key(column: str = "text"):
+    return F.sha2(F.coalesce(F.col(column), F.lit("")).cast("binary"), 256)

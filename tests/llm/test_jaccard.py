@@ -81,6 +81,13 @@ def test_keep_one(table):
     assert J.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_tells_rows_of_one_id_apart(table):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (5, text(1)), (7, text(3)), (7, text(4)), (3, text(4)), (9, None)]
+    found = sorted(((r.doc_id, r.text) for r in J.keep_one(table(rows)).collect()), key=str)
+    assert found == sorted([(None, text(1)), (None, text(2)), (7, text(3)), (3, text(4)), (9, None)], key=str)
+
+
 def test_tree_links_connect_what_all_pairs_connect():
     import numpy as np
 
