@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import doc_key, small_batches, tidy
+from .store import doc_key, row_keys, small_batches, text_key, tidy
 from .text import U64, column_bytes, mix, pieces
 
 SPAN, GRAM = 100, 48
@@ -390,14 +390,8 @@ def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], names)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(k, told): the repeated ranges of each document that has some, as packed (start, length) in told.pos."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(doc_key().alias("k"), F.col("text").cast("binary").alias("text"))
-    return _told(rows)
-
-
 def _told(rows: DataFrame) -> DataFrame:
+    """(k, told): the repeated ranges of each document that has some, as packed (start, length) in told.pos. rows: (k, text), one text a k."""
     gather = lambda df, *c: df.groupBy("k").agg(F.collect_list(F.struct(*c)).alias("told"))
     found = rows.mapInArrow(tidy(_find), _ROW).repartition("key").sortWithinPartitions("key", "e", "k", "pos").mapInArrow(tidy(_meet), _ROW)
     fetched = rows.join(gather(found, "kind", "pos", "key").hint("shuffle_hash"), "k").select("k", "text", "told").mapInArrow(tidy(_fetch), _CONTEXT)
@@ -410,12 +404,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A null text is empty; a text of fewer than SPAN bytes stays whole. A null
     doc_id counts as the smallest. Rows that repeat a doc_id and its text are
-    one document and get equal results; the ranges of rows that share a doc_id
-    with different texts are those of the document of that id. Other columns
-    are not looked at.
+    one document and get equal results; rows that share a doc_id, or have none,
+    with different texts are documents of their own, in order of their texts'
+    SHA-256. Other columns are not looked at.
     """
     small_batches(docs.sparkSession)
+    keys = row_keys(docs)
     rows = docs.select(doc_key().alias("k"), F.col("text").cast("binary").alias("text"))
+    if keys is not None:
+        rows = docs.select(doc_key().alias("d"), text_key().alias("h"), F.col("text").cast("binary").alias("text")).join(keys, ["d", "h"]).select("k", "text")
     judged = rows.join(_told(rows).hint("shuffle_hash"), "k", "left").select("k", "text", "told")
     schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return judged.mapInArrow(tidy(_judge), schema).select(F.when(F.col("k") != F.lit(_NULL), F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = judged.mapInArrow(tidy(_judge), schema)
+    if keys is not None:
+        found = found.join(keys, "k").withColumn("k", F.col("d"))
+    return found.select(F.when(F.col("k") != F.lit(_NULL), F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -35,6 +35,18 @@ def test_odd_rows(table, odd):
     check(table(odd), odd)
 
 
+def test_rows_of_one_id_are_told_apart(table):
+    """Texts without an id, one of them empty, and two of one id, with strings that repeat at the same and at other places."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = text(150)
+    rows = [(None, ""), (None, shared + text(90)), (None, shared + text(300)), (None, text(20) + shared), (4, text(40) + shared + text(7)), (4, text(250)), (4, "short"), (6, shared), (6, shared)]
+    places = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    want = brute(list(enumerate(t for _, t in places)))
+    want = sorted(((rows_id, *want[k]) for k, (rows_id, _) in enumerate(places) for _ in range(rows.count(places[k]))), key=str)
+    assert sorted((tuple(r) for r in R.remove_repeats(table(rows)).collect()), key=str) == want
+
+
 def test_empty_table(table):
     assert R.remove_repeats(table([])).collect() == []
 
