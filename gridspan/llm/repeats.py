@@ -7,8 +7,8 @@ bytes are brought together first:
 1. Of the GRAM-byte strings within each SPAN-byte window, the one of the
    smallest hash is the window's anchor: equal windows have equal anchors, at
    equal places. Neighbouring windows mostly share an anchor, so a text leaves
-   one row for some 25 bytes: its anchor's hash, and a hash of the whole context
-   (all windows with this anchor).
+   one row for some 25 bytes: its anchor's hash, and two independent hashes of the
+   whole context (all windows with this anchor), of 96 bits together.
 2. Rows meet by anchor. Of equal contexts the first stays and all others are
    repeats, found without their bytes; tasks settle their own before the
    shuffle, so a passage in a third of all documents is a few rows a task.
@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import doc_key, row_keys, small_batches, text_key, tidy
-from .text import U64, column_bytes, mix, pieces
+from .text import U64, Shingler, column_bytes, mix, pieces
 
 SPAN, GRAM = 100, 48
 #: Rows that a task settles at a time, contexts of an anchor that meet in one task at most, windows in suffix order at a time.
 HELD, CONTEXTS, WINDOWS = 1_000_000, 512, 200_000
 _PIECE = 1 << 19
 _NULL = -(1 << 63)
-_ROW = "key long, e int, k long, pos long, kind byte"
+_ROW = "key long, e long, f int, k long, pos long, kind byte"
 _ANCHOR, _MARK, _HOT = 0, 1, 2
 
 
@@ -50,6 +50,7 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+_BYTES = Shingler(1, fold_case=False)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U64(0xD1B54A32D192ED03))
 
 
@@ -84,8 +85,8 @@ def anchors(gram: np.ndarray, n: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, anchor hash, context hash, first window, windows, anchor's place in the first) of each anchor of the texts."""
-    none = tuple(np.empty(0, t) for t in (np.int64, U64, np.int32, np.int64, np.int64, np.int64))
+    """(row, anchor hash, two context hashes, first window, windows, anchor's place in the first) of each anchor of the texts."""
+    none = tuple(np.empty(0, t) for t in (np.int64, U64, np.int64, np.int32, np.int64, np.int64, np.int64))
     if len(data) < SPAN:
         return none
     gram, window = window_hashes(data)
@@ -101,7 +102,9 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.append(s[np.flatnonzero(fresh)[1:] - 1], s[-1])
     at = place[first]
     e = _join(_join(window[first], window[last]), ((last - first) * 256 + at - first).astype(U64))
-    return row[first], mix(gram[at]), (e >> U64(32)).astype(np.uint32).view(np.int32), first - offsets[row[first]], last - first + 1, at - first
+    f = _BYTES.hashes(data, first, last + SPAN) >> U64(32)
+    # The upper bytes of an anchor's hash are left out, as they would only fill the shuffle: other anchors with this hash do no harm.
+    return row[first], mix(gram[at]) >> U64(16), e.view(np.int64), f.astype(np.uint32).view(np.int32), first - offsets[row[first]], last - first + 1, at - first
 
 
 def _pack(first, windows, inner):
@@ -112,10 +115,10 @@ def _spread(pos):
     return pos >> 16, (pos >> 8) & 255, pos & 255
 
 
-def _rows(key, e, k, pos, kind) -> pa.RecordBatch:
+def _rows(key, e, f, k, pos, kind) -> pa.RecordBatch:
     n = len(k)
-    e, kind = (np.full(n, x) if np.isscalar(x) else x for x in (e, kind))
-    arrays = [pa.array(key.astype(np.int64)), pa.array(e, pa.int32()), pa.array(k), pa.array(pos), pa.array(kind, pa.int8())]
+    e, f, kind = (np.full(n, x) if np.isscalar(x) else x for x in (e, f, kind))
+    arrays = [pa.array(key.astype(np.int64)), pa.array(e, pa.int64()), pa.array(f, pa.int32()), pa.array(k), pa.array(pos), pa.array(kind, pa.int8())]
     return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _ROW.split(", ")])
 
 
@@ -136,7 +139,7 @@ def runs(k: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray,
 
 def _marks(k, start, end) -> pa.RecordBatch:
     k, start, end = runs(k, start, end)
-    return _rows(mix(k.astype(U64)), 0, k, (start << 31) | (end - start), _MARK)
+    return _rows(mix(k.astype(U64)), 0, 0, k, (start << 31) | (end - start), _MARK)
 
 
 def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,17 +148,17 @@ def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        k, key, e, first, windows, inner = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((first, k, e, key))
-        k, key, e, first, windows, inner = (c[order] for c in (k, key, e, first, windows, inner))
-        again = np.concatenate([[False], (key[1:] == key[:-1]) & (e[1:] == e[:-1])])
+        k, key, e, f, first, windows, inner = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((first, k, f, e, key))
+        k, key, e, f, first, windows, inner = (c[order] for c in (k, key, e, f, first, windows, inner))
+        again = np.concatenate([[False], (key[1:] == key[:-1]) & (e[1:] == e[:-1]) & (f[1:] == f[:-1])])
         head = np.flatnonzero(~again)[np.cumsum(~again) - 1]
         # A row that occurs again, of a repeated document, is no repeat of itself.
         again_elsewhere = again & ((k != k[head]) | (first != first[head]))
         if again_elsewhere.any():
             yield _marks(k[again_elsewhere], first[again_elsewhere], (first + windows + SPAN - 1)[again_elsewhere])
         one = ~again
-        yield _rows(key[one], e[one], k[one], _pack(first, windows, inner)[one], _ANCHOR)
+        yield _rows(key[one], e[one], f[one], k[one], _pack(first, windows, inner)[one], _ANCHOR)
 
     for batch in batches:
         ids = np.asarray(batch.column(0))
@@ -173,32 +176,35 @@ def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, of rows in order of key, e, k, pos: repeats, and the first of each context whose anchor has others."""
-    names = ("key", "e", "k", "pos")
-    wait = {c: np.empty(0, np.int32 if c == "e" else np.int64) for c in names}  # first rows of the key that may go on
+    """Step 2, of rows in order of key, e, f, k, pos: repeats, and the first of each context whose anchor has others."""
+    names = ("key", "e", "f", "k", "pos")
+    wait = {c: np.empty(0, np.int32 if c == "f" else np.int64) for c in names}  # first rows of the key that may go on
     hot_key = last = None
 
     def send(x: dict, kind: np.ndarray) -> pa.RecordBatch:
-        return _rows(x["key"], x["e"], x["k"], x["pos"], kind)
+        return _rows(*(x[c] for c in names), kind)
 
     for batch in batches:
         x = dict(zip((*names, "kind"), (np.asarray(c) for c in batch.columns), strict=True))
         made = x.pop("kind") == _MARK
         if made.any():
-            yield _rows(x["key"][made], 0, x["k"][made], x["pos"][made], _MARK)
+            yield _rows(x["key"][made], 0, 0, x["k"][made], x["pos"][made], _MARK)
         x = {c: v[~made] for c, v in x.items()}
         if not len(x["key"]):
             continue
-        same = np.concatenate([[last is not None and last[:2] == (x["key"][0], x["e"][0])], (x["key"][1:] == x["key"][:-1]) & (x["e"][1:] == x["e"][:-1])])
+        same = np.ones(len(x["key"]), bool)
+        same[0] = last is not None and last[:3] == (x["key"][0], x["e"][0], x["f"][0])
+        for c in ("key", "e", "f"):
+            same[1:] &= x[c][1:] == x[c][:-1]
         head = np.where(~same, np.arange(len(same)), -1)
         head = np.maximum.accumulate(head)
-        head_k = np.where(head < 0, last[2] if last else 0, x["k"][head])
-        head_pos = np.where(head < 0, last[3] if last else 0, x["pos"][head])
+        head_k = np.where(head < 0, last[3] if last else 0, x["k"][head])
+        head_pos = np.where(head < 0, last[4] if last else 0, x["pos"][head])
         again = same & ((x["k"] != head_k) | (x["pos"] != head_pos))
         if again.any():
             first, windows, _ = _spread(x["pos"][again])
             yield _marks(x["k"][again], first, first + windows + SPAN - 1)
-        last = x["key"][-1], x["e"][-1], head_k[-1], head_pos[-1]
+        last = x["key"][-1], x["e"][-1], x["f"][-1], head_k[-1], head_pos[-1]
         new = {c: v[~same] for c, v in x.items()}
         if hot_key is not None:
             hot = new["key"] == hot_key
@@ -351,7 +357,7 @@ def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, k, pos, kind = (c.to_pylist() for c in batch.columns[:4])
         marks = [i for i, x in enumerate(kind) if x == _MARK]
         if marks:
-            yield _rows(np.array([key[i] for i in marks], np.int64), 0, np.array([k[i] for i in marks], np.int64), np.array([pos[i] for i in marks], np.int64), _MARK)
+            yield _rows(np.array([key[i] for i in marks], np.int64), 0, 0, np.array([k[i] for i in marks], np.int64), np.array([pos[i] for i in marks], np.int64), _MARK)
         data = batch.column(4).to_pylist()
         for i, x in enumerate(kind):
             if x == _MARK:
@@ -393,7 +399,7 @@ def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _told(rows: DataFrame) -> DataFrame:
     """(k, told): the repeated ranges of each document that has some, as packed (start, length) in told.pos. rows: (k, text), one text a k."""
     gather = lambda df, *c: df.groupBy("k").agg(F.collect_list(F.struct(*c)).alias("told"))
-    found = rows.mapInArrow(tidy(_find), _ROW).repartition("key").sortWithinPartitions("key", "e", "k", "pos").mapInArrow(tidy(_meet), _ROW)
+    found = rows.mapInArrow(tidy(_find), _ROW).repartition("key").sortWithinPartitions("key", "e", "f", "k", "pos").mapInArrow(tidy(_meet), _ROW)
     fetched = rows.join(gather(found, "kind", "pos", "key").hint("shuffle_hash"), "k").select("k", "text", "told").mapInArrow(tidy(_fetch), _CONTEXT)
     repeats = fetched.repartition("key").sortWithinPartitions("key", "k", "pos").mapInArrow(tidy(_repeats), _ROW)
     return gather(repeats, "pos")

@@ -85,3 +85,25 @@ def test_longest_previous_factor():
         for i in range(40):
             best = max((next((n for n in range(6) if windows[i][n] != windows[j][n]), 6) for j in range(i)), default=0)
             assert found[i] == best
+
+
+def test_contexts_of_one_anchor_whose_first_hash_begins_alike(table):
+    """Two contexts of one anchor that agree in 32 bits of one hash, as happens among 100,000 of them, are told apart."""
+    rng = np.random.default_rng(7)
+    grams = rng.integers(97, 123, (20_000, R.GRAM)).astype(np.uint8)
+    first = R.window_hashes(np.ascontiguousarray(grams).ravel())[0][:: R.GRAM]
+    anchor = grams[int(np.argmin(first))]
+    n, side = 200_000, R.SPAN - R.GRAM
+    texts = np.concatenate([rng.integers(97, 123, (n, side)), np.tile(anchor, (n, 1)), rng.integers(97, 123, (n, side))], axis=1).astype(np.uint8)
+    row, key, e, f, *_ = R.contexts(texts.ravel(), np.arange(n + 1) * texts.shape[1])
+    mine = np.flatnonzero(key == R.mix(np.array([first.min()], R.U64))[0] >> R.U64(16))
+    order = mine[np.argsort(e[mine])]
+    alike = np.flatnonzero(e[order][1:] >> 32 == e[order][:-1] >> 32)
+    assert len(alike), "no two of so many agree in 32 bits"
+    for i in alike[:5]:
+        a, b = order[i], order[i + 1]
+        assert (e[a], f[a]) != (e[b], f[b]) and not (texts[row[a]] == texts[row[b]]).all()
+    a, b = (texts[row[order[alike[0] + j]]].tobytes().decode() for j in (0, 1))
+    pair = [(1, a), (2, b)]
+    check(table(pair), pair)
+    assert [r.n_removed for r in R.remove_repeats(table(pair)).collect()] == [0, 0]
