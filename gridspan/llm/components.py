@@ -3,7 +3,8 @@
 Tasks first shrink their own edges to a forest; then large-star and small-star
 steps alternate until every node points at the smallest of its component
 (Kiveris et al., 2014). All sums are minima, so a node with very many edges is
-a few rows a task when it is summed.
+a few rows a task when it is summed, and its edges learn the minimum by
+broadcast.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stash, tidy
+from .store import discard, meet, stash, tidy
 
 
 class Forest:
@@ -72,16 +73,16 @@ def shrink(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(tidy(_shrink), "a long, b long")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return meet(both.filter("b > a"), least, ["a"], 2 * total).select(F.col("m").alias("a"), "b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = meet(down, least, ["u"], total).filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return moved.unionAll(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
 
@@ -91,11 +92,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges: (a, b) longs without nulls; loops and repeats are allowed.
     """
     now = stash(shrink(edges.filter("a <> b").select("a", "b")), "edges")
-    seen = None
+    total, seen = now.count(), None
     for _ in range(rounds):
-        now = stash(_small_star(_large_star(now)), "edges")
+        larger = stash(_large_star(now, total), "edges")
+        after = stash(_small_star(larger, total), "edges")
+        discard(now)
+        discard(larger)
+        now = after
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        seen = mark
+        total, seen = mark[0], mark
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text in an Arrow batch at most; Spark also holds a batch to the bytes below.
 BATCH_ROWS, BATCH_BYTES = 10_000, "8m"
+#: Keys that are broadcast because many rows have them, at most, and rows that a key of these has at least.
+HOT_KEYS, HOT_ROWS = 50_000, 1_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -41,9 +44,11 @@ def tidy(run: Callable) -> Callable:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; where none is named (tests), a temporary one."""
+    """The folder that the session names in spark.checkpoint.dir. Where none is named, a temporary one, on a single machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="gridspan-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -51,11 +56,46 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, what: str) -> DataFrame:
-    """`df` written as a table in the shared folder and read again: its lineage ends there."""
+    """`df` written as a table in the shared folder and read again: its lineage ends there. The table goes with the application."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _file_system(spark, path)
+    files.deleteOnExit(where)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stashed_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a stashed table that nothing reads any more."""
+    where, files = _file_system(table.sparkSession, table.stashed_at)
+    files.delete(where, True)
+    files.cancelDeleteOnExit(where)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def meet(rows: DataFrame, sums: DataFrame, on: list[str], total: int | None = None) -> DataFrame:
+    """`rows` joined with `sums`, which has one row for each key of `rows` and in `n` the rows that have it.
+
+    Keys of very many rows, HOT_KEYS at most, come by broadcast, so that no task
+    gets all rows of one key; the rest meet by a shuffle. total: the sum of n,
+    or more.
+    """
+    if total is None:
+        total = sums.agg(F.sum("n")).first()[0] or 0
+    many = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= many:
+        return rows.join(sums, on)
+    hot = F.broadcast(sums.filter(F.col("n") > many).withColumn("_hot", F.lit(True)))
+    marked = rows.join(hot, on, "left")
+    by_shuffle = marked.filter("_hot is null").select(*rows.columns).join(sums.filter(F.col("n") <= many), on)
+    by_broadcast = marked.filter("_hot").drop("_hot")
+    return by_broadcast.unionByName(by_shuffle)
 
 
 def doc_key(column: str = "doc_id"):
