@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .store import doc_key, row_keys, small_batches, stash, text_key, tidy
+from .store import doc_key, meet, row_keys, small_batches, stash, text_key, tidy
 from .text import U64, Shingler, column_bytes, mix, pieces
 
 PERCENT, WORDS = 75, 5
@@ -43,8 +43,8 @@ FREQUENT, RANKED = 8, 1 << 20
 SHARED, LARGE, FEW = 5, 20, 16
 #: Bits of a shingle's hash that it is counted by, and counted at a time in a task.
 KEY_BITS, HELD = 40, 2_000_000
-#: Sets of a group in a task at most, and rows of a table that is broadcast.
-FILL, BROADCAST_ROWS = 2_000, 500_000
+#: Sets of a group in a task at most, their shingles, and rows of a table that is broadcast.
+FILL, FILL_SHINGLES, BROADCAST_ROWS = 2_000, 4_000_000, 500_000
 _NULL = -(1 << 63)
 
 
@@ -361,18 +361,23 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
         p, i, q, j = todo.pop()
         x, y = a.levels[p], b.levels[q]
         if p or q:
-            if (p, i) != (q, j) and (root := one(a, p, i, 0)) >= 0 and root == one(b, q, j, shift):
+            itself = right is None and (p, i) == (q, j)
+            if not itself and (root := one(a, p, i, 0)) >= 0 and root == one(b, q, j, shift):
                 continue
-            if p >= q:
+            if itself:  # each kid with itself and with those after it, so that no pair is met from both sides
+                for k in range(int(x["first"][i]), int(x["end"][i])):
+                    later = np.arange(k + 1, int(x["end"][i]))
+                    below = a.levels[p - 1]
+                    todo += [(p - 1, k, p - 1, int(o)) for o in later[possible(below, k, below, later)]] + [(p - 1, k, p - 1, k)]
+            elif p >= q:
                 kids = np.arange(x["first"][i], x["end"][i])
-                kids = kids[possible(y, j, a.levels[p - 1], kids)]
-                todo += [(p - 1, int(k), q, j) for k in kids if right is not None or p != q or (k + 1) * Tree.FAN ** (p - 1) > 0]
+                todo += [(p - 1, int(k), q, j) for k in kids[possible(y, j, a.levels[p - 1], kids)]]
             else:
                 kids = np.arange(y["first"][j], y["end"][j])
                 todo += [(p, i, q - 1, int(k)) for k in kids[possible(x, i, b.levels[q - 1], kids)]]
             continue
         for m in range(int(x["first"][i]), int(x["end"][i])):
-            start = int(y["first"][j]) if right is not None or a is not b else max(int(y["first"][j]), m + 1)
+            start = int(y["first"][j]) if right is not None else max(int(y["first"][j]), m + 1)
             others = np.arange(start, int(y["end"][j]))
             if not len(others):
                 continue
@@ -427,8 +432,13 @@ def _parts(groups: DataFrame) -> DataFrame:
     """(rep, p1, p2, group, part, side): where each set goes. groups: (rep, n, p1, p2, group)."""
     kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     sets = groups.withColumn("kind", kind)
-    counts = sets.groupBy("group", "kind").agg(F.count("*").alias("m"))
-    plans = counts.groupBy("group").agg(F.sum("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("kind", F.ceil(F.col("m") / (FILL // 2)).cast("int").alias("n")))).alias("blocks"))
+    # Sizes of sets are within a third of each other in a kind, so blocks of equally many sets hold about equally many shingles.
+    fill = F.greatest(F.col("m") / FILL, F.col("shingles") / FILL_SHINGLES)
+    counts = sets.groupBy("group", "kind").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).withColumn("fill", fill)
+    plans = counts.groupBy("group").agg(
+        F.greatest(F.sum("m") / FILL, F.sum("shingles") / FILL_SHINGLES).alias("fill"),
+        F.map_from_entries(F.collect_list(F.struct("kind", F.ceil(2 * F.col("fill")).cast("int").alias("n")))).alias("blocks"),
+    )
     planned = sets.join(plans, "group").withColumn("h", F.pmod(F.xxhash64("p2", "rep"), F.col("blocks")[F.col("kind")]).cast("int"))
     h, own = F.col("h"), F.col("kind")
     blocks = lambda s: F.coalesce(F.col("blocks")[s], F.lit(0))
@@ -439,7 +449,7 @@ def _parts(groups: DataFrame) -> DataFrame:
     above = F.transform(numbers(blocks(own + 1)), lambda j: place(name(own, own + 1, h, j), F.lit(0)))
     below = F.transform(numbers(blocks(own - 1)), lambda j: place(name(own - 1, own, j, h), F.lit(1)))
     alone = F.array(place(F.lit("all"), F.lit(0)))
-    to = F.explode(F.when(F.col("m") <= FILL, alone).otherwise(F.concat(same, above, below))).alias("to")
+    to = F.explode(F.when(F.col("fill") <= 1, alone).otherwise(F.concat(same, above, below))).alias("to")
     return planned.select("rep", "p1", "p2", "group", to).select("rep", "p1", "p2", "group", "to.part", "to.side")
 
 
@@ -456,7 +466,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     small_batches(spark)
     rows = docs.select(doc_key().alias("k"), "text")
     measured = stash(rows.mapInArrow(tidy(_measure(k)), "k long, n long, p1 long, p2 long"), "sets")
-    sets = measured.filter("n > 0").groupBy("p1", "p2").agg(F.min("k").alias("rep"), F.max("n").alias("n"))
+    sets = stash(measured.filter("n > 0").groupBy("p1", "p2").agg(F.min("k").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "distinct-sets")
 
     ranks = spark.sparkContext.broadcast(frequent_shingles(rows, k))
     prefixes = rows.select("text").mapInArrow(tidy(_prefixes(ranks, percent, k)), "key long, kind int, a long, b long")
@@ -464,20 +474,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     near = components(candidates.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= SHARED))
     tops = near.select(F.col("root").alias("node"), "root").distinct()
     named = near.unionAll(tops).select(F.col("node").alias("p1"), F.col("root").alias("group"))
-    groups = stash(sets.join(named, "p1"), "groups")
+    groups = stash(sets.drop("copies").join(named, "p1"), "groups")
 
-    to = _parts(groups)
-    if groups.count() <= BROADCAST_ROWS:
+    to = stash(_parts(groups), "parts")
+    if to.count() <= BROADCAST_ROWS:
         to = F.broadcast(to)
     parts = rows.join(to, rows["k"] == to["rep"]).select("group", "part", "side", "rep", "p1", "p2", "text")
     links = parts.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(tidy(_verify(percent, k)), "a long, b long")
     linked = components(links).select(F.col("node").alias("rep"), "root")
-    final = sets.join(linked, "rep", "left").select("p1", "p2", F.coalesce("root", "rep").alias("c"))
+    final = stash(sets.join(linked, "rep", "left").select("p1", "p2", F.coalesce("root", "rep").alias("c"), F.col("copies").alias("n")), "components")
     # Rows of one id with different texts: each text's component, joined through the id.
     null = lambda c: F.when(c != F.lit(_NULL), c)
-    return measured.join(final, ["p1", "p2"], "left").select(
-        null(F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("c", "k")).alias("component_id")
-    )
+    held = measured.withColumnRenamed("n", "size")
+    found = meet(held.filter("size > 0"), final, ["p1", "p2"]).select("k", "size", "c")
+    every = found.unionAll(held.filter("size = 0").select("k", "size", F.col("k").alias("c")))
+    return every.select(null(F.col("k")).alias("doc_id"), F.col("size").alias("n_shingles"), null(F.col("c")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:

@@ -5,6 +5,7 @@ from itertools import combinations
 import pytest
 
 from gridspan.llm import jaccard as J
+from gridspan.llm import store
 from gridspan.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,10 +47,12 @@ def test_empty_table(table):
     assert J.near_duplicates(table([])).collect() == []
 
 
-@pytest.mark.parametrize("fill", [2000, 6])
-def test_groups_and_borders(table, monkeypatch, fill):
-    """Copies, chains of near copies around the threshold, a passage in all texts; also with groups divided over tasks."""
+@pytest.mark.parametrize(("fill", "shingles", "hot"), [(2000, 4_000_000, 1000), (6, 4_000_000, 2), (2000, 300, 1000)])
+def test_groups_and_borders(table, monkeypatch, fill, shingles, hot):
+    """Copies, chains of near copies around the threshold, a passage in all texts; also with groups divided over tasks, and nodes of many edges."""
     monkeypatch.setattr(J, "FILL", fill)
+    monkeypatch.setattr(J, "FILL_SHINGLES", shingles)
+    monkeypatch.setattr(store, "HOT_ROWS", hot)
     monkeypatch.setattr(J, "HELD", 2000)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -113,3 +116,27 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1001), (1001, 1002), (1002, 1000), (5, 5)]
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {(r.node, r.root) for r in found} == {(k, 0) for k in range(1, 201)} | {(1001, 1000), (1002, 1000)}
+
+
+def test_a_hub_and_chains_with_edges_met_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(store, "HOT_ROWS", 3)
+    monkeypatch.setattr(store, "HOT_KEYS", 100)
+    edges = [(500, k) for k in range(501, 700)] + [(3, 690), (690, 700), (700, 701), (2000, 2001)]
+    found = components(spark.createDataFrame(edges, "a long, b long").repartition(40)).collect()
+    assert {(r.node, r.root) for r in found} == {(k, 3) for k in range(500, 702)} | {(2001, 2000)}
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster():
+    class Context:
+        master = "yarn"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        store.shared_folder(Session)
