@@ -1,11 +1,11 @@
 """Shards of near-equal bytes by Karmarkar-Karp differencing.
 
-Rows of equal text form a group that stays together. Differencing runs in two
+Rows of equal text form a group that stays together. Differencing runs in
 levels: each task divides its groups into 8 parts, a bounded number of groups
-at a time, and leaves a partial partition of 8 sums; the partials are then
-differenced against each other in the same way. At both levels the two partial
-partitions of the largest spread are combined, the one's largest part with the
-other's smallest. A partial is 8 numbers for some ten thousand groups.
+at a time, and leaves a partial partition of 8 sums; tasks difference the
+partials against each other in the same way, until few enough are left for the
+driver. At every level the two partial partitions of the largest spread are
+combined, the one's largest part with the other's smallest.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import small_batches, stash, tidy
+from .store import meet, small_batches, stash, tidy
 
-SHARDS, GROUPS = 8, 20_000
+SHARDS = 8
+#: Groups, or partial partitions, that a task differences at a time; partials that the driver differences at most.
+GROUPS, PARTIALS = 20_000, 4_000
 
 
 def difference(sums: list[list[int]]) -> list[list[int]]:
@@ -62,23 +64,75 @@ def difference(sums: list[list[int]]) -> list[list[int]]:
 
 
 def _divide(shards: int):
+    """Rows (h1, h2, n, bytes) of groups: each one's partial partition and its part there."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, chunk = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUPS):
-                rows = batch.slice(at, GROUPS)
-                sizes = np.asarray(rows.column(2))
-                labels = [s[0] for s in difference([[v, *[0] * (shards - 1)] for v in sizes.tolist()])]
-                n = rows.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array([(task << 32) + chunk] * n, pa.int64()), pa.array(labels, pa.int32())],
-                    ["h1", "h2", "bytes", "partial", "label"],
-                )
-                chunk += 1
+        task = TaskContext.get().partitionId()
+        for chunk, rows in enumerate(_chunks(batches)):
+            labels = [s[0] for s in difference([[v, *[0] * (shards - 1)] for v in rows.column(3).to_pylist()])]
+            n = rows.num_rows
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([(task << 32) + chunk] * n, pa.int64()), pa.array(labels, pa.int32())], [*rows.schema.names, "partial", "label"])
 
     return run
 
 
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, GROUPS at a time."""
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, GROUPS - n)
+            held.append(part)
+            at, n = at + part.num_rows, n + part.num_rows
+            if n == GROUPS:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (partial, sums) of partials: the partial of the next level that each becomes a part of, and the part there of each of its parts."""
+    task = TaskContext.get().partitionId()
+    for chunk, rows in enumerate(_chunks(batches)):
+        n = rows.num_rows
+        found = difference(rows.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([(task << 32) + chunk] * n, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["partial", "sums", "above", "places"])
+
+
+def _sums(parts: DataFrame, shards: int) -> DataFrame:
+    """(partial, sums) of rows (partial, label, bytes)."""
+    by_label = [F.coalesce(F.sum(F.when(F.col("label") == s, F.col("bytes"))), F.lit(0)) for s in range(shards)]
+    return parts.groupBy("partial").agg(F.array(*by_label).alias("sums"))
+
+
+def _places(divided: DataFrame, shards: int) -> DataFrame:
+    """(partial, label, shard): the shard of each part of each partial of `divided`.
+
+    Partials are differenced in tasks, level by level, until the driver can
+    difference the PARTIALS or fewer that are left; shards then go back down.
+    """
+    spark = divided.sparkSession
+    now, levels = stash(_sums(divided, shards), "partials"), []
+    while now.count() > PARTIALS:
+        level = stash(now.mapInArrow(tidy(_combine), "partial long, sums array<long>, above long, places array<int>"), "partials")
+        levels.append(level)
+        parts = level.select(F.col("above").alias("partial"), F.explode(F.arrays_zip("sums", "places")).alias("x"))
+        above = stash(_sums(parts.select("partial", F.col("x.places").alias("label"), F.col("x.sums").alias("bytes")), shards), "partials")
+        if above.count() == level.count():  # too few in each task to combine: all of them in fewer tasks
+            above = stash(above.coalesce(max(1, above.rdd.getNumPartitions() // 8)), "partials")
+        now = above
+    rows = sorted((r.partial, list(r.sums)) for r in now.collect())
+    chosen = [(k, label, s) for (k, _), found in zip(rows, difference([s for _, s in rows]), strict=True) for label, s in enumerate(found)]
+    places = spark.createDataFrame(chosen, "partial long, label int, shard int")
+    for level in reversed(levels):
+        below = level.select("partial", "above", F.posexplode("places").alias("label", "place"))
+        target = places.select(F.col("partial").alias("above"), F.col("label").alias("place"), "shard")
+        places = below.join(target, ["above", "place"]).select("partial", "label", "shard")
+    return places
+
+
 def _number(shards: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, nth = TaskContext.get().partitionId(), np.zeros(shards, np.int64)
@@ -111,17 +165,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.xxhash64(text).alias("h1"),
         F.xxhash64(F.lit("second"), text).alias("h2"),
     )
-    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"))
-    schema = "h1 long, h2 long, bytes long, partial long, label int"
-    divided = stash(groups.mapInArrow(tidy(_divide(shards)), schema), "groups")
-    sums: dict[int, list[int]] = {}
-    for r in divided.groupBy("partial", "label").agg(F.sum("bytes").alias("n")).collect():  # 8 rows a partial
-        sums.setdefault(r.partial, [0] * shards)[r.label] = r.n
-    keys = sorted(sums)
-    chosen = [(k, label, s) for k, found in zip(keys, difference([sums[k] for k in keys]), strict=True) for label, s in enumerate(found)]
-    target = spark.createDataFrame(chosen, "partial long, label int, shard int")
-    placed = divided.join(target, ["partial", "label"]).select("h1", "h2", "shard")
-    joined = rows.join(placed, ["h1", "h2"]).select("doc_id", "size", "text_crc32", "shard")
+    rows = stash(rows, "sizes")
+    groups = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    divided = stash(groups.mapInArrow(tidy(_divide(shards)), "h1 long, h2 long, n long, bytes long, partial long, label int"), "groups")
+    placed = divided.join(_places(divided, shards), ["partial", "label"]).select("h1", "h2", "n", "shard")
+    joined = meet(rows, placed, ["h1", "h2"], rows.count()).select("doc_id", "size", "text_crc32", "shard")
     numbered = stash(joined.mapInArrow(tidy(_number(shards)), "doc_id long, size long, text_crc32 long, shard int, task int, nth long"), "sharded")
     before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = numbered.groupBy("shard", "task").agg(F.count("*").alias("n")).select("shard", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

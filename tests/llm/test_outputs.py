@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from gridspan.llm import packing as K
 from gridspan.llm import quality_model as Q
 from gridspan.llm import sharding as H
+from gridspan.llm import store
 from gridspan.llm import warc as W
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -127,6 +128,36 @@ def test_sharding(table, odd, documents):
     assert max(sums.values()) - min(sums.values()) < largest / 10
 
 
+def test_sharding_in_many_levels(table, documents, monkeypatch):
+    """Partials of few groups, so that they are differenced in tasks more than once; and many copies of one text."""
+    for module, name, value in ((H, "GROUPS", 8), (H, "PARTIALS", 3), (store, "HOT_ROWS", 10)):
+        monkeypatch.setattr(module, name, value)
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(1000 + k, f"text {k} " * (k % 13)) for k in range(400)] + [(5000 + k, "one text of many") for k in range(60)]
+    found = H.shard(table(rows)).collect()
+    assert Counter(r.doc_id for r in found) == Counter(k for k, _ in rows)
+    assert len({r.shard for r in found if r.doc_id >= 5000}) == 1
+    sums = Counter()
+    for r in found:
+        sums[r.shard] += r.size
+    assert sum(sums.values()) == sum(len((t or "").encode()) + 1 for _, t in rows)
+    assert max(sums.values()) - min(sums.values()) < max(len((t or "").encode()) for _, t in rows)
+
+
+def test_differencing_is_that_of_the_books():
+    """Two parts: the differences of the two largest numbers, again and again, leave the final difference."""
+    rng = random.Random(6)
+    for _ in range(50):
+        sizes = [rng.randint(1, 1000) for _ in range(rng.randint(1, 40))]
+        left = sorted(sizes)
+        while len(left) > 1:
+            a, b = left.pop(), left.pop()
+            left = sorted([*left, a - b])
+        sums = [0, 0]
+        for v, (s, _) in zip(sizes, H.difference([[v, 0] for v in sizes]), strict=True):
+            sums[s] += v
+        assert abs(sums[0] - sums[1]) == left[0]
+
+
 def test_differencing_is_balanced():
     rng = random.Random(4)
     sizes = [rng.randint(1, 10**6) for _ in range(500)]
