@@ -36,20 +36,23 @@ def _found(kind: int, pattern: str, group: int, least: int) -> str:
 
 
 def op9() -> str:
-    from .secrets import ADDED, BASE, EXAMPLE_OWNERS, KINDS, LIVE_OWNERS
+    from .secrets import ADDED, BASE, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, KINDS, LIVE_OWNERS, LIVE_REPOSITORIES
 
     parts = " UNION ALL ".join(_found(k, *x) for k, x in enumerate({**BASE, **ADDED}.values()))
     names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
     base = f"kind < {len(BASE)}"
+    example = f"(owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES})"
     one = f"{names}[kind + 1] || ':' || pos || ':' || (pos + size)"
     return f"""
 WITH f AS (SELECT doc_id, source, lang, kind, CAST(pos AS BIGINT) AS pos, CAST(size AS BIGINT) AS size, value FROM ({parts})),
-     o AS (SELECT value, count(DISTINCT source) AS owners FROM f GROUP BY 1), t AS (SELECT f.*, owners FROM f JOIN o USING (value)),
-     k AS (SELECT * FROM t WHERE {base} OR (owners < {EXAMPLE_OWNERS} AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = t.doc_id AND b.{base} AND b.pos < t.pos + t.size AND t.pos < b.pos + b.size))),
+     o AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT (coalesce(source, ''), coalesce(lang, ''))) AS repositories FROM f GROUP BY 1), t AS (SELECT f.*, owners, repositories FROM f JOIN o USING (value)),
+     k AS (SELECT * FROM t WHERE {base} OR (NOT {example} AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = t.doc_id AND b.{base} AND b.pos < t.pos + t.size AND t.pos < b.pos + b.size))),
      s AS (SELECT doc_id, string_agg({one}, ',' ORDER BY pos, kind) AS spans, string_agg(CASE WHEN {base} THEN {one} END, ',' ORDER BY pos, kind) AS bases FROM k GROUP BY 1),
      c AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
-                  count(*) FILTER (owners <= {LIVE_OWNERS}) AS live, count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS example FROM t GROUP BY 1)
+                  count(*) FILTER (owners <= {LIVE_OWNERS} AND repositories <= {LIVE_REPOSITORIES}) AS live, count(*) FILTER {example} AS example,
+                  max(owners) AS o, max(repositories) AS r FROM t GROUP BY 1)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(bases, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(live, 0) AS n_live, coalesce(example, 0) AS n_example
+       coalesce(live, 0) AS n_live, coalesce(example, 0) AS n_example,
+       coalesce(o, 0)::BIGINT AS most_owners, coalesce(r, 0)::BIGINT AS most_repositories
 FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
 """

@@ -2,10 +2,11 @@
 
 Patterns propose candidates in every whole text. Each candidate's value is
 hashed, and the hashes are counted over the corpus by distinct repositories and
-distinct owners: a value that many owners hold is a widely copied example, one
-that a single owner holds looks live. Counting goes from (value, owner,
-repository) to (value, owner) to value, each summed before it is shuffled, so a
-value that a third of all rows hold is a few rows a task when it meets itself.
+distinct owners: a value that many owners hold, or that is in many repositories,
+is a widely copied example; one of a single owner and few repositories looks
+live. Counting goes from (value, owner, repository) to (value, owner) to value,
+each summed before it is shuffled, so a value that a third of all rows hold is a
+few rows a task; rows learn the counts of such values by broadcast.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stash
+from .store import meet, stash
 
 _VALUE = "[A-Za-z0-9+/_.=-]"
 _KEY = r"""["']?\x20*[:=]\x20*["']?"""
@@ -30,8 +31,9 @@ ADDED = {
     "pair": (rf"(?i:pwd|passphrase|credential|auth|private_?key|access_?key){_KEY}({_VALUE}{{12,}})", 1, 12),
 }
 KINDS = [*BASE, *ADDED]
-#: Owners of a value: up to the first it looks live, from the second on it is an example.
-LIVE_OWNERS, EXAMPLE_OWNERS = 1, 3
+#: A value looks live up to so many owners and repositories; it is an example from so many owners, or so many repositories, on.
+LIVE_OWNERS, LIVE_REPOSITORIES = 1, 2
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 5
 
 
 def spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
@@ -69,10 +71,21 @@ def candidates(docs: DataFrame, owner: str = "source", repository: tuple[str, ..
 
 
 def ownership(held: DataFrame) -> DataFrame:
-    """(h1, h2, owners, repositories) of each hashed value. held: (h1, h2, owner, repository), repeats allowed."""
-    each = held.groupBy("h1", "h2", "owner", "repository").agg(F.lit(1).alias("one"))
-    owned = each.groupBy("h1", "h2", "owner").agg(F.count("*").alias("repositories"))
-    return owned.groupBy("h1", "h2").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    """(h1, h2, owners, repositories, n) of each hashed value, n the rows with it. held: (h1, h2, owner, repository), repeats allowed.
+
+    A repository is one of its owner: those of two owners count as two whatever their names.
+    """
+    each = held.groupBy("h1", "h2", "owner", "repository").agg(F.count("*").alias("n"))
+    owned = each.groupBy("h1", "h2", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    return owned.groupBy("h1", "h2").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
+
+
+def live() -> Column:
+    return (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)
+
+
+def example() -> Column:
+    return (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
 
 
 def _joined(found: Column) -> Column:
@@ -82,12 +95,12 @@ def _joined(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example) for each row of `docs`.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, most_owners, most_repositories) for each row of `docs`.
 
-    spans has all base spans, and the added ones whose value has too few
-    owners for an example and overlaps no base span. n_live and n_example count
-    the candidates whose value one owner holds, and those that at least three
-    hold. A null text counts as empty, a null owner or repository as one of
+    spans has all base spans, and the added ones whose value is no `example`
+    and overlaps no base span. n_live and n_example count the candidates with a
+    `live` value and with an `example`; most_owners and most_repositories are
+    those of the most copied value of the row, 0 without one. A null text counts as empty, a null owner or repository as one of
     their own; repeated rows count each but own once. Other columns are not
     looked at.
     """
@@ -100,16 +113,19 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     held = rows.select("row", "owner", "repository", F.explode("found").alias("x")).select(
         "row", "owner", "repository", "x.start", "x.kind", "x.end", F.xxhash64("x.value").alias("h1"), F.xxhash64(F.lit("second"), "x.value").alias("h2")
     )
-    told = held.join(ownership(held), ["h1", "h2"])
-    added = (F.col("kind") >= len(BASE)) & (F.col("owners") < EXAMPLE_OWNERS)
+    told = meet(held, stash(ownership(held), "ownership"), ["h1", "h2"])
+    added = (F.col("kind") >= len(BASE)) & ~example()
     by_row = told.groupBy("row").agg(
         F.collect_list(F.when(added, F.struct("start", "kind", "end"))).alias("added"),
-        F.count(F.when(F.col("owners") <= LIVE_OWNERS, 1)).alias("n_live"),
-        F.count(F.when(F.col("owners") >= EXAMPLE_OWNERS, 1)).alias("n_example"),
+        F.count(F.when(live(), 1)).alias("n_live"),
+        F.count(F.when(example(), 1)).alias("n_example"),
+        F.max("owners").alias("most_owners"),
+        F.max("repositories").alias("most_repositories"),
     )
     apart = F.filter("added", lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
     every = F.array_sort(F.concat("base", F.coalesce(apart, F.expr("slice(base, 1, 0)"))))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return bases.join(by_row, "row", "left").select(
-        "doc_id", *(f"n_{k}" for k in BASE), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"), zero("n_live"), zero("n_example")
+        "doc_id", *(f"n_{k}" for k in BASE), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"),
+        *map(zero, ("n_live", "n_example", "most_owners", "most_repositories")),
     )

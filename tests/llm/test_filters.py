@@ -11,6 +11,7 @@ from gridspan.llm import decontamination as D
 from gridspan.llm import pii as P
 from gridspan.llm import quality_rules as Q
 from gridspan.llm import secrets as S
+from gridspan.llm import store
 
 from .conftest import SMALL
 from .test_jaccard import WORDS, shingles
@@ -201,3 +202,29 @@ def test_ownership_separates_examples(spark):
     docs = spark.createDataFrame(shared + own, "doc_id long, text string, lang string, source string")
     found = {r.doc_id: (r.spans, r.n_live, r.n_example) for r in S.scan(docs).collect()}
     assert found[0] == ("", 0, 1) and found[9][0].startswith("provider:4:") and found[9][1] == 1
+
+
+def test_ownership_over_thousands_of_rows(spark, monkeypatch):
+    """Examples of many owners, or of many repositories of one, against keys of one owner; one example is in a third of all rows."""
+    monkeypatch.setattr(store, "HOT_ROWS", 100)
+    key = lambda k: f"ghp_{k:032d}"
+    rows = [(k, f"the sample {key(0)} of the manual", f"lang{k % 3}", f"owner{k % 50}") for k in range(1000)]
+    rows += [(1000 + k, f"demo {key(1)} here", f"lang{k % 6}", "owner7") for k in range(60)]
+    rows += [(2000 + k, f"auth={key(1000 + k // 2)}.", f"lang{k % 2}", f"owner{k // 2 % 40}") for k in range(2000)]
+    found = {r.doc_id: r for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(20)).collect()}
+    owners, repositories = {}, {}
+    value = lambda t: re.search("ghp_[0-9]{32}", t)[0]
+    for _, text, lang, source in rows:
+        owners.setdefault(value(text), set()).add(source)
+        repositories.setdefault(value(text), set()).add((source, lang))
+    for k, text, _, _ in rows:
+        o, r = len(owners[value(text)]), len(repositories[value(text)])
+        copied = o >= 3 or r >= 5
+        at = text.index("ghp_")
+        base = [(s, kind, e) for s, kind, e in base_secrets(text)]
+        free = not any(at < e and s < at + 36 for s, _, e in base)
+        spans = found[k].spans.split(",")
+        assert (f"provider:{at}:{at + 36}" in spans) == (free and not copied)
+        assert (found[k].most_owners, found[k].most_repositories) == (o, r)
+        assert (found[k].n_example > 0) == copied and (found[k].n_live > 0) == (o == 1 and r <= 2)
+    assert sum(r.n_live > 0 for r in found.values()) == 2000
