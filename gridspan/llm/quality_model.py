@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .store import small_batches, stash, tidy
 from .text import U64, Shingler, column_bytes, mix, pieces
 
-#: Rows of the word vector table, its width, the neighbours on each side, and the parts that tasks send it in.
+#: Rows of the word vector table (a power of 2, as is the width), its width, the neighbours on each side, and the parts that tasks send it in.
 ROWS, WIDTH, REACH, BLOCKS = 1 << 14, 32, 2, 64
 #: Labelled documents that the network learns from at most: those of the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -199,6 +199,24 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _smallest(rows: DataFrame, most: int) -> list:
+    """The `most` rows of the smallest hash of doc_id, in order of doc_id.
+
+    Hashes are counted in ranges first, so that little more than these rows come to the driver, not so many from each task.
+    """
+    placed = rows.withColumn("place", F.xxhash64("doc_id"))
+    ranges = placed.groupBy(F.shiftright("place", 48).alias("range")).count().orderBy("range").collect()  # 65,536 at most
+    upto, last = 0, None
+    for r in ranges:
+        if upto >= most:
+            break
+        upto, last = upto + r["count"], r["range"]
+    if last is None:
+        return []
+    taught = placed.filter(F.shiftright("place", 48) <= last).orderBy("place", "doc_id", "pooled").limit(most).collect()
+    return sorted(taught, key=lambda r: (r.doc_id, bytes(r.pooled)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of `docs`, from its whole text alone.
 
@@ -212,8 +230,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     pooled = stash(rows.mapInArrow(tidy(_pool(word_vectors(rows))), "doc_id long, pooled binary"), "pooled")
     known = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
-    taught = pooled.filter(~held_out()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "pooled").limit(train_rows).collect()
-    taught.sort(key=lambda r: (r.doc_id, bytes(r.pooled)))
+    taught = _smallest(pooled.filter(~held_out()).join(known, "doc_id"), train_rows)
     x = np.frombuffer(b"".join(bytes(r.pooled) for r in taught), np.float32).reshape(len(taught), 2 * WIDTH + 2).astype(float)
     network = Network().fit(x, np.array([r.y for r in taught], float))
     scored = pooled.mapInArrow(tidy(_judge(network)), "doc_id long, score double")

@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import doc_key, small_batches, stash, tidy
+from .store import doc_key, meet, small_batches, stash, tidy
 
-#: Bytes of payload in an archive, of its dictionary, and of the records that the dictionary is built from.
-ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 32 << 20, 64 << 10, 1 << 20
+#: Bytes of payload in an archive, of its dictionary, of the records that the dictionary is built from, and read at a time.
+ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, READ_BYTES = 32 << 20, 64 << 10, 1 << 20, 8 << 10
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
@@ -36,22 +36,29 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One WARC record. A revisit has the HTTP header, which tells the payload's length, but no payload."""
+    """One WARC record. A revisit has the HTTP header, which tells the payload's length, but no payload. Its id has page_id and digest, as page_ids may repeat."""
+    digest = base32_sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}:{digest}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url))
     if is_revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head += [f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>"]
+    head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def dictionary(records: list[bytes]) -> bytes:
-    """A Zstandard dictionary of evenly spread records; of too few to train one, their plain content."""
-    step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
-    samples = [r[:32768] for r in records[::step]]
+    """A Zstandard dictionary of evenly spread records; of too few to train one, their plain content.
+
+    Of a long record a piece is taken, from one place in one record and from another in the next.
+    """
+    step, piece = max(1, sum(map(len, records)) // SAMPLE_BYTES), 32768
+    samples = []
+    for n, r in enumerate(records[::step]):
+        at = n * 7919 * piece % max(len(r) - piece, 1)
+        samples.append(r[at : at + piece])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8).as_bytes()
     except zstandard.ZstdError:
@@ -77,9 +84,15 @@ def read_archive(data: bytes) -> Iterator[bytes]:
         raise ValueError("the archive has no leading dictionary frame")
     decompressor, at = zstandard.ZstdDecompressor(dict_data=_load(bytes(view[8 : 8 + size]))), 8 + size
     while at < len(view):
-        one = decompressor.decompressobj()
-        yield one.decompress(view[at:])
-        at = len(view) - len(one.unused_data)
+        # What follows a frame comes back as unused, so frames are fed in steps: the whole archive each time would take quadratic time.
+        one, parts = decompressor.decompressobj(), []
+        while not one.eof and at < len(view):
+            parts.append(one.decompress(view[at : at + READ_BYTES]))
+            at = min(at + READ_BYTES, len(view))
+        if not one.eof:
+            raise ValueError("the archive ends within a record")
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parse(data: bytes) -> tuple[int | None, int, str, str, int | None]:
@@ -88,7 +101,7 @@ def parse(data: bytes) -> tuple[int | None, int, str, str, int | None]:
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda x: None if x == "<urn:page:None>" else int(x[10:-1])
+    number = lambda x: None if x.startswith("<urn:page:None:") else int(x[10:-1].split(":")[0])
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if fields["WARC-Type"] == "revisit":
         length = int(re.search(rb"Content-Length: ([0-9]+)", http)[1])
@@ -127,8 +140,9 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), doc_key("page_id").alias("k"), F.unhex(F.sha1(html)).alias("digest"))
-    groups = rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last"))
-    later = rows.select("k", "digest").join(groups.filter("first < last"), "digest").filter("k > first").select("k", "digest", "first").distinct()
+    groups = rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"))
+    copies = stash(groups.filter("first < last"), "copies")
+    later = meet(rows.select("k", "digest"), copies, ["digest"]).filter("k > first").select("k", "digest", "first").distinct()
     marked = rows.join(later, ["k", "digest"], "left")
     null_id = F.col("first") == F.lit(-(1 << 63))
     told = marked.select("page_id", "url", "html", F.when(~null_id, F.col("first")).alias("first"), F.col("first").isNotNull().alias("revisit"))

@@ -3,12 +3,15 @@
 import base64
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridspan.llm import packing as K
@@ -77,9 +80,12 @@ def test_plan_fills_exactly():
             assert at <= 64
 
 
-def test_archives(spark, tmp_path):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_archives(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(store, "HOT_ROWS", hot)
     rows = [(1, "http://a/1", "<p>same</p>"), (2, "http://a/2", "<p>same</p>"), (3, None, ""), (4, "http://a b\r\n/4", None), (5, "u", "<p>é</p>" * 3000), (None, "u", "<p>other</p>"), (7, "u", "<p>other</p>"), (8, "u", "WARC/1.1\r\n\r\n x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = pages.withColumns({c: F.lit("x") for c in ("k", "n", "first", "last", "digest", "revisit", "data", "_hot")})
     archives = W.write_archives(pages)
     found = {r.page_id: tuple(r)[1:] for r in W.read_archives(archives).collect()}
     first = {}
@@ -92,12 +98,32 @@ def test_archives(spark, tmp_path):
         assert found[k] == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if response else "revisit", None if response else first[html or ""])
     W.export(archives, tmp_path)
     records = [r for f in tmp_path.iterdir() for r in W.read_archive(f.read_bytes())]
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", r)[1] for r in records]
+    assert len(set(ids)) == len(ids)
+    assert {m[1] for r in records if (m := re.search(rb"WARC-Refers-To: (\S+)", r))} <= set(ids)
     assert len(records) == len(rows) and all(r.startswith(b"WARC/1.1\r\n") for r in records)
     large = {r.page_id: r.record_type for r in W.read_archives(W.write_archives(pages, 12)).collect()}
     assert large[2] == "response" and large[4] == "response"
     assert W.read_archives(W.write_archives(pages.limit(0))).collect() == []
 
 
+def test_reading_takes_time_in_proportion_to_bytes():
+    """Frames far smaller and far larger than what is read at a time; a cut archive is no archive."""
+    rng = random.Random(3)
+    records = [rng.randbytes(rng.choice([0, 1, 50, 3000, 70_000])) for _ in range(3000)]
+    data = W.write_archive(records)
+    assert list(W.read_archive(data)) == records
+    with pytest.raises((ValueError, W.zstandard.ZstdError)):
+        list(W.read_archive(data[:-3]))
+    took = []
+    for n in (1000, 4000):
+        one = W.write_archive([rng.randbytes(2000) for _ in range(n)])
+        began = time.perf_counter()
+        assert sum(1 for _ in W.read_archive(one)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.2
+
+
 def test_dictionary_helps():
     rng = random.Random(1)
     records = [f"<html><head><title>{rng.random()}</title></head><body class='page main wide'>{rng.random()}</body></html>".encode() * 2 for _ in range(400)]
@@ -223,3 +249,39 @@ def test_pipeline(spark):
     found = C.run(spark, path).collect()
     assert {tuple(r)[:5] for r in found} == want and len(found) == len(want)
     packed_well(found)
+
+
+def test_word_vectors_and_pooling(table, monkeypatch):
+    """The table and the pooled vectors against loops over tokens, with few rows, so that words share them."""
+    import itertools
+
+    monkeypatch.setattr(Q, "ROWS", 128)
+    texts = ["the cat, the dog; 42 cats!", "", None, "ein Hund und 7 Katzen\n\nund das", "x"]
+    kind = lambda c: 0 if c in " \t\n\x0b\f\r" else 2 if c.isdigit() else 1 if c.isalpha() else 3
+    tokens = [["".join(g) for k, g in itertools.groupby(t or "", kind) if k] for t in texts]
+    h = {w: Q.Tokens().find(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0] for t in tokens for w in t}
+    assert all(len(x) == 1 for x in h.values())
+    whole = np.zeros((Q.ROWS, Q.WIDTH))
+    for t in tokens:
+        for i, j in itertools.product(range(len(t)), repeat=2):
+            if 1 <= abs(i - j) <= Q.REACH:
+                for place, sign in Q._index(h[t[j]]):
+                    whole[Q._rows(h[t[i]])[0], place[0]] += sign[0]
+    whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1)
+    whole -= whole.mean(0)
+    docs = table(list(enumerate(texts)))
+    vectors = Q.word_vectors(docs)
+    np.testing.assert_allclose(vectors, whole, atol=1e-6)
+    batch = Q.pa.RecordBatch.from_arrays([Q.pa.array(range(len(texts))), Q.pa.array(texts)], ["doc_id", "text"])
+    pooled = [np.frombuffer(x, np.float32) for x in next(Q._pool(vectors)([batch])).column(1).to_pylist()]
+    for t, found in zip(tokens, pooled, strict=True):
+        each = np.array([whole[Q._rows(h[w])[0]] for w in t]).reshape(-1, Q.WIDTH)
+        want = np.concatenate([each.mean(0), each.std(0), [np.log1p(len(t)) / 10, len(set(t)) / len(t)]]) if t else np.zeros(2 * Q.WIDTH + 2)
+        np.testing.assert_allclose(found, want, atol=1e-5)
+
+
+def test_the_training_rows_are_those_of_the_smallest_hashes(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.encode(F.col("id").cast("string"), "utf-8").alias("pooled")).repartition(16)
+    want = sorted(r.doc_id for r in rows.orderBy(F.xxhash64("doc_id")).limit(300).collect())
+    assert [r.doc_id for r in Q._smallest(rows, 300)] == want
+    assert len(Q._smallest(rows, 9000)) == 5000 and Q._smallest(rows.limit(0), 5) == []
