@@ -16,13 +16,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import small_batches, tidy
-from .text import Shingler, column_bytes, pieces
+from .store import small_batches, stash, tidy
+from .text import U64, Shingler, column_bytes, pieces
 
-#: Items in a block at most. A block's sketches and shingles go to every task; more items mean more blocks.
-BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
+#: Shingles of the items in a block, about: 64 MB. A block goes to every task; each further one is another pass over the documents.
+BLOCK_SHINGLES = 8_000_000
 
 FOUND = T.StructType(
     [
@@ -36,63 +37,71 @@ FOUND = T.StructType(
 
 
 class Index:
-    """The sketches and shingle sets of one block of items."""
-
-    def __init__(self, items: list[tuple[int, bytes]], percent: int = 75, k: int = 5):
-        self.percent, self.k, self.sets = percent, k, {}
-        data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
-        at = np.concatenate([[0], np.cumsum([len(t) for _, t in items], dtype=np.int64)]).astype(np.int64)
-        hashes, where = Shingler(k).shingles(data, at)
-        self.ids = [i for i, _ in items]
-        keys, owners = [], []
-        for row in range(len(items)):
-            found = np.unique(hashes[where[row] : where[row + 1]])
-            if len(found):
-                self.sets[row] = found
-                top = 1 << (len(found) - 1).bit_length()  # the partition: sizes over top / 2, up to top
-                sketch = found[: top - -(-percent * top // 100) + 1]
-                keys.append(sketch)
-                owners.append(np.full(len(sketch), row))
-        self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        self.owners = np.concatenate(owners) if owners else np.empty(0, np.int64)
+    """The sketches and shingle sets of one block of items. items: (item_id, its distinct shingles in order)."""
+
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], percent: int = 75, k: int = 5):
+        self.percent, self.k, self.ids = percent, k, [i for i, _ in items]
+        self.at = np.concatenate([[0], np.cumsum([len(s) for _, s in items], dtype=np.int64)]).astype(np.int64)
+        self.shingles = np.concatenate([s for _, s in items]) if items else np.empty(0, U64)
+        size = np.diff(self.at)
+        # The partition: sizes over top / 2, up to top.
+        top = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+        wanted = np.minimum(top + percent * top // -100 + 1, size)
+        inner = np.arange(self.at[-1]) - np.repeat(self.at[:-1], size)
+        mine = inner < np.repeat(wanted, size)
+        self.keys, self.owners = self.shingles[mine], np.repeat(np.arange(len(size)), size)[mine]
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.owners = self.keys[order], self.owners[order]
-        self.screen = np.zeros(1 << 20, bool)
-        self.screen[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.bits = U64((1 << min(max(20, (16 * len(self.keys)).bit_length()), 25)) - 1)
+        self.screen = np.zeros(int(self.bits) + 1, bool)
+        self.screen[(self.keys & self.bits).astype(np.int64)] = True
 
     def search(self, hashes: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, item's place, its shingles, shared ones) of all contained items. hashes: the rows' shingles."""
-        hit = np.flatnonzero(self.screen[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        hit = np.flatnonzero(self.screen[(hashes & self.bits).astype(np.int64)])
         low = np.searchsorted(self.keys, hashes[hit])
         real = low < len(self.keys)
         real[real] = self.keys[low[real]] == hashes[hit[real]]
-        rows = np.searchsorted(at, hit[real], "right") - 1
-        for row in np.unique(rows):
-            mine = np.unique(hashes[hit[real][rows == row]])
+        hit, rows = hit[real], np.searchsorted(at, hit[real], "right") - 1
+        cuts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1, [len(rows)]]) if len(rows) else [0]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            row, mine = int(rows[start]), np.unique(hashes[hit[start:end]])
             a, b = np.searchsorted(self.keys, mine), np.searchsorted(self.keys, mine, "right")
             own = np.unique(hashes[at[row] : at[row + 1]])
             for item in np.unique(np.concatenate([self.owners[i:j] for i, j in zip(a, b, strict=True)])):
-                want = self.sets[item]
+                want = self.shingles[self.at[item] : self.at[item + 1]]
                 place = np.minimum(np.searchsorted(own, want), len(own) - 1)
                 shared = int((own[place] == want).sum())
                 if 100 * shared >= self.percent * len(want):
-                    yield int(row), int(item), len(want), shared
+                    yield row, int(item), len(want), shared
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The stated query set in blocks of bounded size. Items without an id are left out: nothing could name them."""
-    block, size = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        if row.item_id is None or row.text is None:
-            continue
-        text = row.text.encode()
-        if block and (len(block) >= BLOCK_ITEMS or size + len(text) > BLOCK_BYTES):
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, text))
-        size += len(text)
-    if block:
-        yield block
+def _sets(k: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(k)
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(1))
+            n, sets = [], []
+            for a, b in pieces(offsets):
+                hashes, at = shingler.shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for row in range(b - a):
+                    found = np.unique(hashes[at[row] : at[row + 1]])
+                    n.append(len(found))
+                    sets.append(found.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], ["item_id", "n", "shingles"])
+
+    return run
+
+
+def blocks(benchmark: DataFrame, percent: int = 75, k: int = 5) -> Iterator[Index]:
+    """Indexes of the stated query set, in blocks of a size that is checked. An item without an id counts as any other."""
+    sets = benchmark.selectExpr("cast(item_id as long) item_id", "text").mapInArrow(tidy(_sets(k)), "item_id long, n long, shingles binary")
+    items = stash(sets.filter("n > 0").select(F.monotonically_increasing_id().alias("row"), "*"), "items")
+    total = items.agg(F.sum("n")).first()[0] or 0
+    count = -(-total // BLOCK_SHINGLES)
+    for block in range(count):
+        rows = items.filter(F.pmod(F.xxhash64("row"), F.lit(count)) == block).orderBy("row").collect()
+        yield Index([(r.item_id, np.frombuffer(bytes(r.shingles), "<u8").astype(U64)) for r in rows], percent, k)
 
 
 def _searcher(index: Index):
@@ -118,14 +127,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k: in
     An item of fewer than k words is one shingle, which only a document of the
     same few words has. Items or documents without words match nothing; a null
     text counts as empty. Repeated rows are returned as often as they occur, and
-    items with equal texts each. Other columns are not looked at.
+    items with equal texts each; an item's or document's id may be null. Other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     found = None
-    for block in blocks(benchmark):
-        part = rows.mapInArrow(tidy(_searcher(Index(block, percent, k))), FOUND)
+    for index in blocks(benchmark, percent, k):
+        part = rows.mapInArrow(tidy(_searcher(index)), FOUND)
         found = part if found is None else found.unionAll(part)
     return spark.createDataFrame([], FOUND) if found is None else found
 
@@ -146,8 +155,8 @@ def _sieve(index: Index, text_at: int):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
-    """`docs` with all its columns, without the documents that `contaminated` finds. One pass for each block of items."""
+    """`docs` with all its columns, without the documents that `contaminated` finds, items without an id among the rest. One pass for each block."""
     small_batches(docs.sparkSession)
-    for block in blocks(benchmark):
-        docs = docs.mapInArrow(tidy(_sieve(Index(block, percent, k), docs.columns.index("text"))), docs.schema)
+    for index in blocks(benchmark, percent, k):
+        docs = docs.mapInArrow(tidy(_sieve(index, docs.columns.index("text"))), docs.schema)
     return docs

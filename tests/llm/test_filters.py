@@ -37,8 +37,8 @@ def test_contamination(documents, benchmark):
 
 
 def test_contamination_of_odd_rows(spark, table, odd, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK_ITEMS", 2)
-    items = [(1, "one two"), (2, None), (3, ""), (4, "a null id has a text"), (5, " ".join(f"word{k}" for k in range(50))), (6, "not in any of the texts here")]
+    monkeypatch.setattr(D, "BLOCK_SHINGLES", 20)
+    items = [(1, "one two"), (2, None), (3, ""), (None, "tab here and there tab"), (4, "a null id has a text"), (5, " ".join(f"word{k}" for k in range(50))), (6, "not in any of the texts here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     key = lambda r: tuple(-1 if v is None else v for v in r)
     found = sorted((tuple(r)[:4] for r in D.contaminated(table(odd), bench).collect()), key=key)
@@ -46,6 +46,8 @@ def test_contamination_of_odd_rows(spark, table, odd, monkeypatch):
     assert D.contaminated(table([]), bench).collect() == []
     assert D.contaminated(table(odd), bench.limit(0)).collect() == []
     assert D.drop_contaminated(table(odd), bench.limit(0)).count() == len(odd)
+    unnamed = spark.createDataFrame([(None, "one two")], "item_id long, text string")
+    assert D.drop_contaminated(table(odd), unnamed).count() == len(odd) - 2
 
 
 def _leaks_with_nulls(rows, items):
