@@ -4,16 +4,24 @@ The base kinds are found by fixed rules and always count. Generators of high
 recall propose further, possibly overlapping spans; boosted trees judge each by
 its format and by the words around it; what passes its kind's calibrated
 threshold is taken, the most probable first among overlapping ones. There are
-no labelled spans to learn from, so the trees are trained here, on candidates
-of known kind that a seeded rule writes: 3,000 of them, whatever the corpus.
+no labelled spans to learn from, so the trees learn from candidates whose kind
+is known: base spans of the corpus written in a form that no base rule finds
+(a phone number without its country, an address with (at) for @), candidates of
+the corpus that are certainly something else (within an address of a machine or
+a card number, or of a card's form with a wrong check digit), and, for kinds
+that the corpus may lack, 3,000 that a seeded rule writes. The sample of the
+corpus is bounded: of each kind and truth those of the smallest hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +32,8 @@ from .store import small_batches, tidy
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("local_phone", "id_number", "iban", "email_words", "ipv6")
 KINDS = BASE + ADDED
+#: Candidates of the corpus of each kind and truth that the trees learn from at most, and the parts in which they are chosen.
+SAMPLE, SAMPLE_PARTS = 1_024, 32
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -113,7 +123,7 @@ def describe(text: str, start: int, kind: int, end: int) -> list[float]:
     date = len(groups) == 3 and (1900 <= first <= 2100 or 1900 <= int(groups[-1][:4]) <= 2100)
     return [
         kind, end - start, len(digits), sum(c.isalpha() for c in span), sum(not c.isalnum() for c in span), len(groups), max(sizes), min(sizes),
-        len(set(digits)), "(" in span, kinds(before[-1:]), kinds(text[end : end + 1]), bool(_ASKED.search(before)), bool(_OTHER.search(before)),
+        len(set(digits)), "(" in span or "[" in span, kinds(before[-1:]), kinds(text[end : end + 1]), bool(_ASKED.search(before)), bool(_OTHER.search(before)),
         _mod97(span) if kind == 6 else digits[:3] not in ("000", "666") and digits[:1] != "9" if kind == 5 else 0, date, span[:1] in "(0", "/" in span, "." in span,
     ]
 
@@ -196,7 +206,10 @@ class Trees:
 
 
 def examples(n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of known kind in a line of text: personal data after fitting words, look-alikes after others."""
+    """Candidates of known kind in a line of text: personal data after fitting words, look-alikes after others.
+
+    After a word that asks for it, what has the form is personal data: a look-alike there has another form.
+    """
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(2, 8)))
@@ -212,12 +225,13 @@ def examples(n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     rows, truth = [], []
     while len(rows) < n:
         kind, real = rng.randint(4, 8), rng.random() < 0.5
+        likely = rng.random() < (0.7 if real else 0.1)
         if kind == 4:
             span = rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"0{d(2)} {d(3)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)}/{d(3)} {d(3)}"]) if real else rng.choice(
-                [f"{rng.randint(1950, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{d(2)}.{d(2)}.{rng.randint(1950, 2030)}", f"{d(3)}.{d(3)}.{d(3)}", f"{d(4)} {d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(2)}.{d(3)}.{d(2)}"]
+                [f"{rng.randint(1950, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{d(2)}.{d(2)}.{rng.randint(1950, 2030)}", f"{d(3)}.{d(3)}.{d(3)}", f"{d(4)} {d(4)} {d(4)}", f"{d(2)}.{d(3)}.{d(2)}", *([] if likely else [f"{d(3)}-{d(3)}-{d(4)}"])]
             )
         elif kind == 5:
-            span = f"{rng.randint(100, 899)}-{d(2)}-{d(4)}" if real else rng.choice([f"{rng.choice(['000', '666', '9' + d(2)])}-{d(2)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}"])
+            span = f"{rng.randint(100, 899)}-{d(2)}-{d(4)}" if real else rng.choice([f"{rng.choice(['000', '666', '9' + d(2)])}-{d(2)}-{d(4)}", *([] if likely else [f"{d(3)}-{d(2)}-{d(4)}"])])
         elif kind == 6:
             span = iban(real)
         elif kind == 7:
@@ -225,7 +239,6 @@ def examples(n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
             span = f"{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}" if real else f"{word()}{at}{word()}{dot}{word()}"
         else:
             span = ":".join(f"{rng.randint(4096, 65535):x}" for _ in range(8)) if real else ":".join(d(2) for _ in range(rng.randint(4, 6)))
-        likely = rng.random() < (0.7 if real else 0.1)
         cue = rng.choice(asked[kind]) if likely else word() if real or rng.random() < 0.3 else rng.choice(other)
         text = f"{word()} {word()} {cue}{rng.choice([': ', ' '])}{span}{rng.choice(['', '.', ' ' + word()])}"
         start = text.rindex(span)
@@ -234,6 +247,108 @@ def examples(n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, float), np.array(truth, float)
 
 
+def _overlap(spans: list[tuple[int, int, int]]):
+    """A test of (start, end): does any of the spans, in order of start, overlap it?"""
+    starts, reach = [s[0] for s in spans], list(accumulate((s[2] for s in spans), max))
+    return lambda start, end: (n := bisect_left(starts, end)) > 0 and reach[n - 1] > start
+
+
+def known_candidates(text: str) -> Iterator[tuple[int, int, str, int, int]]:
+    """(kind, truth, line, start, end): what the base spans of a text and the candidates beside them teach."""
+    if not _DIGIT.search(text) and "@" not in text:
+        return
+    base = base_spans(text)
+    around = lambda a, span, b: (text[max(0, a - 32) : a], span, text[b : b + 16])
+    lines = []
+    for a, kind, b in base:
+        span = text[a:b]
+        if kind == 3:
+            lines.append((4, 1, around(a, re.sub(r"^\+[0-9]{1,3}[ .-]+", "", span), b)))
+        elif kind == 0:
+            name, host = span.split("@", 1)
+            at, dot = ("(at)", "(dot)") if len(span) % 2 else (" [at] ", " [dot] ")
+            lines.append((7, 1, around(a, name.lstrip("%+-._") + at + dot.join(host.split(".")[-2:]), b)))
+        elif kind == 2:
+            digits = "".join(_DIGIT.findall(span))
+            wrong = digits[:-1] + str((int(digits[-1]) + 1) % 10)
+            lines.append((4, 0, around(a, " ".join(wrong[i : i + 4] for i in range(0, len(wrong), 4)), b)))
+    other = _overlap([s for s in base if s[1] in (1, 2)])
+    for a, kind, b in proposals(text, True):
+        if other(a, b):
+            lines.append((kind, 0, around(a, text[a:b], b)))
+    for kind, truth, (before, span, after) in lines:
+        line, start = before + span + after, len(before)
+        if (start, kind, start + len(span)) in proposals(line, True):
+            yield kind, truth, line, start, start + len(span)
+
+
+_KNOWN = "part int, place long, kind int, truth int, line string, start int, end int"
+
+
+def _sample(find: bool, most: int, parts: int):
+    """Of each kind, truth and part of the hashes, the `most` candidates of the smallest hash; from texts, or from rows of candidates."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int, int], list] = {}
+        seen: set[int] = set()
+        for batch in batches:
+            if find:
+                rows = (x for text in batch.column(0).to_pylist() if text for x in known_candidates(text))
+            else:
+                rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            for kind, truth, *rest in rows:
+                place = int.from_bytes(hashlib.blake2b(repr((kind, truth, rest)).encode(), digest_size=8).digest(), "little") >> 1
+                heap = held.setdefault((kind, truth, place % parts), [])
+                if place in seen or (len(heap) == most and -place < heap[0][0]):
+                    continue
+                seen.add(place)
+                gone = heapq.heappushpop(heap, (-place, rest)) if len(heap) == most else heapq.heappush(heap, (-place, rest))
+                if gone:
+                    seen.discard(-gone[0])
+        rows = [(part, -p, kind, truth, *rest) for (kind, truth, part), heap in held.items() for p, rest in heap]
+        if rows:
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _KNOWN.split(", ")])
+
+    return run
+
+
+def corpus_examples(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and truths of known candidates of the corpus, SAMPLE of each kind and truth at most, in order of their hashes."""
+    small_batches(docs.sparkSession)
+    mine = docs.select("text").mapInArrow(tidy(_sample(True, SAMPLE // SAMPLE_PARTS, SAMPLE_PARTS)), _KNOWN)
+    chosen = mine.repartition(SAMPLE_PARTS, "part").mapInArrow(tidy(_sample(False, SAMPLE // SAMPLE_PARTS, SAMPLE_PARTS)), _KNOWN)
+    rows = sorted((r.place, r.kind, r.truth, r.line, r.start, r.end) for r in chosen.collect())
+    x = [describe(line, start, kind, end) for _, kind, _, line, start, end in rows]
+    return np.array(x, float).reshape(len(rows), len(describe("1", 0, 4, 1))), np.array([r[2] for r in rows], float)
+
+
+def known_examples(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All that is known to learn from: written candidates and those of the corpus, mixed."""
+    parts = [examples(), corpus_examples(docs)]
+    x, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.random.default_rng(5).permutation(len(y))
+    return x[order], y[order]
+
+
+def train(docs: DataFrame) -> Trees:
+    return Trees().fit(*known_examples(docs))
+
+
+def held_out_figures(docs: DataFrame) -> dict[str, tuple[int, float, float]]:
+    """For each added kind: candidates that are kept from learning, every fifth, and precision and recall on them."""
+    x, y = known_examples(docs)
+    out = np.arange(len(y)) % 5 == 0
+    trees = Trees().fit(x[~out], y[~out])
+    x, y, found = x[out], y[out], {}
+    taken = trees.probability(x) >= np.array([trees.threshold[int(k)] for k in x[:, 0]])
+    for kind in range(len(BASE), len(KINDS)):
+        mine = x[:, 0] == kind
+        right = float((taken & mine & (y == 1)).sum())
+        found[KINDS[kind]] = int(mine.sum()), right / max((taken & mine).sum(), 1), right / max((mine & (y == 1)).sum(), 1)
+    return found
+
+
 class Finder:
     """Base spans and what the trees add to them."""
 
@@ -245,20 +360,28 @@ class Finder:
         found, rows, where = [], [], []
         for k, text in enumerate(texts):
             base = base_spans(text) if text else []
-            found.append((base, list(base)))
-            for s in proposals(text, bool(_DIGIT.search(text))) if text else ():
-                if not any(s[0] < b[2] and b[0] < s[2] for b in base):
+            found.append((base, base))
+            if not text:
+                continue
+            taken = _overlap(base)
+            for s in proposals(text, bool(_DIGIT.search(text))):
+                if not taken(s[0], s[2]):
                     rows.append(describe(text, *s))
                     where.append((k, s))
         if rows:
             p = self.trees.probability(np.array(rows, float))
+            added: dict[int, list] = {}
             for i in sorted(range(len(rows)), key=lambda i: (where[i][0], -p[i], where[i][1])):
                 k, s = where[i]
-                every = found[k][1]
-                if p[i] >= self.trees.threshold[s[1]] and not any(s[0] < b[2] and b[0] < s[2] for b in every):
-                    every.append(s)
-            for _, every in found:
-                every.sort()
+                if p[i] < self.trees.threshold[s[1]]:
+                    continue
+                mine = added.setdefault(k, [])
+                n = bisect_left(mine, s)
+                # They don't overlap each other, so only the nearest on each side can overlap one more.
+                if (n == len(mine) or mine[n][0] >= s[2]) and (n == 0 or mine[n - 1][2] <= s[0]):
+                    insort(mine, s)
+            for k, mine in added.items():
+                found[k] = found[k][0], sorted(found[k][0] + mine)
         return found
 
 
@@ -297,13 +420,13 @@ def _scan(trees: Trees):
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """(doc_id, counts of the base kinds, base_sha256, spans) for each row of `docs`, in one pass.
+    """(doc_id, counts of the base kinds, base_sha256, spans) for each row of `docs`, in one pass after one for the trees.
 
     A null text counts as empty; repeated rows get equal results. Added spans
     overlap neither base spans nor each other. Other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(_scan(Trees().fit(*examples()))), FOUND)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(_scan(train(docs))), FOUND)
 
 
 def _redactor(trees: Trees, text_at: int, size_at: int | None):
@@ -326,4 +449,4 @@ def redact_pii(docs: DataFrame) -> DataFrame:
     """`docs` with the found spans replaced in `text`, and `n_chars`, if there is such a column, set anew where a text changed."""
     small_batches(docs.sparkSession)
     at = docs.columns.index
-    return docs.mapInArrow(tidy(_redactor(Trees().fit(*examples()), at("text"), at("n_chars") if "n_chars" in docs.columns else None)), docs.schema)
+    return docs.mapInArrow(tidy(_redactor(train(docs), at("text"), at("n_chars") if "n_chars" in docs.columns else None)), docs.schema)

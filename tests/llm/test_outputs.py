@@ -239,7 +239,7 @@ def test_pipeline(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
     gone = {k for k, *_ in leaks(rows, items)}
     rows = [(k, t) for k, t in rows if k not in gone]
-    finder = P.Finder(P.Trees().fit(*P.examples()))
+    finder = P.Finder(P.train(spark.createDataFrame(rows, "doc_id long, text string")))
     rows = [(k, P.redact(t, finder.find([t])[0][1])) for k, t in rows]
     tokenizer = Tokenizer.from_file(PATH)
     want = set()
