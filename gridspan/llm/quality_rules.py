@@ -208,17 +208,15 @@ class LabelModel:
 
     def posterior(self) -> Column:
         """The probability of the good class as an expression over the votes."""
-        odds = F.lit(1.0)
         start, gain = np.log(self.share[1:] / self.share[0]), np.log(self.chance[1:] / self.chance[0])
-        for c in range(len(start)):
-            score = F.lit(float(start[c]))
-            for rule, by_level in zip(RULES, gain[c].tolist(), strict=True):
-                vote = F.when(F.col(rule) == LEVELS[0], by_level[0])
-                for level, value in zip(LEVELS[1:], by_level[1:], strict=True):
-                    vote = vote.when(F.col(rule) == level, value)
-                score = score + vote.otherwise(0.0)
-            odds = odds + F.exp(score)
-        return F.lit(1.0) / odds
+        classes, rules = gain.shape[:2]
+        # A table of constants, looked up class by class and rule by rule: written out, it would be too much code for one method.
+        by_vote = np.zeros((classes, rules, 4))
+        by_vote[:, :, [v + 2 for v in LEVELS]] = gain
+        table, first = (F.array(*map(F.lit, x.ravel().tolist())) for x in (by_vote, start))
+        vote = F.array(*(F.col(rule).cast("int") + 2 for rule in RULES))
+        score = lambda c: F.aggregate(F.transform(vote, lambda v, r: table[(c * rules + r) * 4 + v]), first[c], lambda acc, x: acc + x)
+        return F.lit(1.0) / F.aggregate(F.sequence(F.lit(0), F.lit(classes - 1)), F.lit(1.0), lambda odds, c: odds + F.exp(score(c)))
 
 
 def fit_label_model(measured: DataFrame) -> LabelModel:

@@ -110,6 +110,43 @@ def test_a_weak_bad_vote_can_be_outvoted(table):
     assert {r.doc_id for r in Q.keep_quality(table(rows)).collect()} == {k for k, _ in clean + tables}
 
 
+def plain_posteriors(votes):
+    """The probability of the good class of each document, by expectation-maximisation with a loop over documents, rules and classes."""
+    n, levels = len(votes[0]), list(Q.LEVELS)
+    prior = [[list(Q.OWN_KIND if c == r + 1 else Q.ELSEWHERE) for r in range(n)] for c in range(n + 1)]
+    base = [1 - Q.JUNK] + [Q.JUNK / n] * n
+    chance, share = prior, base
+
+    def classes(v):
+        p = [share[c] * float(np.prod([chance[c][r][levels.index(x)] for r, x in enumerate(v) if x])) for c in range(n + 1)]
+        return [x / sum(p) for x in p]
+
+    for _ in range(500):
+        each = [classes(v) for v in votes]
+        weight = [sum(e[c] for e in each) for c in range(n + 1)]
+        new = []
+        for c in range(n + 1):
+            rules = []
+            for r in range(n):
+                cast = [sum(e[c] for e, v in zip(each, votes, strict=True) if v[r] == x) + (Q.WEIGHT + weight[c]) * prior[c][r][k] for k, x in enumerate(levels)]
+                rules.append([x / sum(cast) for x in cast])
+            new.append(rules)
+        shares = [(weight[c] + Q.WEIGHT * base[c]) / (len(votes) + Q.WEIGHT) for c in range(n + 1)]
+        moved = max(np.abs(np.array(new) - np.array(chance)).max(), np.abs(np.array(shares) - np.array(share)).max())
+        chance, share = new, shares
+        if moved < 1e-7:
+            break
+    return [classes(v)[0] for v in votes]
+
+
+def test_kept_is_what_a_plain_em_says(documents):
+    found = Q.quality(documents).collect()
+    want = plain_posteriors([tuple(r[k] for k in Q.RULES) for r in found])
+    for r, p in zip(found, want, strict=True):
+        assert abs(r.posterior - p) < 1e-4
+        assert r.kept == (not r.base_failed and p >= 0.5)
+
+
 def base_pii(text):
     text, out = text or "", []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
