@@ -496,13 +496,16 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFra
 
     Rows that share a doc_id, or have none, with different texts are documents of their own.
     """
-    keys = row_keys(docs)
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # no name of docs can clash with those used here
+    own_id, own_text = (plain[names.index(c)] for c in ("doc_id", "text"))
+    rows, keys = docs.toDF(*plain), row_keys(docs)
     if keys is None:
-        keyed = docs.withColumn("_row", doc_key())
+        keyed = rows.withColumn("row", doc_key(own_id))
     else:
-        names = keys.select(F.col("k").alias("_row"), F.col("d").alias("_d"), F.col("h").alias("_h"))
-        keyed = docs.withColumns({"_d": doc_key(), "_h": text_key()}).join(names, ["_d", "_h"]).drop("_d", "_h")
-    groups = stash(near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), percent, k), "near-duplicates")
-    dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(_NULL)).alias("_dropped"))
-    left = keyed.join(dropped, keyed["_row"] == dropped["_dropped"], "left_anti")
-    return (left if keys is None else left.dropDuplicates(["_row"])).drop("_row")
+        told = keys.select(F.col("k").alias("row"), "d", "h")
+        keyed = rows.withColumns({"d": doc_key(own_id), "h": text_key(own_text)}).join(told, ["d", "h"])
+    groups = stash(near_duplicates(keyed.select(F.col("row").alias("doc_id"), F.col(own_text).alias("text")), percent, k), "near-duplicates")
+    dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(_NULL)).alias("row"))
+    left = keyed.join(dropped, "row", "left_anti")
+    return (left if keys is None else left.dropDuplicates(["row"])).select(*(F.col(p).alias(n) for p, n in zip(plain, names, strict=True)))

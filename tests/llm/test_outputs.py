@@ -285,3 +285,32 @@ def test_the_training_rows_are_those_of_the_smallest_hashes(spark):
     want = sorted(r.doc_id for r in rows.orderBy(F.xxhash64("doc_id")).limit(300).collect())
     assert [r.doc_id for r in Q._smallest(rows, 300)] == want
     assert len(Q._smallest(rows, 9000)) == 5000 and Q._smallest(rows.limit(0), 5) == []
+
+
+def pipeline_folder(spark, folder, rows, benchmark):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.withColumns({c: F.lit("x") for c in ("k", "n", "key", "_c0", "group", "_row")}).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_odd_rows(spark, odd, tmp_path):
+    """Null and shared ids of unlike texts, nulls elsewhere, repeated rows, an item without an id: nothing is lost that should stay."""
+    import corpus_pipeline as C
+
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    good = [(None, words(80)), (None, words(90)), (500, words(70)), (500, words(75)), (501, words(3000)), (502, words(100) + " write to a.b@c.de")]
+    item = words(30)
+    rows = [(k, t, None if k else "en", None, None if t is None else len(t)) for k, t in [*odd, *good, (503, good[0][1]), good[4], (504, words(60) + " " + item)]]
+    path = pipeline_folder(spark, tmp_path, rows, [(None, item), (1, None), (2, "")])
+    found = C.run(spark, path).collect()
+    assert Counter(r.doc_id for r in found if r.piece == 0 and r.doc_id not in {k for k, _ in odd if k}) == Counter([None, None, 500, 500, 501, 502])
+    assert max(r.piece for r in found if r.doc_id == 501) > 0
+    packed_well(found)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as C
+
+    assert C.run(spark, pipeline_folder(spark, tmp_path, [], [])).collect() == []
