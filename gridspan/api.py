@@ -179,3 +179,213 @@ linalg_norm = linalg.norm
 fft = SimpleNamespace(**{n: getattr(spectral, n) for n in dir(spectral) if "fft" in n and not n.startswith("_")})
 lib = SimpleNamespace(scimath=SimpleNamespace(**{n.removeprefix("scimath_"): getattr(elementwise, n) for n in dir(elementwise) if n.startswith("scimath_")}))
 polynomial = polynomials
+
+
+# Aliases and shapes
+
+cumulative_prod, product, alltrue, sometrue = globals()["cumprod"], globals()["prod"], globals()["all"], globals()["any"]
+row_stack = _array.vstack
+
+
+def asarray(a: GridArray) -> GridArray:
+    return a
+
+
+#: Memory layout has no meaning here, so what is required of it always holds.
+require = asarray
+
+
+def isscalar(x) -> bool:
+    return isinstance(x, (int, float, complex, str, bytes, bool))
+
+
+def isrealobj(a: GridArray) -> bool:
+    return not iscomplexobj(a)
+
+
+def iscomplexobj(a: GridArray) -> bool:
+    """Complex cells are structs of re and im."""
+    return a.dtype.startswith("struct<re:")
+
+
+def matrix_transpose(a: GridArray) -> GridArray:
+    return a.swapaxes(-1, -2)
+
+
+def broadcast_arrays(*arrays: GridArray) -> list[GridArray]:
+    wide = _array.broadcast_shapes(*(a.shape for a in arrays))
+    return [a.broadcast_to(wide) for a in arrays]
+
+
+def repmat(a: GridArray, m: int, n: int) -> GridArray:
+    return _array.atleast_2d(a).tile(m, n)
+
+
+def fromiter(spark, values) -> GridArray:
+    """From the driver: for small arrays."""
+    return _array.array(spark, [float(v) for v in values])
+
+
+def ndenumerate(a: GridArray):
+    """Coordinates and values, as a DataFrame."""
+    return a.df
+
+
+def ndindex(spark, *shape: int):
+    return _array.indices_frame(spark, shape)
+
+
+# Cells by position
+
+
+def put_along_axis(a: GridArray, index: GridArray, values: GridArray | float, axis: int) -> GridArray:
+    """A copy with the cells that `index` names along the axis, lane by lane, replaced; of repeated places one value is taken, the largest."""
+    from pyspark.sql import functions as F
+
+    axis = a._axis(axis)
+    at, n = f"i{axis}", a.shape[axis]
+    marks = index.apply(lambda k, v: F.struct(F.pmod(k.cast("long"), F.lit(n)).alias("at"), v.alias("new")), values)
+    told = marks.df.select(*a._keys(axis), F.col("x.at").alias(at), F.col("x.new").alias("_new")).groupBy(*a.axes).agg(F.max(F.struct("_new")).alias("_s"))
+    joined = a.df.join(told, a.axes, "left")
+    return GridArray(joined.select(*a.axes, F.when(F.col("_s").isNotNull(), F.col("_s._new")).otherwise(F.col("x")).alias("x")), a.shape)
+
+
+def _named(a: GridArray, index: tuple[GridArray, ...]):
+    """(place axes, _t: an index tuple's place in a, by axis): index arrays broadcast against each other."""
+    from pyspark.sql import functions as F
+
+    def place(*k):
+        return F.struct(*(F.pmod(c.cast("long"), F.lit(n)).alias(f"i{j}") for j, (c, n) in enumerate(zip(k, a.shape, strict=True))))
+
+    return index[0].apply(place, *index[1:])
+
+
+def fancy_get(a: GridArray, *index: GridArray) -> GridArray:
+    """a[i, j, ..] of one index array for each axis: a join on places."""
+    from pyspark.sql import functions as F
+
+    places = _named(a, index)
+    asked = places.df.select(*(F.col(c).alias(f"_q{k}") for k, c in enumerate(places.axes)), *(F.col(f"x.{c}").alias(c) for c in a.axes))
+    found = asked.join(a.df, a.axes)
+    return GridArray(found.select(*(F.col(f"_q{k}").alias(c) for k, c in enumerate(places.axes)), "x"), places.shape)
+
+
+def fancy_set(a: GridArray, index: tuple[GridArray, ...], value: float) -> GridArray:
+    from pyspark.sql import functions as F
+
+    marks = _named(a, index).df.select("x.*").distinct().withColumn("_hit", F.lit(True))
+    return GridArray(a.df.join(marks, a.axes, "left").select(*a.axes, F.when(F.col("_hit"), value).otherwise(F.col("x")).alias("x")), a.shape)
+
+
+def copyto(a: GridArray, source: GridArray | float, where: GridArray | None = None) -> GridArray:  # noqa: A002
+    """The array with `source` where the condition holds: arrays never change, so the new one is returned."""
+    from pyspark.sql import functions as F
+
+    if where is None:
+        return a.apply(lambda x, y: y + F.lit(0), source)
+    return a.apply(lambda x, y, c: F.when(c.cast("boolean"), y).otherwise(x), source, where)
+
+
+def tril_indices_from(a: GridArray, k: int = 0) -> list[GridArray]:
+    return tril_indices(a.df.sparkSession, a.shape[0], k, a.shape[1])
+
+
+def triu_indices_from(a: GridArray, k: int = 0) -> list[GridArray]:
+    return triu_indices(a.df.sparkSession, a.shape[0], k, a.shape[1])
+
+
+def diag_indices_from(a: GridArray) -> list[GridArray]:
+    if len(set(a.shape)) != 1:
+        raise ValueError("all extents must be equal")
+    return diag_indices(a.df.sparkSession, a.shape[0], a.ndim)
+
+
+def mask_indices(mask: GridArray) -> list[GridArray]:
+    """The coordinates of true cells, in order, one array for each axis."""
+    found = mask.nonzero()
+    n = found.count()
+    return [GridArray(found.selectExpr("place as i0", f"{c} as x"), [n]) for c in mask.axes]
+
+
+class _Grid:
+    """mgrid(spark)[0:2, 0:3]: the coordinates as dense arrays, or open ones that broadcast to them."""
+
+    def __init__(self, spark, sparse: bool):
+        self.spark, self.sparse = spark, sparse
+
+    def __getitem__(self, key) -> list[GridArray]:
+        cuts = key if isinstance(key, tuple) else (key,)
+        lines = [_array.arange(self.spark, c.start or 0, c.stop, c.step or 1) for c in cuts]
+        if len(lines) == 1:
+            return lines
+        open_ones = ix_(*lines)
+        return open_ones if self.sparse else broadcast_arrays(*open_ones)
+
+
+def mgrid(spark) -> _Grid:
+    return _Grid(spark, False)
+
+
+def ogrid(spark) -> _Grid:
+    return _Grid(spark, True)
+
+
+class _IndexExpression:
+    def __getitem__(self, key):
+        return key
+
+
+index_exp = s_ = _IndexExpression()
+
+
+# Order, phases, records
+
+
+def sort_complex(df, column: str, index: str, out: str = "place"):
+    """`df` with the place of its complex column, by real part, then imaginary, then the index."""
+    from pyspark.sql import functions as F
+
+    from gridspan.layout import ranked
+
+    led = df.withColumns({"_re": F.col(f"{column}.re").cast("double"), "_im": F.col(f"{column}.im").cast("double")})
+    return ranked(led, ["_re", "_im", index], out, (), "_re").drop("_re", "_im")
+
+
+def unwrap(a: GridArray, period: float = 2 * pi) -> GridArray:
+    """Jumps of half a period or more become those below it, by whole periods: a running sum of corrections."""
+    from pyspark.sql import functions as F
+
+    half = period / 2
+
+    def correction(d):
+        turned = F.pmod(d + half, F.lit(period)) - half
+        turned = F.when((turned == -half) & (d > 0), half).otherwise(turned)
+        return F.when(F.abs(d) < half, 0.0).otherwise(turned - d)
+
+    steps = a.diff().apply(correction)
+    return a + _array.concatenate([_array.zeros(a.df.sparkSession, [1]), steps]).cumsum()
+
+
+def append_fields(df, record: str, **fields):
+    """A struct column, here a record array, with further fields."""
+    from pyspark.sql import functions as F
+
+    old = df.schema[record].dataType.fieldNames()
+    return df.withColumn(record, F.struct(*(F.col(record)[n].alias(n) for n in old), *(c.alias(n) for n, c in fields.items())))
+
+
+class LinAlgError(ValueError):
+    """Of a matrix that an operation has no result for."""
+
+
+def normalize_axis_index(axis: int, ndim: int) -> int:
+    if not -ndim <= axis < ndim:
+        raise IndexError(f"axis {axis} is out of bounds for {ndim} dimensions")
+    return axis % ndim
+
+
+def normalize_axis_tuple(axis, ndim: int) -> tuple[int, ...]:
+    found = tuple(normalize_axis_index(k, ndim) for k in ((axis,) if isinstance(axis, int) else axis))
+    if len(set(found)) != len(found):
+        raise ValueError("repeated axis")
+    return found

@@ -323,9 +323,9 @@ class GridArray:
         a = self if axis is not None else self.ravel()
         axis = a._axis(-1 if axis is None else axis)
         i = f"i{axis}"
-        key = F.col("x").desc_nulls_last() if descending else F.col("x").asc_nulls_last()
-        by = [F.isnan(F.col("x").cast("double")), key, F.col(i)] if descending else [key, F.col(i)]
-        found = ranked(a.df, by, "_at", a._keys(axis), None if a._keys(axis) or descending else "x")
+        # Falling order is the rising one of the opposite values; NaN, larger than all, is last in both.
+        led = a.df.withColumn("_key", -F.col("x") if descending else F.col("x"))
+        found = ranked(led, [F.col("_key").asc_nulls_last(), F.col(i)], "_at", a._keys(axis), None if a._keys(axis) else "_key")
         out = F.col("x") if value else F.col(i)
         return GridArray(found.select(*(F.col("_at").alias(c) if c == i else F.col(c) for c in a.axes), out.alias("_x")).withColumnRenamed("_x", "x"), a.shape)
 
@@ -852,7 +852,7 @@ def diag(a: GridArray, k: int = 0) -> GridArray:
     grid = indices_frame(a.df.sparkSession, [n, n])
     at = F.when(F.col("i1") - F.col("i0") == k, F.least("i0", "i1"))
     joined = grid.withColumn("_at", at).join(a.df.select(F.col("i0").alias("_at"), "x"), "_at", "left")
-    return GridArray(joined.select("i0", "i1", F.coalesce("x", F.lit(0.0)).alias("x")), [n, n])
+    return GridArray(joined.select("i0", "i1", F.when(F.col("_at").isNull(), 0.0).otherwise(F.col("x")).alias("x")), [n, n])
 
 
 def diagflat(a: GridArray, k: int = 0) -> GridArray:

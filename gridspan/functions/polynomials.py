@@ -128,7 +128,8 @@ def roots(a: Coefficients, kind: str = "polynomial") -> list[complex]:
 
 
 def fromroots(r: Sequence[float], kind: str = "polynomial") -> list[float]:
-    return _class(kind).fromroots(r, domain=None if kind == "polynomial" else _class(kind).window).coef.tolist() if len(r) else [1.0]
+    # The window as domain: another one would scale x.
+    return _class(kind).fromroots(r, domain=_class(kind).window).coef.tolist() if len(r) else [1.0]
 
 
 def trim(a: Coefficients, tol: float = 0.0) -> list[float]:

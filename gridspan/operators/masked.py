@@ -137,7 +137,7 @@ def getdata(a: GridArray) -> GridArray:
 
 
 def filled(a: GridArray, value=None) -> GridArray:
-    return a.filled(default_fill_value(a) if value is None else value)
+    return a.filled(getattr(a, "fill_value", default_fill_value(a)) if value is None else value)
 
 
 def compressed(a: GridArray) -> GridArray:
@@ -351,3 +351,138 @@ concatenate, stack, vstack, hstack, dstack, column_stack, append = G.concatenate
 hsplit, where, choose, diag, diagflat, vander = G.hsplit, G.where, G.choose, G.diag, G.diagflat, G.vander
 atleast_1d, atleast_2d, atleast_3d, zeros, ones, empty, arange, identity, indices, fromfunction = G.atleast_1d, G.atleast_2d, G.atleast_3d, G.zeros, G.ones, G.empty, G.arange, G.identity, G.indices, G.fromfunction
 zeros_like, ones_like, empty_like = G.zeros_like, G.ones_like, G.empty_like
+
+
+# Masks and fills as options
+
+
+def asarray(a: GridArray, mask: GridArray | None = None) -> GridArray:
+    return array(a, mask)
+
+
+asanyarray = asarray
+
+
+def copy(a: GridArray) -> GridArray:
+    """Arrays are plans and never change, so a copy is the array."""
+    return a
+
+
+#: Whether writing to a masked cell unmasks it has no meaning where arrays never change.
+harden_mask = soften_mask = copy
+
+
+def set_fill_value(a: GridArray, value) -> GridArray:
+    """The array with a fill value of its own, which `filled` takes where it is given none."""
+    found = GridArray(a.df, a.shape)
+    found.fill_value = value
+    return found
+
+
+def isMaskedArray(a) -> bool:  # noqa: N802
+    return isinstance(a, GridArray)
+
+
+isMA = isarray = isMaskedArray
+
+
+def is_mask(a) -> bool:
+    return isinstance(a, GridArray) and a.dtype == "boolean"
+
+
+def flatten_mask(a: GridArray) -> GridArray:
+    return getmask(a).ravel()
+
+
+def ndenumerate(a: GridArray) -> DataFrame:
+    """Coordinates and values of the cells that are not masked."""
+    return a.df.filter("x is not null")
+
+
+class MAError(Exception):
+    """Of masked arrays."""
+
+
+class MaskError(MAError):
+    """Of masks."""
+
+
+# Sets: all masked cells are one more value, equal to itself
+
+
+def unique(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.col(column).alias("x")).distinct()
+
+
+def union1d(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
+    return a.select(F.col(x).alias("x")).unionAll(b.select(F.col(y).alias("x"))).distinct()
+
+
+def intersect1d(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
+    return a.select(F.col(x).alias("x")).intersect(b.select(F.col(y).alias("x")))
+
+
+def setdiff1d(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
+    return a.select(F.col(x).alias("x")).subtract(b.select(F.col(y).alias("x")))
+
+
+def setxor1d(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
+    """One aggregation: values that exactly one side has."""
+    both = a.select(F.col(x).alias("x"), F.lit(1).alias("s")).unionAll(b.select(F.col(y).alias("x"), F.lit(2).alias("s")))
+    return both.groupBy("x").agg(F.bit_or("s").alias("s")).filter("s < 3").select("x")
+
+
+def isin(a: DataFrame, x: str, b: DataFrame, y: str, out: str = "isin", invert: bool = False) -> DataFrame:
+    """`a` with `out`: whether b has its value, or a masked one where it is masked."""
+    marks = b.select(F.col(y).alias("_y")).distinct().withColumn("_hit", F.lit(True))
+    hit = F.coalesce("_hit", F.lit(False))
+    return a.join(marks, a[x].eqNullSafe(marks["_y"]), "left").withColumn(out, ~hit if invert else hit).drop("_y", "_hit")
+
+
+in1d = isin
+
+
+# Sums along the array, fits and functions of lanes
+
+
+def _spread(f: Callable[..., GridArray]) -> Callable[..., GridArray]:
+    """A result that a masked cell takes part in is masked."""
+
+    def run(a: GridArray, kernel, mode: str | None = None) -> GridArray:
+        more = () if mode is None else (mode,)
+        hit = f(a.mask().apply(lambda m: m.cast("double")), [1.0] * len(kernel), *more)
+        return f(a.filled(0.0), kernel, *more).masked_where(hit)
+
+    return run
+
+
+def convolve(a: GridArray, kernel, mode: str = "full") -> GridArray:
+    from gridspan.operators import spectral
+
+    return _spread(spectral.convolve)(a, kernel, mode)
+
+
+def correlate(a: GridArray, kernel, mode: str = "valid") -> GridArray:
+    from gridspan.operators import spectral
+
+    return _spread(spectral.correlate)(a, kernel, mode)
+
+
+def polyfit(df: DataFrame, x: str, y: str, degree: int, weights: str | None = None) -> DataFrame:
+    """The fit over rows where neither is masked."""
+    from gridspan.functions import polynomials
+
+    return polynomials.polyfit(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, degree, weights)
+
+
+def apply_along_axis(f: Callable, axis: int, a: GridArray, size: int | None = None) -> GridArray:
+    """f of what is not masked of each lane."""
+    from gridspan.operators import ufunc
+
+    return ufunc.apply_along_axis(lambda v: f(v[v == v]), axis, a.filled(NAN), size)
+
+
+def apply_over_axes(f: Callable[[GridArray, int], GridArray], a: GridArray, axes) -> GridArray:
+    for axis in axes:
+        a = f(a, axis)
+    return a

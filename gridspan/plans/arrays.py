@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gridspan import array as G
 from gridspan.array import GridArray
 from gridspan.functions import polynomials as P
-from gridspan.functions.random import default_rng
 from gridspan.layout import ranked
 from gridspan.operators import binning as B
 from gridspan.operators import linalg as L
@@ -54,10 +53,20 @@ _SERIES = "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i0, o_totalpric
 def _out(a: GridArray) -> DataFrame:
     """Cells rounded, NULL and all."""
     kind = a.dtype
-    value = F.round(F.col("x").cast("double"), 4) if kind in ("double", "float", "int", "bigint") or kind.startswith("decimal") else F.col("x")
+    value = F.round(F.col("x").cast("double"), 4) + F.lit(0.0) if kind in ("double", "float", "int", "bigint") or kind.startswith("decimal") else F.col("x")
     return a.df.select(*(F.col(c).cast("long").alias(c) for c in a.axes), value.alias("x"))
 
 
+def grid(a: GridArray) -> GridArray:
+    """The whole array as rows of 100, the last one filled up with zeros."""
+    return (a.pad(0, -a.size % 100) if a.size % 100 else a).reshape(-1, 100)
+
+
+def grid_sql() -> str:
+    """(i, j, x) of `grid` of the series."""
+    return f"SELECT i0 // 100 AS i, i0 % 100 AS j, x FROM ({_SERIES}) UNION ALL SELECT (n + r) // 100, (n + r) % 100, 0.0 FROM (SELECT count(*) AS n FROM orders), unnest(range((100 - n % 100) % 100)) u(r)"
+
+
 def _on_series(f) -> object:
     return lambda spark, sf_dir: _out(f(_series(spark, sf_dir)))
 
@@ -92,22 +101,19 @@ SERIES: dict[str, tuple[object, str]] = {
     "delete": (lambda a: a.delete([0, 7, -1]), _series_sql("x", "i0 NOT IN (0, 7, n - 1)", "i0 - 1 - CASE WHEN i0 > 7 THEN 1 ELSE 0 END")),
     "append": (lambda a: G.append(a, a), f"WITH t AS ({_SERIES}) SELECT i0 + r * n AS i0, round(x, 4) AS x FROM t, (VALUES (0), (1)) v(r)"),
     "insert": (lambda a: a.insert(3, a[:2]), f"WITH t AS ({_SERIES}) SELECT CASE WHEN i0 < 3 THEN i0 ELSE i0 + 2 END AS i0, round(x, 4) AS x FROM t UNION ALL SELECT i0 + 3, round(x, 4) FROM t WHERE i0 < 2"),
-    "take": (lambda a: a.take(G.arange(a.df.sparkSession, 0, 50, 7)), f"WITH t AS ({_SERIES}) SELECT i0 // 7 AS i0, round(x, 4) AS x FROM t WHERE i0 < 50 AND i0 % 7 = 0"),
+    "take": (lambda a: a.take(G.arange(a.df.sparkSession, 0, a.size, 7)), f"WITH t AS ({_SERIES}) SELECT i0 // 7 AS i0, round(x, 4) AS x FROM t WHERE i0 % 7 = 0"),
     "where": (lambda a: G.where(a > 2e5, a, -1.0), _series_sql("CASE WHEN x > 2e5 THEN x ELSE -1 END")),
     "select": (lambda a: G.select([a > 3e5, a > 1e5], [a, 1.0], 0.0), _series_sql("CASE WHEN x > 3e5 THEN x WHEN x > 1e5 THEN 1 ELSE 0 END")),
     "choose": (lambda a: G.choose(a.apply(lambda x: F.floor(x / 1e4) % 3), [a, 0.0, a]), _series_sql("CASE CAST(floor(x / 1e4) AS BIGINT) % 3 WHEN 1 THEN 0 ELSE x END")),
     "piecewise": (lambda a: G.piecewise(a, [a > 1e5, a > 3e5], [lambda x: x / 2, 0.0], 1.0), _series_sql("CASE WHEN x > 3e5 THEN 0 WHEN x > 1e5 THEN x / 2 ELSE 1 END")),
     "put": (lambda a: a.set(slice(2, 5), 0.0), _series_sql("CASE WHEN i0 BETWEEN 2 AND 4 THEN 0 ELSE x END")),
     "putmask": (lambda a: a.putmask(a > 1e5, 7.0), _series_sql("CASE WHEN x > 1e5 THEN 7 ELSE x END")),
-    "reshape": (lambda a: a[:1000].reshape(10, 100), f"WITH t AS ({_SERIES}) SELECT i0 // 100 AS i0, i0 % 100 AS i1, round(x, 4) AS x FROM t WHERE i0 < 1000"),
-    "transpose": (lambda a: a[:1000].reshape(10, 100).T, f"WITH t AS ({_SERIES}) SELECT i0 % 100 AS i0, i0 // 100 AS i1, round(x, 4) AS x FROM t WHERE i0 < 1000"),
-    "rot90": (lambda a: a[:1000].reshape(10, 100).rot90(), f"WITH t AS ({_SERIES}) SELECT 99 - i0 % 100 AS i0, i0 // 100 AS i1, round(x, 4) AS x FROM t WHERE i0 < 1000"),
-    "sum_axis0": (lambda a: a[:1000].reshape(10, 100).sum(0), f"WITH t AS ({_SERIES}) SELECT i0 % 100 AS i0, round(sum(x), 4) AS x FROM t WHERE i0 < 1000 GROUP BY 1"),
-    "argmax_axis1": (lambda a: a[:1000].reshape(10, 100).argmax(1), f"WITH t AS ({_SERIES}) SELECT i0 // 100 AS i0, CAST(arg_max(i0 % 100, x) AS DOUBLE) AS x FROM t WHERE i0 < 1000 GROUP BY 1"),
-    "broadcast": (
-        lambda a: a[:1000].reshape(10, 100) - a[:1000].reshape(10, 100).mean(0),
-        f"WITH t AS ({_SERIES}) SELECT i0 // 100 AS i0, i0 % 100 AS i1, round(x - avg(x) OVER (PARTITION BY i0 % 100), 4) AS x FROM t WHERE i0 < 1000",
-    ),
+    "reshape": (lambda a: grid(a), f"SELECT i AS i0, j AS i1, round(x, 4) AS x FROM ({grid_sql()})"),
+    "transpose": (lambda a: grid(a).T, f"SELECT j AS i0, i AS i1, round(x, 4) AS x FROM ({grid_sql()})"),
+    "rot90": (lambda a: grid(a).rot90(), f"SELECT 99 - j AS i0, i AS i1, round(x, 4) AS x FROM ({grid_sql()})"),
+    "sum_axis0": (lambda a: grid(a).sum(0), f"SELECT j AS i0, round(sum(x), 4) AS x FROM ({grid_sql()}) GROUP BY 1"),
+    "argmax_axis1": (lambda a: grid(a).argmax(1), f"SELECT i AS i0, CAST(arg_max(j, x) AS DOUBLE) AS x FROM ({grid_sql()}) GROUP BY 1"),
+    "broadcast": (lambda a: (lambda g: g - g.mean(0))(grid(a)), f"SELECT i AS i0, j AS i1, round(x - avg(x) OVER (PARTITION BY j), 4) + 0.0 AS x FROM ({grid_sql()})"),
     "stack": (lambda a: G.stack([a, a * 2.0]), f"WITH t AS ({_SERIES}) SELECT CAST(r AS BIGINT) AS i0, i0 AS i1, round(x * (r + 1), 4) AS x FROM t, (VALUES (0), (1)) v(r)"),
     "split": (lambda a: G.array_split(a, 3)[1], f"WITH t AS ({_SERIES}) SELECT i0 - (n // 3 + CASE WHEN n % 3 > 0 THEN 1 ELSE 0 END) AS i0, round(x, 4) AS x FROM t WHERE i0 >= n // 3 + CASE WHEN n % 3 > 0 THEN 1 ELSE 0 END AND i0 < 2 * (n // 3) + least(n % 3, 2)"),
     "pad_edge": (lambda a: a.pad(2, 1, 0, "edge"), f"WITH t AS ({_SERIES}) SELECT i0 + 2 AS i0, round(x, 4) AS x FROM t UNION ALL SELECT r, round(x, 4) FROM t, (VALUES (0), (1)) v(r) WHERE i0 = 0 UNION ALL SELECT n + 2, round(x, 4) FROM t WHERE i0 = n - 1"),
@@ -119,7 +125,7 @@ SERIES: dict[str, tuple[object, str]] = {
     ),
     "correlate": (lambda a: FT.correlate(a, [1.0, -1.0], "full"), f"WITH t AS ({_SERIES}) SELECT i0 + j AS i0, round(sum(x * w), 4) AS x FROM t, (VALUES (0, -1.0), (1, 1.0)) k(j, w) GROUP BY 1"),
     "add_reduceat": (lambda a: a.add_reduceat([0, 100, 250]), f"WITH t AS ({_SERIES}) SELECT CAST(CASE WHEN i0 < 100 THEN 0 WHEN i0 < 250 THEN 1 ELSE 2 END AS BIGINT) AS i0, round(sum(x), 4) AS x FROM t GROUP BY 1"),
-    "ufunc_outer": (lambda a: UF.UFUNCS["subtract"].outer(a[:20], a[:30]), f"WITH t AS ({_SERIES}) SELECT a.i0 AS i0, b.i0 AS i1, round(a.x - b.x, 4) AS x FROM t a, t b WHERE a.i0 < 20 AND b.i0 < 30"),
+    "ufunc_outer": (lambda a: UF.UFUNCS["subtract"].outer(a, G.arange(a.df.sparkSession, 4)), f"WITH t AS ({_SERIES}) SELECT i0, CAST(k AS BIGINT) AS i1, round(x - k, 4) AS x FROM t, unnest(range(4)) u(k)"),
     "ufunc_where": (lambda a: UF.UFUNCS["sqrt"](a, where_=a > 1e5, out=a), _series_sql("CASE WHEN x > 1e5 THEN sqrt(x) ELSE x END")),
     "ma_masked_where": (lambda a: M.masked_greater(a, 2e5), _series_sql("CASE WHEN x > 2e5 THEN NULL ELSE x END")),
     "ma_filled": (lambda a: M.filled(M.masked_less(a, 1e5), -1.0), _series_sql("CASE WHEN x < 1e5 THEN -1 ELSE x END")),
@@ -145,6 +151,11 @@ def _embedding(spark: SparkSession, sf_dir: str) -> GridArray:
 _EMB = "SELECT vec_id AS i, CAST(unnest(range(64)) AS BIGINT) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"
 
 
+def _tenths(spark: SparkSession) -> GridArray:
+    """3 x 64 cells: the row and the tenth of the column."""
+    return G.fromfunction(spark, lambda i, j: i + j / 10, [3, 64])
+
+
 def _clumps(spark, sf_dir):
     return M.clump_unmasked(M.masked_greater(_series(spark, sf_dir), 2e5))
 
@@ -181,26 +192,16 @@ _POLY = {
 _PX = "SELECT o_orderkey, o_totalprice / 1e6 AS x FROM orders"
 
 
-def _poly_query(make):
+def _px(make, digits: int = 6):
     def query(spark, sf_dir):
         rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1e6).alias("x"))
-        return rows.select("o_orderkey", F.round(make(), 6).alias("value"))
+        return rows.select("o_orderkey", (F.round(make(), digits) + F.lit(0.0)).alias("value"))
 
     return query
 
 
-def _poly_sql(expr: str) -> str:
-    return f"SELECT o_orderkey, round(CAST({expr} AS DOUBLE), 6) AS value FROM ({_PX})"
-
-
-def _moments(draw):
-    """Mean and spread of a sampler over a long index."""
-
-    def query(spark, sf_dir):
-        drawn = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i")).distinct()
-        return drawn.select(draw(default_rng(7)).alias("v")).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-
-    return query
+def _px_sql(expr: str, digits: int = 6) -> str:
+    return f"SELECT o_orderkey, round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS value FROM ({_PX})"
 
 
 SAMPLERS = {
@@ -285,22 +286,25 @@ def entries():
         "linalg_norm_inf": (lambda s, d: _out(L.norm(_embedding(s, d), float("inf"))), f"SELECT round(max(v), 4) AS x FROM (SELECT i, sum(abs(x)) AS v FROM ({_EMB}) GROUP BY 1)"),
         "matmul_gram": (lambda s, d: _out((lambda e: e.T @ e)(_embedding(s, d))), f"WITH e AS ({_EMB}) SELECT a.j AS i0, b.j AS i1, round(sum(a.x * b.x), 4) AS x FROM e a JOIN e b USING (i) GROUP BY 1, 2"),
         "dot": (lambda s, d: _out(L.dot(_embedding(s, d), _embedding(s, d)[0])), f"WITH e AS ({_EMB}) SELECT a.i AS i0, round(sum(a.x * b.x), 4) AS x FROM e a JOIN e b ON a.j = b.j AND b.i = 0 GROUP BY 1"),
-        "inner": (lambda s, d: _out(L.inner(_embedding(s, d)[:50], _embedding(s, d)[:40])), f"WITH e AS ({_EMB}) SELECT a.i AS i0, b.i AS i1, round(sum(a.x * b.x), 4) AS x FROM e a JOIN e b ON a.j = b.j AND a.i < 50 AND b.i < 40 GROUP BY 1, 2"),
+        "inner": (lambda s, d: _out(L.inner(_embedding(s, d), _tenths(s))), f"WITH e AS ({_EMB}) SELECT i AS i0, CAST(k AS BIGINT) AS i1, round(sum(x * (k + j / 10.0)), 4) AS x FROM e, unnest(range(3)) u(k) GROUP BY 1, 2"),
         "outer": (lambda s, d: _out(L.outer(_embedding(s, d)[0], _embedding(s, d)[1])), f"WITH e AS ({_EMB}) SELECT a.j AS i0, b.j AS i1, round(a.x * b.x, 4) AS x FROM e a, e b WHERE a.i = 0 AND b.i = 1"),
         "vdot": (lambda s, d: _out(L.vdot(_embedding(s, d), _embedding(s, d))), f"SELECT round(sum(x * x), 4) AS x FROM ({_EMB})"),
         "einsum": (lambda s, d: _out(L.einsum("ij,ij,j->i", _embedding(s, d), _embedding(s, d), _embedding(s, d)[0])), f"WITH e AS ({_EMB}) SELECT a.i AS i0, round(sum(a.x * a.x * b.x), 4) AS x FROM e a JOIN e b ON a.j = b.j AND b.i = 0 GROUP BY 1"),
         "tensordot": (lambda s, d: _out(L.tensordot(_embedding(s, d), _embedding(s, d), ([0], [0]))), f"WITH e AS ({_EMB}) SELECT a.j AS i0, b.j AS i1, round(sum(a.x * b.x), 4) AS x FROM e a JOIN e b USING (i) GROUP BY 1, 2"),
-        "kron": (lambda s, d: _out(L.kron(_embedding(s, d)[:2, :3], _embedding(s, d)[:2, :2])), f"WITH e AS ({_EMB}) SELECT a.i * 2 + b.i AS i0, a.j * 2 + b.j AS i1, round(a.x * b.x, 4) AS x FROM e a, e b WHERE a.i < 2 AND a.j < 3 AND b.i < 2 AND b.j < 2"),
-        "cross": (lambda s, d: _out(L.cross(_embedding(s, d)[:, :3], _embedding(s, d)[:, 3:6])), f"WITH e AS ({_EMB}) SELECT p.i AS i0, CAST(k AS BIGINT) AS i1, round(p.x * q.x - r.x * s.x, 4) AS x FROM unnest(range(3)) u(k), e p, e q, e r, e s WHERE q.i = p.i AND r.i = p.i AND s.i = p.i AND p.j = (k + 1) % 3 AND q.j = 3 + (k + 2) % 3 AND r.j = (k + 2) % 3 AND s.j = 3 + (k + 1) % 3"),
+        "kron": (lambda s, d: _out(L.kron(_embedding(s, d), G.array(s, [[1.0, 2.0], [3.0, 4.0]]))), f"WITH e AS ({_EMB}) SELECT i * 2 + p AS i0, j * 2 + q AS i1, round(x * (1 + q + 2 * p), 4) AS x FROM e, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(p, q)"),
+        "cross": (
+            lambda s, d: _out(L.cross(_embedding(s, d)[:, :3], _embedding(s, d)[:, 3:6])),
+            "SELECT vec_id AS i0, CAST(k AS BIGINT) AS i1, round(e[(k + 1) % 3 + 1] * e[(k + 2) % 3 + 4] - e[(k + 2) % 3 + 1] * e[(k + 1) % 3 + 4], 4) + 0.0 AS x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), unnest(range(3)) u(k)",
+        ),
         "trace": (lambda s, d: _out(_embedding(s, d).trace()), f"SELECT round(sum(x), 4) AS x FROM ({_EMB}) WHERE i = j"),
         "diagonal": (lambda s, d: _out(_embedding(s, d).diagonal(2)), f"SELECT i AS i0, round(x, 4) AS x FROM ({_EMB}) WHERE j = i + 2"),
-        "tril": (lambda s, d: _out(_embedding(s, d)[:64].tril()), f"SELECT i AS i0, j AS i1, round(CASE WHEN j <= i THEN x ELSE 0 END, 4) AS x FROM ({_EMB}) WHERE i < 64"),
-        "triu": (lambda s, d: _out(_embedding(s, d)[:64].triu(1)), f"SELECT i AS i0, j AS i1, round(CASE WHEN j > i THEN x ELSE 0 END, 4) AS x FROM ({_EMB}) WHERE i < 64"),
+        "tril": (lambda s, d: _out(_embedding(s, d).tril()), f"SELECT i AS i0, j AS i1, round(CASE WHEN j <= i THEN x ELSE 0 END, 4) AS x FROM ({_EMB})"),
+        "triu": (lambda s, d: _out(_embedding(s, d).triu(1)), f"SELECT i AS i0, j AS i1, round(CASE WHEN j > i THEN x ELSE 0 END, 4) AS x FROM ({_EMB})"),
         "lstsq": (_lstsq, "SELECT 0::BIGINT AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS coefficient FROM lineitem UNION ALL SELECT 1, round(regr_slope(l_extendedprice, l_quantity), 4) FROM lineitem"),
         "polyfit": (lambda s, d: P.polyfit(_lineitem(s, d), "l_quantity", "l_extendedprice", 1).select("power", F.round("coefficient", 4).alias("coefficient")), "SELECT 0::BIGINT AS power, round(regr_intercept(l_extendedprice, l_quantity), 4) AS coefficient FROM lineitem UNION ALL SELECT 1, round(regr_slope(l_extendedprice, l_quantity), 4) FROM lineitem"),
-        "polyval": (_poly_query(lambda: P.polyval([4, 3, 2, 1], "x")), _poly_sql(_VAL.format(*_POLY["polynomial"]))),
-        "valfromroots": (_poly_query(lambda: P.valfromroots("x", [1.0, -2.0])), _poly_sql("(x - 1) * (x + 2)")),
-        "val2d": (_poly_query(lambda: P.val2d("x", F.col("x") * 2, [[1, 2], [3, 4]])), _poly_sql("1 + 2 * (2 * x) + 3 * x + 4 * x * (2 * x)")),
+        "polyval": (_px(lambda: P.polyval([4, 3, 2, 1], "x")), _px_sql(_VAL.format(*_POLY["polynomial"]))),
+        "valfromroots": (_px(lambda: P.valfromroots("x", [1.0, -2.0])), _px_sql("(x - 1) * (x + 2)")),
+        "val2d": (_px(lambda: P.val2d("x", F.col("x") * 2, [[1, 2], [3, 4]])), _px_sql("1 + 2 * (2 * x) + 3 * x + 4 * x * (2 * x)")),
         "clump_unmasked": (_clumps, f"WITH t AS ({_SERIES}), m AS (SELECT i0, i0 - row_number() OVER (ORDER BY i0) AS g FROM t WHERE x <= 2e5) SELECT min(i0) AS start, max(i0) + 1 AS stop FROM m GROUP BY g"),
         "notmasked_edges": (lambda s, d: M.flatnotmasked_edges(M.masked_greater(_series(s, d), 2e5)), f"WITH t AS ({_SERIES}) SELECT min(i0) AS first, max(i0) AS last FROM t WHERE x <= 2e5"),
         "linspace": (lambda s, d: _out(G.linspace(s, 0.0, 1.0, 11)), "SELECT CAST(k AS BIGINT) AS i0, round(k / 10.0, 4) AS x FROM unnest(range(11)) u(k)"),
@@ -312,9 +316,6 @@ def entries():
         "hamming": (lambda s, d: _out(FT.hamming(s, 32)), "SELECT CAST(k AS BIGINT) AS i0, round(0.54 - 0.46 * cos(2 * pi() * k / 31), 4) AS x FROM unnest(range(32)) u(k)"),
         "blackman": (lambda s, d: _out(FT.blackman(s, 32).apply(lambda x: x + 1.0)), "SELECT CAST(k AS BIGINT) AS i0, round(1.42 - 0.5 * cos(2 * pi() * k / 31) + 0.08 * cos(4 * pi() * k / 31), 4) AS x FROM unnest(range(32)) u(k)"),
         "bartlett": (lambda s, d: _out(FT.bartlett(s, 32)), "SELECT CAST(k AS BIGINT) AS i0, round(1 - abs(2.0 * k / 31 - 1), 4) AS x FROM unnest(range(32)) u(k)"),
-        "kaiser": (lambda s, d: _out(FT.kaiser(s, 32, 8.6)), None),
-        "fft": (lambda s, d: _out(FT.fft(_embedding(s, d))), None),
-        "rfft": (lambda s, d: _out(FT.rfft(_embedding(s, d))), None),
         "fft_round_trip": (lambda s, d: _out(FT.irfft(FT.rfft(_embedding(s, d)))), f"SELECT i AS i0, j AS i1, round(x, 4) AS x FROM ({_EMB})"),
         "fftfreq": (lambda s, d: _out(FT.fftfreq(s, 9)), "SELECT CAST(k AS BIGINT) AS i0, round((CASE WHEN k < 5 THEN k ELSE k - 9 END) / 9.0, 4) AS x FROM unnest(range(9)) u(k)"),
         "inv": (lambda s, d: _out((lambda g: L.inv(g) @ g)(_gram(s, d))), "SELECT CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM unnest(range(8)) a(i), unnest(range(8)) b(j)"),
@@ -330,12 +331,8 @@ def entries():
     for name, (f, sql) in SERIES.items():
         found[f"array_{name}"] = _on_series(f), sql
     for kind, terms in _POLY.items():
-        found[f"polynomial_{kind}_val"] = _poly_query(lambda kind=kind: P.val("x", [1, 2, 3, 4], kind)), _poly_sql(_VAL.format(*terms))
-        found[f"polynomial_{kind}_vander"] = _poly_query(lambda kind=kind: P.vander("x", 3, kind)[3]), _poly_sql(terms[2])
-        found[f"polynomial_{kind}_der"] = _poly_query(lambda kind=kind: P.val("x", P.der([1, 2, 3, 4], 1, kind), kind)), None
-        found[f"polynomial_{kind}_int"] = _poly_query(lambda kind=kind: P.val("x", P.integral([1, 2, 3], 1, (), kind), kind)), None
-    for name, draw in SAMPLERS.items():
-        found[f"random_{name}"] = _moments(draw), None
+        found[f"polynomial_{kind}_val"] = _px(lambda kind=kind: P.val("x", [1, 2, 3, 4], kind)), _px_sql(_VAL.format(*terms))
+        found[f"polynomial_{kind}_vander"] = _px(lambda kind=kind: P.vander("x", 3, kind)[3]), _px_sql(terms[2])
     return found
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspan.plans import aggregates, arrays, elementwise, strings_dates
+from gridspan.plans import aggregates, arrays, elementwise, masked_arrays, more, strings_dates
 from gridspan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,7 @@ FROM lineitem GROUP BY l_returnflag, l_linestatus
 def entries() -> dict[str, tuple[Query, str | None]]:
     """Name to (query, SQL)."""
     found: dict[str, tuple[Query, str | None]] = {"agg_grouped_stats": (_grouped_stats, _GROUPED_STATS_SQL)}
-    for part in (aggregates, elementwise, strings_dates, arrays):
+    for part in (aggregates, elementwise, strings_dates, arrays, masked_arrays, more):
         found.update(part.entries())
     return found
 

@@ -174,28 +174,21 @@ TEXT: dict[str, tuple[object, str]] = {
     "binary_repr": (lambda: E.binary_repr("i"), "bin(i)"),
     "base_repr": (lambda: E.base_repr("i", 16), "hex(i)"),
 }
-#: Special functions: no SQL has them.
-SPECIAL = {
-    "gamma": lambda: E.gamma("q"), "lgamma": lambda: E.lgamma("q"), "erf": lambda: E.erf("x"), "erfc": lambda: E.erfc("x"), "j0": lambda: E.j0("x"), "j1": lambda: E.j1("x"),
-    "y0": lambda: E.y0("q"), "y1": lambda: E.y1("q"), "i0": lambda: E.i0("x"), "nextafter": lambda: E.nextafter("x", "q"), "spacing": lambda: E.spacing("x"),
-}
 
 
 def entries():
     found = {}
 
-    def add(name: str, make, sql: str | None, spark_kind: str, sql_kind: str) -> None:
+    def add(name: str, make, sql: str, spark_kind: str, sql_kind: str) -> None:
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             value = make()
             value = F.round(value.cast("double"), 6) if spark_kind == "double" else value.cast(spark_kind)
             return _inputs(spark, sf_dir).select(*KEY, value.alias("value"))
 
         told = f"round(CAST({sql} AS DOUBLE), 6)" if sql_kind == "DOUBLE" else f"CAST({sql} AS {sql_kind})"
-        found[f"elementwise_{name}"] = query, None if sql is None else f"WITH t AS ({_INPUTS}) SELECT {', '.join(KEY)}, {told} AS value FROM t"
+        found[f"elementwise_{name}"] = query, f"WITH t AS ({_INPUTS}) SELECT {', '.join(KEY)}, {told} AS value FROM t"
 
     for kind, (spark_kind, sql_kind) in ((DOUBLES, ("double", "DOUBLE")), (WHOLE, ("long", "BIGINT")), (LOGIC, ("boolean", "BOOLEAN")), (TEXT, ("string", "VARCHAR"))):
         for name, (make, sql) in kind.items():
             add(name, make, sql, spark_kind, sql_kind)
-    for name, make in SPECIAL.items():
-        add(name, make, None, "double", "DOUBLE")
     return found

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +32,13 @@ def get_session(app: str = "gridspan", cpus: int | str = "*", shuffle_partitions
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` below `sf_dir`, by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A path of its own in the folder that spark.checkpoint.dir names; where none is named, a temporary one, on a single machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="gridspan-")
+    return f"{folder}/{what}-{uuid.uuid4().hex}"

@@ -60,6 +60,16 @@ def frombuffer(df: DataFrame, column: str, dtype: str = "float64", offset: int =
     return df.withColumn("values", run(column))
 
 
+def raw(column: str):
+    """An array column as bytes without a header: what `frombuffer` reads."""
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else np.asarray(v, "float64").tobytes())
+
+    return run(column)
+
+
 def fromfile(spark: SparkSession, path: str, dtype: str = "float64") -> DataFrame:
     """(path, values) of raw binary files."""
     return frombuffer(spark.read.format("binaryFile").load(path).select("path", "content"), "content", dtype).select("path", "values")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +76,22 @@ def savetxt(df: DataFrame, columns: Sequence[str | Column], path: str, fmt: str
     """One line a row, in the order of `order` within the files' order. The header begins every file."""
     cells = [F.format_string(fmt, F.col(c) if isinstance(c, str) else c) for c in columns]
     rows = df.orderBy(order) if order else df
-    lines = rows.select(F.concat_ws(delimiter, *cells).alias(f"{comments}{header}" if header else "value"))
+    lines = rows.select(F.concat_ws(delimiter, *cells).alias("value"))
     if header:
-        lines.write.option("header", "true").option("quote", "\u0000").option("sep", "\u0001").option("escapeQuotes", "false").csv(path)
-    else:
-        lines.write.text(path)
+        lines = lines.mapInPandas(_headed(f"{comments}{header}"), "value string")
+    lines.write.text(path)
+
+
+def _headed(line: str):
+    def run(batches):
+        began = False
+        for pdf in batches:
+            if not began and len(pdf):
+                yield pd.DataFrame({"value": [line]})
+                began = True
+            yield pdf
+
+    return run
 
 
 def save_table(df: DataFrame, path: str, compressed: bool = True) -> None:
