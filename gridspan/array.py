@@ -336,7 +336,7 @@ class GridArray:
     argpartition = argsort
 
     def searchsorted(self, values: GridArray, side: str = "left") -> GridArray:
-        """Where each value would go into this sorted 1-D array: its count of smaller (or equal) cells.
+        """Where each value would go into this 1-D array once sorted: its count of smaller (or equal) cells, so the array itself need not be in order.
 
         Cells and values meet in one running count over ranges of values, not in a join.
         """
