@@ -318,13 +318,13 @@ def entries():
         "bartlett": (lambda s, d: _out(FT.bartlett(s, 32)), "SELECT CAST(k AS BIGINT) AS i0, round(1 - abs(2.0 * k / 31 - 1), 4) AS x FROM unnest(range(32)) u(k)"),
         "fft_round_trip": (lambda s, d: _out(FT.irfft(FT.rfft(_embedding(s, d)))), f"SELECT i AS i0, j AS i1, round(x, 4) AS x FROM ({_EMB})"),
         "fftfreq": (lambda s, d: _out(FT.fftfreq(s, 9)), "SELECT CAST(k AS BIGINT) AS i0, round((CASE WHEN k < 5 THEN k ELSE k - 9 END) / 9.0, 4) AS x FROM unnest(range(9)) u(k)"),
-        "inv": (lambda s, d: _out((lambda g: L.inv(g) @ g)(_gram(s, d))), "SELECT CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM unnest(range(8)) a(i), unnest(range(8)) b(j)"),
-        "svdvals": (lambda s, d: _out(L.svdvals(_gram(s, d)).apply(lambda x: x * x).sum()), f"WITH e AS ({_EMB}), g AS (SELECT a.j, b.j AS k, sum(a.x * b.x) AS x FROM e a JOIN e b USING (i) WHERE a.j < 8 AND b.j < 8 GROUP BY 1, 2) SELECT round(sum(x * x), 4) AS x FROM g"),
-        "eigvalsh": (lambda s, d: _out(L.eigvalsh(_gram(s, d)).sum()), f"SELECT round(sum(x * x), 4) AS x FROM ({_EMB}) WHERE j < 8"),
+        "inv": (lambda s, d: _out((lambda g: L.inv(g) @ g)(_gram(s, d))), "SELECT CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM unnest(range(64)) a(i), unnest(range(64)) b(j)"),
+        "svdvals": (lambda s, d: _out(L.svdvals(_gram(s, d)).apply(lambda x: x * x).sum()), f"WITH e AS ({_EMB}), g AS (SELECT a.j, b.j AS k, sum(a.x * b.x) AS x FROM e a JOIN e b USING (i) GROUP BY 1, 2) SELECT round(sum(x * x), 4) AS x FROM g"),
+        "eigvalsh": (lambda s, d: _out(L.eigvalsh(_gram(s, d)).sum()), f"SELECT round(sum(x * x), 4) AS x FROM ({_EMB})"),
         "det": (lambda s, d: _out(L.det(_gram(s, d)[:2, :2])), f"WITH e AS ({_EMB}), m AS (SELECT sum(p.x * p.x) AS a, sum(p.x * q.x) AS b, sum(q.x * q.x) AS c FROM e p JOIN e q USING (i) WHERE p.j = 0 AND q.j = 1) SELECT round(a * c - b * b, 4) AS x FROM m"),
-        "solve": (lambda s, d: _out((lambda g: g @ L.solve(g, g[0]))(_gram(s, d))), f"WITH e AS ({_EMB}) SELECT b.j AS i0, round(sum(a.x * b.x), 4) AS x FROM e a JOIN e b USING (i) WHERE a.j = 0 AND b.j < 8 GROUP BY 1"),
-        "cholesky": (lambda s, d: _out((lambda c: c @ c.T)(L.cholesky(_gram(s, d)))), f"WITH e AS ({_EMB}) SELECT a.j AS i0, b.j AS i1, round(sum(a.x * b.x), 4) AS x FROM e a JOIN e b USING (i) WHERE a.j < 8 AND b.j < 8 GROUP BY 1, 2"),
-        "qr": (lambda s, d: _out((lambda q: q[0] @ q[1])(L.qr(_gram(s, d)))), f"WITH e AS ({_EMB}) SELECT a.j AS i0, b.j AS i1, round(sum(a.x * b.x), 4) AS x FROM e a JOIN e b USING (i) WHERE a.j < 8 AND b.j < 8 GROUP BY 1, 2"),
+        "solve": (lambda s, d: _out((lambda g: g @ L.solve(g, g[0]))(_gram(s, d))), f"WITH e AS ({_EMB}) SELECT b.j AS i0, round(sum(a.x * b.x), 4) AS x FROM e a JOIN e b USING (i) WHERE a.j = 0 GROUP BY 1"),
+        "cholesky": (lambda s, d: _out((lambda c: c @ c.T)(L.cholesky(_gram(s, d)))), f"WITH e AS ({_EMB}) SELECT a.j AS i0, b.j AS i1, round(sum(a.x * b.x), 4) AS x FROM e a JOIN e b USING (i) GROUP BY 1, 2"),
+        "qr": (lambda s, d: _out((lambda q: q[0] @ q[1])(L.qr(_gram(s, d)))), f"WITH e AS ({_EMB}) SELECT a.j AS i0, b.j AS i1, round(sum(a.x * b.x), 4) AS x FROM e a JOIN e b USING (i) GROUP BY 1, 2"),
         "apply_along_axis": (lambda s, d: _out(UF.apply_along_axis(lambda v: float((v**2).sum()), 1, _embedding(s, d))), f"SELECT i AS i0, round(sum(x * x), 4) AS x FROM ({_EMB}) GROUP BY 1"),
         "vectorize": (lambda s, d: table(s, d, "orders").select("o_orderkey", UF.vectorize(lambda a, b: a * 2 + b, "long")("o_orderkey", "o_custkey").alias("value")), "SELECT o_orderkey, o_orderkey * 2 + o_custkey AS value FROM orders"),
     }
@@ -337,5 +337,5 @@ def entries():
 
 
 def _gram(spark: SparkSession, sf_dir: str) -> GridArray:
-    e = _embedding(spark, sf_dir)[:, :8]
+    e = _embedding(spark, sf_dir)
     return e.T @ e
