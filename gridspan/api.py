@@ -152,7 +152,7 @@ def _pairs(spark, n: int, m: int, keep) -> list[GridArray]:
     from gridspan.layout import ranked
 
     grid = _array.indices_frame(spark, [n, m]).filter(keep)
-    placed = ranked(grid.selectExpr("i0 as r", "i1 as c", f"i0 * {m} + i1 as f"), ["f"], "i0", (), "f")
+    placed = ranked(grid.selectExpr("i0 as r", "i1 as c", f"i0 * {m} + i1 as f"), ["f"], "i0")
     count = placed.count()
     return [GridArray(placed.selectExpr("i0", f"{c} as x"), [count]) for c in ("r", "c")]
 
@@ -348,7 +348,7 @@ def sort_complex(df, column: str, index: str, out: str = "place"):
     from gridspan.layout import ranked
 
     led = df.withColumns({"_re": F.col(f"{column}.re").cast("double"), "_im": F.col(f"{column}.im").cast("double")})
-    return ranked(led, ["_re", "_im", index], out, (), "_re").drop("_re", "_im")
+    return ranked(led, ["_re", "_im", index], out).drop("_re", "_im")
 
 
 def unwrap(a: GridArray, period: float = 2 * pi) -> GridArray:

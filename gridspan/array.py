@@ -254,7 +254,7 @@ class GridArray:
     def _running(self, axis: int | None, fold, join, identity: float) -> GridArray:
         a = self if axis is not None else self.ravel()
         axis = a._axis(axis or 0)
-        df = running(a.df, F.col("x").cast("double"), f"i{axis}", a._keys(axis), "_out", fold, join, F.lit(identity))
+        df = running(a.df, F.col("x").cast("double"), f"i{axis}", a._keys(axis), "_out", fold, join, F.lit(identity), a.shape[axis])
         masked = F.when(F.col("x").isNotNull(), F.col("_out"))
         return GridArray(df.select(*a.axes, masked.alias("x")), a.shape)
 
@@ -325,7 +325,7 @@ class GridArray:
         i = f"i{axis}"
         # Falling order is the rising one of the opposite values; NaN, larger than all, is last in both.
         led = a.df.withColumn("_key", -F.col("x") if descending else F.col("x"))
-        found = ranked(led, [F.col("_key").asc_nulls_last(), F.col(i)], "_at", a._keys(axis), None if a._keys(axis) else "_key")
+        found = ranked(led, ["_key", i], "_at", a._keys(axis))
         out = F.col("x") if value else F.col(i)
         return GridArray(found.select(*(F.col("_at").alias(c) if c == i else F.col(c) for c in a.axes), out.alias("_x")).withColumnRenamed("_x", "x"), a.shape)
 
@@ -338,27 +338,26 @@ class GridArray:
     def searchsorted(self, values: GridArray, side: str = "left") -> GridArray:
         """Where each value would go into this 1-D array once sorted: its count of smaller (or equal) cells, so the array itself need not be in order.
 
-        Cells and values meet in one running count over ranges of values, not in a join.
+        Equal cells are counted first; counts and values meet in one running sum over ranges of values, not in a join.
         """
         mark = 1 if side == "left" else -1
-        cells = self.df.select(F.col("x").cast("double").alias("v"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at"))
-        asked = values.ravel().df.select(F.col("x").cast("double").alias("v"), F.lit(-mark).alias("kind"), F.col("i0").alias("at"))
-        both = cells.unionByName(asked)
-        wide = running_by_range(both, (F.col("kind") == 0).cast("long"), ["v", "kind", "at"], "_n", "v")
+        cells = self.df.groupBy(F.col("x").cast("double").alias("v")).agg(F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at"), F.count("*").alias("n"))
+        asked = values.ravel().df.select(F.col("x").cast("double").alias("v"), F.lit(-mark).alias("kind"), F.col("i0").alias("at"), F.lit(0).cast("long").alias("n"))
+        wide = running_by_range(cells.unionByName(asked), F.col("n"), ["v", "kind", "at"], "_n")
         found = wide.filter(F.col("kind") != 0).select(F.col("at").alias("i0"), F.col("_n").cast("long").alias("x"))
         return GridArray(found, [values.size]).reshape(values.shape)
 
     def nonzero(self) -> DataFrame:
         """(place, i0..): coordinates of non-zero cells, in order."""
         found = self.df.filter(E.truth("x"))
-        return ranked(found.withColumn("_f", self._flat()), ["_f"], "place", (), "_f").select("place", *self.axes)
+        return ranked(found.withColumn("_f", self._flat()), ["_f"], "place").select("place", *self.axes)
 
     argwhere = nonzero
 
     def flatnonzero(self) -> GridArray:
         found = self.df.filter(E.truth("x")).select(self._flat().alias("f"))
         n = found.count()
-        return GridArray(ranked(found, ["f"], "i0", (), "f").select("i0", F.col("f").alias("x")), [n])
+        return GridArray(ranked(found, ["f"], "i0").select("i0", F.col("f").alias("x")), [n])
 
     # Shape
 
@@ -586,7 +585,7 @@ class GridArray:
         axis = a._axis(axis or 0)
         kept = condition.ravel().df.filter(E.truth(F.col("x").cast("double"))).select(F.col("i0").alias("_old")).filter(F.col("_old") < a.shape[axis])
         n = kept.count()
-        numbered = ranked(kept, ["_old"], "_new", (), "_old")
+        numbered = ranked(kept, ["_old"], "_new")
         df = a.df.join(numbered, F.col(f"i{axis}") == F.col("_old"))
         shape = [n if k == axis else m for k, m in enumerate(a.shape)]
         return GridArray(df.select(*(F.col("_new").alias(c) if c == f"i{axis}" else F.col(c) for c in a.axes), "x"), shape)
@@ -674,7 +673,7 @@ class GridArray:
     def compressed(self) -> GridArray:
         kept = self.df.filter("x is not null").select(self._flat().alias("_f"), "x")
         n = kept.count()
-        return GridArray(ranked(kept, ["_f"], "i0", (), "_f").select("i0", "x"), [n])
+        return GridArray(ranked(kept, ["_f"], "i0").select("i0", "x"), [n])
 
     def mask(self) -> GridArray:
         return self.apply(lambda a: a.isNull())

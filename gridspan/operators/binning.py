@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspan.functions.semantics import NAN, double
-from gridspan.layout import range_of
+from gridspan.layout import ranged
 
 
 def bin_of(x: Column, low: float, high: float, bins: int) -> Column:
@@ -90,12 +90,12 @@ def bincount(df: DataFrame, column: str, weights: str | None = None, minlength:
     return grid.join(counts, "value", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str] = (), values: Sequence[str] = (), ranges: int = 64) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str] = (), values: Sequence[str] = ()) -> DataFrame:
     """`left` with the values of the last right row at or before `on`, within keys.
 
     Both sides meet in one running look-back, not in a range join. Without keys
-    `on` is cut at its approximate quantiles; each range starts from the last
-    right row of the ranges before it.
+    rows go by ranges of `on`, left rows of one value by their hash too; each
+    range starts from the last right row of the ranges before it.
     """
     pick = F.struct(*(F.col(v) for v in values))
     a = left.withColumn("_v", F.lit(None)).withColumn("_side", F.lit(1))
@@ -106,11 +106,11 @@ def asof(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str] = (), v
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w))
     else:
-        cuts = sorted(set(left.unionByName(right, allowMissingColumns=True).select(F.col(on).cast("double").alias("_o")).approxQuantile("_o", [k / ranges for k in range(1, ranges)], 0.01)))
-        cut = both.withColumn("_range", range_of(F.col(on).cast("double"), cuts))
+        spread = F.when(F.col("_side") == 1, F.xxhash64(*left.columns)).otherwise(F.lit(0).cast("long"))
+        cut = ranged(both, [on, "_side", spread])
         w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         tops = cut.filter("_v is not null").groupBy("_range").agg(F.max_by("_v", on).alias("_t"))
-        grid = left.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_range")).join(tops, "_range", "left")
+        grid = cut.select("_range").distinct().join(tops, "_range", "left")
         before = grid.select("_range", F.last("_t", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
         found = cut.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).join(F.broadcast(before), "_range").withColumn("_last", F.coalesce("_last", "_before"))
     return found.filter("_side = 1").select(*left.columns, *(F.col("_last")[v].alias(v) for v in values))
@@ -119,10 +119,15 @@ def asof(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str] = (), v
 def interp(df: DataFrame, x: str, knots: DataFrame, xp: str, fp: str, out: str = "interp", left: float | None = None, right: float | None = None) -> DataFrame:
     """`df` with `out`: linear interpolation between knots, clamped outside; NaN stays NaN.
 
-    Each knot carries its successor, and rows look back to their knot.
+    Each knot carries its successor, the last of a range that of the next one, and rows look back to their knot.
     """
-    pairs = knots.select(F.col(xp).cast("double").alias("_x0"), F.col(fp).cast("double").alias("_f0"))
-    pairs = pairs.select("_x0", "_f0", F.lead("_x0").over(Window.orderBy("_x0")).alias("_x1"), F.lead("_f0").over(Window.orderBy("_x0")).alias("_f1"))
+    cut = ranged(knots.select(F.col(xp).cast("double").alias("_x0"), F.col(fp).cast("double").alias("_f0")), ["_x0", "_f0"])
+    knot = F.struct("_x0", "_f0")
+    firsts = cut.groupBy("_range").agg(F.min(knot).alias("_first"))
+    after = firsts.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))  # one row a range
+    led = cut.withColumn("_next", F.lead(knot).over(Window.partitionBy("_range").orderBy("_x0", "_f0"))).join(F.broadcast(after), "_range")
+    then = F.coalesce("_next", "_after")
+    pairs = led.select("_x0", "_f0", then["_x0"].alias("_x1"), then["_f0"].alias("_f1"))
     ends = knots.agg(F.min_by(fp, xp).cast("double").alias("_first"), F.max_by(fp, xp).cast("double").alias("_end"))
     rows = df.withColumn("_on", double(x))
     found = asof(rows, pairs.withColumn("_on", F.col("_x0")), "_on", (), ("_x0", "_f0", "_x1", "_f1")).crossJoin(F.broadcast(ends))

@@ -276,7 +276,7 @@ def _clumps(a: GridArray, masked_ones: bool) -> DataFrame:
     from gridspan.layout import ranked
 
     kept = a.ravel().df.filter(F.col("x").isNull() if masked_ones else F.col("x").isNotNull())
-    runs = ranked(kept, ["i0"], "_k", (), "i0").groupBy((F.col("i0") - F.col("_k")).alias("_g"))
+    runs = ranked(kept, ["i0"], "_k").groupBy((F.col("i0") - F.col("_k")).alias("_g"))
     return runs.agg(F.min("i0").alias("start"), (F.max("i0") + 1).alias("stop")).select("start", "stop")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspan.layout import ranked
@@ -54,8 +54,7 @@ def unique_counts(df: DataFrame, column: str) -> DataFrame:
 def unique_all(df: DataFrame, column: str, index: str) -> DataFrame:
     """(x, first index, count) of each distinct value, and its rank."""
     found = df.groupBy(F.col(column).alias("x")).agg(F.min(index).alias("index"), F.count("*").alias("count"))
-    numeric = dict(found.dtypes)["x"] not in ("string", "boolean", "binary")
-    return ranked(found, ["x"], "rank", (), "x") if numeric else found.withColumn("rank", (F.row_number().over(Window.orderBy("x")) - 1).cast("long"))
+    return ranked(found, ["x"], "rank")
 
 
 def unique_inverse(df: DataFrame, column: str, index: str) -> DataFrame:
@@ -71,10 +70,7 @@ def sort_values(df: DataFrame, *by: str, descending: bool = False) -> DataFrame:
 
 def lexsort(df: DataFrame, keys: tuple[str, ...], index: str, out: str = "place") -> DataFrame:
     """`df` with its place in the order of the last key, then the one before, and so on, then the index."""
-    by = [*reversed(keys), index]
-    first = keys[-1]
-    numeric = dict(df.dtypes)[first] in ("double", "float", "int", "bigint", "smallint", "tinyint")
-    return ranked(df, by, out, (), first if numeric else None)
+    return ranked(df, [*reversed(keys), index], out)
 
 
 def partition_smallest(df: DataFrame, by: str, index: str, k: int) -> DataFrame:

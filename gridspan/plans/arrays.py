@@ -44,7 +44,7 @@ def _lane_sql(expr: str) -> str:
 def _series(spark: SparkSession, sf_dir: str) -> GridArray:
     """o_totalprice by order key: one array of any length, o_orderkey being dense from 1 or 0."""
     df = table(spark, sf_dir, "orders")
-    return GridArray(ranked(df, ["o_orderkey"], "i0", (), "o_orderkey").select("i0", F.col("o_totalprice").alias("x")), [df.count()])
+    return GridArray(ranked(df, ["o_orderkey"], "i0").select("i0", F.col("o_totalprice").alias("x")), [df.count()])
 
 
 _SERIES = "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i0, o_totalprice AS x, count(*) OVER () AS n FROM orders"
@@ -232,7 +232,7 @@ def entries():
         "lane_rank": (lambda s, d: _lanes(s, d).select("event_id", "k"), f"SELECT event_id, k FROM ({_LANES})"),
         "trapezoid": (lambda s, d: _out(_series(s, d).trapezoid()), f"WITH t AS ({_SERIES}) SELECT round(sum(CASE WHEN i0 = 0 OR i0 = n - 1 THEN x / 2 ELSE x END), 4) AS x FROM t"),
         "searchsorted": (
-            lambda s, d: _out(_series(s, d).searchsorted(G.from_column(ranked(table(s, d, "events"), ["event_id"], "k", (), "event_id"), F.col("value") * 1000, "k"))),
+            lambda s, d: _out(_series(s, d).searchsorted(G.from_column(ranked(table(s, d, "events"), ["event_id"], "k"), F.col("value") * 1000, "k"))),
             "SELECT row_number() OVER (ORDER BY event_id) - 1 AS i0, CAST((SELECT count(*) FROM orders o WHERE o.o_totalprice < e.value * 1000) AS DOUBLE) AS x FROM events e",
         ),
         "interp": (_interp, _INTERP),

@@ -1,11 +1,14 @@
 """GridArray against numpy on small arrays."""
 
+import math
+
 import numpy as np
 import pytest
 from numpy.testing import assert_allclose
 from pyspark.sql import functions as F
 
 from gridspan import array as G
+from gridspan import layout
 from gridspan.operators import linalg as L
 
 A23 = [[3.0, -1.0, 2.0], [0.5, 4.0, -2.0]]
@@ -153,3 +156,28 @@ def test_masked_and_nan(spark):
 def test_empty(spark):
     a = G.array(spark, V)[3:3]
     assert a.shape == (0,) and a.sum().tolist() == 0.0 and a.sort().tolist() == [] and a.diff().shape == (0,)
+
+
+@pytest.mark.parametrize("kind", ["hot", "text", "null", "nan", "spread"])
+def test_ranks_by_ranges(spark, kind):
+    """Places by ranges, of any leading type and with a value that most rows have, are those of a plain sort; no range has most rows."""
+    n = 4_000
+    lead = {
+        "hot": lambda k: 1.0 if k % 4 else float(k), "text": lambda k: "x" * (k % 3) + str(k % 50), "null": lambda k: None if k % 3 else float(k % 7),
+        "nan": lambda k: math.nan if k % 3 else float(-k), "spread": lambda k: float(k * 7919 % n),
+    }[kind]
+    rows = [(lead(k), k * 31 % n) for k in range(n)]
+    df = spark.createDataFrame(rows, f"v {'string' if kind == 'text' else 'double'}, i long")
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] != r[0], 0 if r[0] is None or r[0] != r[0] else r[0], r[1]))
+    found = {r.i: r["at"] for r in layout.ranked(df, ["v", "i"], "at").collect()}
+    assert [found[i] for _, i in order] == list(range(n))
+    sizes = [r["count"] for r in df.withColumn("r", layout.ranges(df, ["v", "i"])).groupBy("r").count().collect()]
+    assert max(sizes) < n / 2
+    assert layout.ranked(df.limit(0), ["v", "i"], "at").count() == 0
+
+
+def test_running_by_blocks_of_blocks(spark, monkeypatch):
+    x = np.arange(100.0) % 13
+    monkeypatch.setattr(layout, "BLOCK", 4)
+    monkeypatch.setattr(layout, "BLOCKS", 3)
+    same(G.array(spark, x.tolist()).cumsum(), np.cumsum(x))
