@@ -481,6 +481,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
         to = F.broadcast(to)
     parts = rows.join(to, rows["k"] == to["rep"]).select("group", "part", "side", "rep", "p1", "p2", "text")
     links = parts.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(tidy(_verify(percent, k)), "a long, b long")
+    return told(measured, sets, links)
+
+
+def told(measured: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of measured (k, n, p1, p2). sets: (p1, p2, rep, copies); links: (a, b) of reps."""
     linked = components(links).select(F.col("node").alias("rep"), "root")
     final = stash(sets.join(linked, "rep", "left").select("p1", "p2", F.coalesce("root", "rep").alias("c"), F.col("copies").alias("n")), "components")
     # Rows of one id with different texts: each text's component, joined through the id.

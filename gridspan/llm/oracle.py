@@ -18,12 +18,28 @@ WITH d AS ({_shingles("documents", "doc_id")}), b AS ({_shingles("benchmark", "i
 SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item
 """
 
-OP3 = f"""
+
+def _reach(percent: int, more: str = "") -> str:
+    """Components of documents whose shingles have a similarity of `percent` or more."""
+    return f"""
 WITH RECURSIVE d AS ({_shingles("documents", "doc_id")}), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
      m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-     l AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+     l AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
      reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a)
-SELECT a AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY 1
+SELECT a AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(b) AS component_id{more} FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY 1
+"""
+
+
+OP3 = _reach(75)
+OP12 = _reach(85, ", min(b) = a AS kept")
+
+OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS s FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+     p AS (SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY p.a, p ORDER BY s DESC, b)::INT AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * ps <= 100 * s AND 100 * s <= 90 * ps QUALIFY rank <= 10
 """
 
 

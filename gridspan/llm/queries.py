@@ -86,6 +86,43 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of repeated words, some of them planted by its doc_id, and what is left without the repeats."""
+    from .runs import find_runs, planted
+
+    return digests(find_runs(planted(_read(spark, sf_dir, "documents"))))
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """The longest run by exponent, and digests of all runs and of the collapsed text. found: see `runs.find_runs`."""
+    longer = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), longer)
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    told = found.withColumn("best", best)
+    parts = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("1000 * best.length div best.period").cast("long")
+    return told.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *parts, milli.alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies, and whether it stays."""
+    from .odd_sketches import near_copies
+
+    return near_copies(_read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor's positives with their hard negatives."""
+    from .negatives import mine
+
+    rows = _read(spark, sf_dir, "embeddings")
+    label, finite = F.col("label").cast("long"), F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long"))
+    return mine(rows.filter(finite).select("vec_id", label.alias("label"), vector.alias("vector")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -98,10 +135,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_secret_scans": op9_secret_scans,
         "op10_sharding": op10_sharding,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_minhash_near_dedup": op12_minhash_near_dedup,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from . import oracle
 
-    return {"op2_benchmark_decontamination": oracle.OP2, "op3_ngram_jaccard_join": oracle.OP3, "op9_secret_scans": oracle.op9()}
+    return {"op2_benchmark_decontamination": oracle.OP2, "op3_ngram_jaccard_join": oracle.OP3, "op9_secret_scans": oracle.op9(), "op12_minhash_near_dedup": oracle.OP12, "op13_hard_negatives": oracle.OP13}

@@ -15,6 +15,8 @@ CHUNK = 1 << 19
 
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)  # odd, so a power of it has an inverse
+#: The prime and the base of the second hash of a word.
+_PRIME, _BASE = (1 << 31) - 1, 1_389_796_277
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,12 +62,18 @@ class Shingler:
     Words are maximal runs of bytes other than those in `gaps` (space and
     0x09-0x0D); with `fold_case`, A-Z count as a-z. A text of fewer than `k` words (but at least one) has one shingle,
     its whole sequence of words. Equal hashes are taken as equal shingles.
+
+    A word's hash joins two polynomials in its bytes: one modulo 2^64, which alone
+    is the same for certain words of 1,024 bytes whatever its base, and one modulo
+    the prime 2^31 - 1, for which that is not so.
     """
 
     def __init__(self, k: int = 5, fold_case: bool = True, gaps: tuple[int, ...] = (32, 9, 10, 11, 12, 13)):
         self.k = k
         self.powers = np.ones(1, U64)
         self.inverse = np.ones(1, U64)
+        self.prime_powers = np.ones(1, U64)
+        self.prime_inverse = np.ones(1, U64)
         self.value = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
         if fold_case:
             upper = np.arange(65, 91)
@@ -80,6 +88,11 @@ class Shingler:
                 table = np.full(size, step, U64)
                 table[0] = 1
                 setattr(self, name, np.cumprod(table, dtype=U64))
+            for name, step in (("prime_powers", _BASE), ("prime_inverse", pow(_BASE, -1, _PRIME))):
+                table = np.ones(1, U64)
+                while len(table) < size:
+                    table = np.concatenate([table, table * U64(pow(step, len(table), _PRIME)) % U64(_PRIME)])
+                setattr(self, name, table[:size])
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end of all words in order."""
@@ -110,7 +123,11 @@ class Shingler:
         total = np.zeros(n + 1, U64)
         np.cumsum(self.value[data] * self.powers[:n], out=total[1:])
         found = (total[ends] - total[starts]) * self.inverse[starts]
-        return mix(found + (ends - starts).astype(U64))
+        prime = U64(_PRIME)
+        terms = (self.value[data] >> U64(33)) * self.prime_powers[:n]
+        np.cumsum((terms & prime) + (terms >> U64(31)), out=total[1:])  # terms modulo the prime, not fully reduced
+        other = (total[ends] - total[starts]) % prime * self.prime_inverse[starts] % prime
+        return mix(found + (ends - starts).astype(U64) + mix(other + _STEP))
 
     def shingles(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all shingles in order (repeats included), and offsets into them for each row."""
