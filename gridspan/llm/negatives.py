@@ -35,7 +35,7 @@ from .store import small_batches, stash, tidy
 #: Anchors are the rows whose id this divides; positives of an anchor; negatives of each; the band in percent of the positive's score.
 EVERY, POSITIVES, NEGATIVES, LOW, HIGH = 100, 5, 10, 30, 90
 #: Pivots at most, rows for each, anchors of a group, and rows that a group meets in one task.
-PIVOTS, PER_PIVOT, PART, BLOCK = 256, 1_000, 1_024, 100_000
+PIVOTS, PER_PIVOT, PART, BLOCK = 256, 12_500, 1_024, 100_000
 #: Rows whose scores are made at a time, and the share by which bounds on distances give way for rounding.
 STEP, SLACK = 4_096, 1e-9
 
