@@ -18,7 +18,7 @@ from gridspan.functions import strings as char
 from gridspan.functions.dates import busday_count, busday_offset, busdaycalendar, datetime64, datetime_as_string, datetime_data, is_busday, isnat, timedelta64
 from gridspan.functions.polynomials import poly, poly1d, polyadd, polyder, polydiv, polyfit, polyint, polymul, polysub, polyval
 from gridspan.functions.types import can_cast, common_type, find_common_type, finfo, iinfo, isdtype, issubdtype, min_scalar_type, mintypecode, promote_types, result_type
-from gridspan.operators import aggregate, binning, linalg, sets, spectral, ufunc
+from gridspan.operators import aggregate, binning, linalg, selection, sets, spectral, ufunc
 from gridspan.operators import masked as ma
 from gridspan.operators.binning import bincount, digitize, histogram, histogram2d, histogram_bin_edges, histogramdd, interp
 from gridspan.operators.linalg import cross, dot, einsum, einsum_path, inner, kron, matmul, outer, tensordot, vdot
@@ -70,19 +70,32 @@ def _method(name: str) -> Callable:
 
 
 _METHODS = (
-    "sum prod mean var std max min ptp all any count_nonzero median quantile argmax argmin average cumsum cumprod diff ediff1d gradient trapezoid cumulative_trapezoid sort argsort partition argpartition "
+    "sum prod mean var std max min ptp all any count_nonzero argmax argmin average cumsum cumprod diff ediff1d gradient trapezoid cumulative_trapezoid sort argsort partition argpartition "
     "searchsorted nonzero argwhere flatnonzero reshape ravel transpose swapaxes moveaxis rollaxis squeeze expand_dims flip rot90 broadcast_to repeat tile resize roll pad sliding_window_view as_strided take "
     "take_along_axis compress extract delete insert put putmask diagonal trace tril triu trim_zeros clip astype"
 ).split()
 for _name in _METHODS:
     globals()[_name] = _method(_name)
-for _name in ("nansum", "nanprod", "nanmean", "nanvar", "nanstd", "nanmax", "nanmin", "nanmedian", "nanquantile", "nanpercentile"):
+for _name in ("nansum", "nanprod", "nanmean", "nanvar", "nanstd", "nanmax", "nanmin"):
     _agg = getattr(aggregate, _name)
     globals()[_name] = (lambda g: lambda a, *args, axis=None, **o: a.reduce(lambda x: g(x, *args, **o), axis) if isinstance(a, GridArray) else g(a, *args, **o))(_agg)
 
 
-def percentile(a, q: float, axis=None, method: str = "linear"):
-    return a.quantile(q / 100, axis, method) if isinstance(a, GridArray) else aggregate.percentile(a, q, method)
+def _of_rank(name: str, share: Callable[[float], float]) -> Callable:
+    """Of an array along its axes, or of a DataFrame by keys: f(df, keys, column, q, ...)."""
+
+    def run(a, *args, **options):
+        if not isinstance(a, GridArray):
+            return getattr(selection, name)(a, *args, **options)
+        q, *rest = (0.5, *args) if name.endswith("median") else args
+        return (a.nanquantile if name.startswith("nan") else a.quantile)(share(q), *rest, **options)
+
+    run.__name__ = name
+    return run
+
+
+for _name in ("median", "nanmedian", "quantile", "nanquantile", "percentile", "nanpercentile"):
+    globals()[_name] = _of_rank(_name, (lambda q: q / 100) if _name.endswith("percentile") else (lambda q: q))
 
 
 def nancumsum(a: GridArray, axis: int | None = None) -> GridArray:

@@ -13,12 +13,13 @@ import itertools
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspan.functions import elementwise as E
-from gridspan.layout import neighbours, ranked, running, running_by_range
+from gridspan.layout import BLOCK, neighbours, ranked, running, running_by_range
 from gridspan.operators import aggregate as A
+from gridspan.operators import selection
 
 Index = int | slice
 
@@ -185,9 +186,13 @@ class GridArray:
 
     def reduce(self, f: Callable[[Column], Column], axis: int | Sequence[int] | None = None, keepdims: bool = False) -> GridArray:
         """f aggregates x over the axes (all if None), by one grouped aggregation."""
+        return self._reduced(lambda keys: self.df.groupBy(*keys).agg(f(F.col("x")).alias("x")), axis, keepdims)
+
+    def _reduced(self, f: Callable[[list[str]], DataFrame], axis: int | Sequence[int] | None, keepdims: bool) -> GridArray:
+        """f gives (keys, x) for the axes that stay."""
         gone = set(range(self.ndim)) if axis is None else {self._axis(a) for a in ([axis] if isinstance(axis, int) else axis)}
         left = [k for k in range(self.ndim) if k not in gone]
-        found = self.df.groupBy(*(f"i{k}" for k in left)).agg(f(F.col("x")).alias("x"))
+        found = f([f"i{k}" for k in left])
         if keepdims:
             at = {f"i{k}": F.col(f"i{k}") if k in left else F.lit(0) for k in range(self.ndim)}
             return GridArray(found, ())._move(at, [self.shape[k] if k in left else 1 for k in range(self.ndim)])
@@ -232,10 +237,13 @@ class GridArray:
         return self.reduce(F.count, axis, keepdims)
 
     def median(self, axis=None, keepdims=False):
-        return self.reduce(A.median, axis, keepdims)
+        return self.quantile(0.5, axis, keepdims=keepdims)
 
     def quantile(self, q: float, axis=None, method: str = "linear", keepdims=False):
-        return self.reduce(lambda x: A.quantile(x, q, method), axis, keepdims)
+        return self._reduced(lambda keys: selection.quantile(self.df, keys, "x", q, method, "x"), axis, keepdims)
+
+    def nanquantile(self, q: float, axis=None, method: str = "linear", keepdims=False):
+        return self._reduced(lambda keys: selection.nanquantile(self.df, keys, "x", q, method, "x"), axis, keepdims)
 
     def argmax(self, axis: int | None = None):
         return self.reduce(lambda x: A.argmax(x, self._flat() if axis is None else f"i{self._axis(axis)}"), axis)
@@ -329,11 +337,40 @@ class GridArray:
         out = F.col("x") if value else F.col(i)
         return GridArray(found.select(*(F.col("_at").alias(c) if c == i else F.col(c) for c in a.axes), out.alias("_x")).withColumnRenamed("_x", "x"), a.shape)
 
-    def partition(self, kth: int, axis: int = -1) -> GridArray:
-        """The k smallest first: here fully sorted, which is one of the allowed orders."""
-        return self.sort(axis)
+    def partition(self, kth: int, axis: int | None = -1) -> GridArray:
+        """The cell of rank `kth` in its sorted place, smaller ones before it and larger ones after; each part as it was in order.
+
+        The cell is found by selection, the places by counting: nothing is sorted.
+        """
+        return self._partition(kth, axis, F.col("x"))
+
+    def argpartition(self, kth: int, axis: int | None = -1) -> GridArray:
+        a = self if axis is not None else self.ravel()
+        return a._partition(kth, axis, F.col(f"i{a._axis(-1 if axis is None else axis)}").cast("double"))
 
-    argpartition = argsort
+    def _partition(self, kth: int, axis: int | None, out: Column) -> GridArray:
+        a = self if axis is not None else self.ravel()
+        axis = a._axis(-1 if axis is None else axis)
+        i, keys, n = f"i{axis}", a._keys(axis), a.shape[axis]
+        kth = kth + n if kth < 0 else kth
+        chosen = selection.at_ranks(a.df, keys, "x", {"_v": lambda _: F.lit(kth)}).select(*keys, "_v")
+        met = a.df.join(chosen, keys) if keys else a.df.crossJoin(F.broadcast(chosen))  # one row
+        x, v = F.col("x").cast("double"), F.col("_v")
+        side = F.when(x.isNull(), F.when(v.isNull(), 1).otherwise(2)).when(v.isNull() | (x < v), 0).when(x == v, 1).otherwise(2)  # NULL is last
+        split = met.select(*a.axes, out.alias("_x"), side.alias("_side"))
+        # The cells of each part up to this one: those of earlier blocks, and within the block.
+        parts, block = [F.col("_side") == k for k in range(3)], [*keys, "_block"]
+        split = split.withColumn("_block", F.floor(F.col(i) / BLOCK))
+        per = split.groupBy(*block).agg(*(F.count(F.when(p, 1)).alias(f"_c{k}") for k, p in enumerate(parts)))
+        earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = [F.coalesce(F.sum(f"_c{k}").over(earlier), F.lit(0)) for k in range(3)]
+        smaller = [F.sum("_c0").over(Window.partitionBy(*keys)), F.sum(F.col("_c0") + F.col("_c1")).over(Window.partitionBy(*keys))]
+        base = per.select(*block, F.array(sums[0], sums[1] + smaller[0], sums[2] + smaller[1]).alias("_base"))
+        inside = Window.partitionBy(*block).orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
+        own = F.array(*(F.count(F.when(p, 1)).over(inside) for p in parts))
+        split = split.withColumn("_own", own).join(base, block)
+        at = F.get("_base", F.col("_side")) + F.get("_own", F.col("_side")) - 1
+        return GridArray(split.select(*(at.cast("long").alias(c) if c == i else F.col(c) for c in a.axes), F.col("_x").alias("x")), a.shape)
 
     def searchsorted(self, values: GridArray, side: str = "left") -> GridArray:
         """Where each value would go into this 1-D array once sorted: its count of smaller (or equal) cells, so the array itself need not be in order.
@@ -484,11 +521,13 @@ class GridArray:
             source = F.broadcast(outside.withColumn("_src", maps[mode].cast("long")))
             new = self.df.join(source, F.col(i) == F.col("_src")).select(*(F.col("_t").alias(a) if a == i else F.col(a) for a in self.axes), "x")
         else:
-            stats = {"maximum": A.max_, "minimum": A.min_, "mean": A.mean, "median": A.median}
+            stats = {"maximum": A.max_, "minimum": A.min_, "mean": A.mean}
             if mode in ("constant", "empty"):
                 lanes = self.df.filter(F.col(i) == 0).select(*others).withColumn("x", F.lit(value if mode == "constant" else None).cast("double"))
             elif mode in stats:
                 lanes = self.df.groupBy(*others).agg(stats[mode](F.col("x")).alias("x"))
+            elif mode == "median":
+                lanes = selection.median(self.df, others, "x", "x")
             elif mode == "linear_ramp":
                 lanes = self.df.groupBy(*others).agg(F.max(F.when(F.col(i) == 0, F.col("x"))).alias("_l"), F.max(F.when(F.col(i) == n - 1, F.col("x"))).alias("_r"))
             else:

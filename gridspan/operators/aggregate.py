@@ -2,7 +2,8 @@
 
 Every function returns an aggregate Column for `groupBy(...).agg(...)`, so any
 number of them share one pass and one shuffle, with partial aggregation. NULL
-is masked and skipped by all forms.
+is masked and skipped by all forms. Quantiles are in `selection`: they are no
+sums of parts.
 """
 
 from __future__ import annotations
@@ -189,40 +190,3 @@ METHODS.update(
     ),
     closest_observation=lambda n, q: _single(F.rint(q * n).cast("long") - 1, n),
 )
-
-
-def quantile(x: ColumnOrValue, q: float, method: str = "linear") -> Column:
-    """Exact, by any of the 13 methods. The common ones use Spark's own percentiles, whose
-    state is a count for each distinct value; the others sort the group's values."""
-    x = double(x)
-    spread = lambda found: F.when(_any_nan(x), NAN).otherwise(found)
-    if method == "linear":
-        return spread(F.percentile(x, F.lit(q)))
-    values = F.array_sort(F.collect_list(x))
-    n = F.count(x)
-    if q <= 0 or q >= 1:
-        return spread(F.min(x) if q <= 0 else F.max(x))
-    low, high, share = METHODS[method](n, q)
-    at = lambda k: F.try_element_at(values, (k + 1).cast("int"))
-    return spread(F.when(share == 0, at(low)).otherwise(at(low) + share * (at(high) - at(low))))
-
-
-def percentile(x: ColumnOrValue, q: float, method: str = "linear") -> Column:
-    return quantile(x, q / 100, method)
-
-
-def median(x: ColumnOrValue) -> Column:
-    return quantile(x, 0.5)
-
-
-def nanquantile(x: ColumnOrValue, q: float, method: str = "linear") -> Column:
-    x = double(x)
-    return _of_any(x, quantile(_skip(x), q, method))
-
-
-def nanpercentile(x: ColumnOrValue, q: float, method: str = "linear") -> Column:
-    return nanquantile(x, q / 100, method)
-
-
-def nanmedian(x: ColumnOrValue) -> Column:
-    return nanquantile(x, 0.5)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridspan.functions.semantics import NAN, double
 from gridspan.layout import ranged
+from gridspan.operators import selection
 
 
 def bin_of(x: Column, low: float, high: float, bins: int) -> Column:
@@ -30,7 +31,7 @@ def digitize(x: Column | str, edges: Sequence[float], right: bool = False) -> Co
 def histogram_bin_edges(df: DataFrame, column: str, bins: int | str = 10, low: float | None = None, high: float | None = None) -> list[float]:
     """Equal widths over the range, their number given or by a rule of the data's count, spread or quartiles."""
     x = double(column)
-    r = df.filter(~F.isnan(x)).agg(F.min(x), F.max(x), F.count(x), F.stddev_pop(x), F.percentile(x, F.lit(0.25)), F.percentile(x, F.lit(0.75)), F.skewness(x)).first()
+    r = df.filter(~F.isnan(x)).agg(F.min(x), F.max(x), F.count(x), F.stddev_pop(x), F.skewness(x)).first()
     lo, hi = (r[0] if low is None else low), (r[1] if high is None else high)
     lo, hi = (0.0, 1.0) if lo is None else (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
     n = r[2]
@@ -41,10 +42,12 @@ def histogram_bin_edges(df: DataFrame, column: str, bins: int | str = 10, low: f
             widths["sturges"] = span / (math.log2(n) + 1)
             widths["rice"] = span / (2 * n ** (1 / 3))
             widths["scott"] = (24 * math.sqrt(math.pi) / n) ** (1 / 3) * r[3]
-            widths["fd"] = 2 * (r[5] - r[4]) * n ** (-1 / 3)
+            if bins in ("fd", "auto"):
+                quarters = selection.quantiles(df, [], x, {"low": (0.25, "linear"), "high": (0.75, "linear")}, skip_nan=True).first()
+                widths["fd"] = 2 * (quarters.high - quarters.low) * n ** (-1 / 3)
             skew_error = math.sqrt(6 * (n - 2) / ((n + 1) * (n + 3))) if n > 2 else 0
-            widths["doane"] = span / (1 + math.log2(n) + math.log2(1 + abs(r[6] or 0) / skew_error)) if skew_error and r[3] else 0
-            widths["auto"] = min(widths["fd"], widths["sturges"]) if widths["fd"] else widths["sturges"]
+            widths["doane"] = span / (1 + math.log2(n) + math.log2(1 + abs(r[4] or 0) / skew_error)) if skew_error and r[3] else 0
+            widths["auto"] = min(widths["fd"], widths["sturges"]) if widths.get("fd") else widths["sturges"]
         width = widths.get(bins, 0)
         bins = max(1, math.ceil(span / width)) if width else 1
     return [lo + k * (hi - lo) / bins for k in range(bins)] + [hi]

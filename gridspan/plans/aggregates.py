@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspan.functions.semantics import NAN
 from gridspan.operators import aggregate as A
+from gridspan.operators import selection as Q
 from gridspan.session import table
 
 GROUP = ["l_returnflag", "l_linestatus"]
@@ -37,7 +38,8 @@ def _at(h: str, n: str = "count(*)") -> str:
     return f"{low} + ({h} - floor({h})) * ({high} - {low})"
 
 
-Q = 0.3
+SHARE = 0.3
+#: A function of no argument gives an aggregate, one of the rows a table (keys, value).
 CASES: dict[str, tuple[object, str]] = {
     "sum": (lambda: A.sum_("q"), "sum(q)"),
     "prod": (lambda: A.prod(1 + F.col("d") / 1000), "product(1 + d / 1000)"),
@@ -67,9 +69,9 @@ CASES: dict[str, tuple[object, str]] = {
     "nanmin": (lambda: A.nanmin("z"), f"min(z) {_OK}"),
     "nanargmax": (lambda: A.nanargmax("z", "id"), f"arg_max(id, (z, -id)) {_OK}"),
     "nanargmin": (lambda: A.nanargmin("z", "id"), f"arg_min(id, (z, id)) {_OK}"),
-    "nanmedian": (lambda: A.nanmedian("z"), f"quantile_cont(z, 0.5) {_OK}"),
-    "nanquantile": (lambda: A.nanquantile("z", 0.3), f"quantile_cont(z, 0.3) {_OK}"),
-    "nanpercentile": (lambda: A.nanpercentile("z", 90), f"quantile_cont(z, 0.9) {_OK}"),
+    "nanmedian": (lambda df: Q.nanmedian(df, GROUP, "z"), f"quantile_cont(z, 0.5) {_OK}"),
+    "nanquantile": (lambda df: Q.nanquantile(df, GROUP, "z", 0.3), f"quantile_cont(z, 0.3) {_OK}"),
+    "nanpercentile": (lambda df: Q.nanpercentile(df, GROUP, "z", 90), f"quantile_cont(z, 0.9) {_OK}"),
     "ma_sum": (lambda: A.sum_("m"), "sum(m)"),
     "ma_mean": (lambda: A.mean("m"), "avg(m)"),
     "ma_var": (lambda: A.var(F.col("m") / 1000), "var_pop(m / 1000)"),
@@ -80,27 +82,27 @@ CASES: dict[str, tuple[object, str]] = {
     "ma_count": (lambda: F.count("m"), "count(m)"),
     "ma_count_masked": (lambda: F.count(F.when(F.col("m").isNull(), 1)), "count(*) - count(m)"),
     "ma_average": (lambda: A.average("m", "q"), "sum(m * q) / sum(q) FILTER (m IS NOT NULL)"),
-    "ma_median": (lambda: A.median("m"), "quantile_cont(m, 0.5)"),
+    "ma_median": (lambda df: Q.median(df, GROUP, "m"), "quantile_cont(m, 0.5)"),
     "ma_argmax": (lambda: A.argmax("m", "id"), "arg_max(id, (m, -id)) FILTER (m IS NOT NULL)"),
     "ma_argmin": (lambda: A.argmin("m", "id"), "arg_min(id, (m, id)) FILTER (m IS NOT NULL)"),
-    "median": (lambda: A.median("p"), "quantile_cont(p, 0.5)"),
-    "percentile": (lambda: A.percentile("p", 77.7), "quantile_cont(p, 0.777)"),
-    "quantile_linear": (lambda: A.quantile("p", Q), _at(f"{Q} * (count(*) - 1)")),
-    "quantile_interpolated_inverted_cdf": (lambda: A.quantile("p", Q, "interpolated_inverted_cdf"), _at(f"{Q} * count(*) - 1")),
-    "quantile_hazen": (lambda: A.quantile("p", Q, "hazen"), _at(f"{Q} * count(*) - 0.5")),
-    "quantile_weibull": (lambda: A.quantile("p", Q, "weibull"), _at(f"{Q} * (count(*) + 1) - 1")),
-    "quantile_median_unbiased": (lambda: A.quantile("p", Q, "median_unbiased"), _at(f"{Q} * (count(*) + 1.0 / 3) + 1.0 / 3 - 1")),
-    "quantile_normal_unbiased": (lambda: A.quantile("p", Q, "normal_unbiased"), _at(f"{Q} * (count(*) + 0.25) + 0.375 - 1")),
-    "quantile_lower": (lambda: A.quantile("p", Q, "lower"), _at(f"floor({Q} * (count(*) - 1))")),
-    "quantile_higher": (lambda: A.quantile("p", Q, "higher"), _at(f"ceil({Q} * (count(*) - 1))")),
-    "quantile_nearest": (lambda: A.quantile("p", Q, "nearest"), _at(f"round_even({Q} * (count(*) - 1), 0)")),
-    "quantile_midpoint": (lambda: A.quantile("p", Q, "midpoint"), f"(({_at(f'floor({Q} * (count(*) - 1))')}) + ({_at(f'ceil({Q} * (count(*) - 1))')})) / 2"),
-    "quantile_inverted_cdf": (lambda: A.quantile("p", Q, "inverted_cdf"), _at(f"ceil({Q} * count(*)) - 1")),
+    "median": (lambda df: Q.median(df, GROUP, "p"), "quantile_cont(p, 0.5)"),
+    "percentile": (lambda df: Q.percentile(df, GROUP, "p", 77.7), "quantile_cont(p, 0.777)"),
+    "quantile_linear": (lambda df: Q.quantile(df, GROUP, "p", SHARE), _at(f"{SHARE} * (count(*) - 1)")),
+    "quantile_interpolated_inverted_cdf": (lambda df: Q.quantile(df, GROUP, "p", SHARE, "interpolated_inverted_cdf"), _at(f"{SHARE} * count(*) - 1")),
+    "quantile_hazen": (lambda df: Q.quantile(df, GROUP, "p", SHARE, "hazen"), _at(f"{SHARE} * count(*) - 0.5")),
+    "quantile_weibull": (lambda df: Q.quantile(df, GROUP, "p", SHARE, "weibull"), _at(f"{SHARE} * (count(*) + 1) - 1")),
+    "quantile_median_unbiased": (lambda df: Q.quantile(df, GROUP, "p", SHARE, "median_unbiased"), _at(f"{SHARE} * (count(*) + 1.0 / 3) + 1.0 / 3 - 1")),
+    "quantile_normal_unbiased": (lambda df: Q.quantile(df, GROUP, "p", SHARE, "normal_unbiased"), _at(f"{SHARE} * (count(*) + 0.25) + 0.375 - 1")),
+    "quantile_lower": (lambda df: Q.quantile(df, GROUP, "p", SHARE, "lower"), _at(f"floor({SHARE} * (count(*) - 1))")),
+    "quantile_higher": (lambda df: Q.quantile(df, GROUP, "p", SHARE, "higher"), _at(f"ceil({SHARE} * (count(*) - 1))")),
+    "quantile_nearest": (lambda df: Q.quantile(df, GROUP, "p", SHARE, "nearest"), _at(f"round_even({SHARE} * (count(*) - 1), 0)")),
+    "quantile_midpoint": (lambda df: Q.quantile(df, GROUP, "p", SHARE, "midpoint"), f"(({_at(f'floor({SHARE} * (count(*) - 1))')}) + ({_at(f'ceil({SHARE} * (count(*) - 1))')})) / 2"),
+    "quantile_inverted_cdf": (lambda df: Q.quantile(df, GROUP, "p", SHARE, "inverted_cdf"), _at(f"ceil({SHARE} * count(*)) - 1")),
     "quantile_averaged_inverted_cdf": (
-        lambda: A.quantile("p", Q, "averaged_inverted_cdf"),
-        f"CASE WHEN {Q} * count(*) = floor({Q} * count(*)) THEN (({_at(f'ceil({Q} * count(*)) - 1')}) + ({_at(f'floor({Q} * count(*))')})) / 2 ELSE {_at(f'ceil({Q} * count(*)) - 1')} END",
+        lambda df: Q.quantile(df, GROUP, "p", SHARE, "averaged_inverted_cdf"),
+        f"CASE WHEN {SHARE} * count(*) = floor({SHARE} * count(*)) THEN (({_at(f'ceil({SHARE} * count(*)) - 1')}) + ({_at(f'floor({SHARE} * count(*))')})) / 2 ELSE {_at(f'ceil({SHARE} * count(*)) - 1')} END",
     ),
-    "quantile_closest_observation": (lambda: A.quantile("p", Q, "closest_observation"), _at(f"round_even({Q} * count(*), 0) - 1")),
+    "quantile_closest_observation": (lambda df: Q.quantile(df, GROUP, "p", SHARE, "closest_observation"), _at(f"round_even({SHARE} * count(*), 0) - 1")),
 }
 
 
@@ -109,8 +111,9 @@ def entries():
     for name, (make, sql) in CASES.items():
 
         def query(spark: SparkSession, sf_dir: str, make=make) -> DataFrame:
-            value: Column = make()
-            return _rows(spark, sf_dir).groupBy(*GROUP).agg(F.round(value.cast("double"), 4).alias("value"))
+            rows = _rows(spark, sf_dir)
+            found = make(rows) if make.__code__.co_argcount else rows.groupBy(*GROUP).agg(make().cast("double").alias("value"))
+            return found.select(*GROUP, F.round("value", 4).alias("value"))
 
         found[f"agg_{name}"] = query, f"WITH t AS ({_T}) SELECT l_returnflag, l_linestatus, round(CAST({sql} AS DOUBLE), 4) AS value FROM t GROUP BY l_returnflag, l_linestatus"
     return found

@@ -61,7 +61,11 @@ GRID = {
     "pad": (lambda g: g.pad(1, 2, 1, "constant", 7.0), f"{_GR} SELECT i AS i0, j + 1 AS i1, round(x, 4) AS x FROM g UNION ALL SELECT DISTINCT i, k, 7.0 FROM g, (VALUES (0), (101), (102)) v(k)"),
     "take_along_axis": (lambda g: g.take_along_axis(g.argsort(1), 1), f"{_GR} SELECT i AS i0, row_number() OVER (PARTITION BY i ORDER BY x, j) - 1 AS i1, round(x, 4) AS x FROM g"),
     "put_along_axis": (lambda g: gs.put_along_axis(g, g.argmax(1).expand_dims(1), -1.0, 1), f"{_GR}, m AS (SELECT i, arg_max(j, x) AS top FROM g GROUP BY 1) SELECT i AS i0, j AS i1, CASE WHEN j = top THEN -1.0 ELSE round(x, 4) END AS x FROM g JOIN m USING (i)"),
-    "argpartition": (lambda g: g.argpartition(1), f"{_GR} SELECT i AS i0, row_number() OVER (PARTITION BY i ORDER BY x, j) - 1 AS i1, j::DOUBLE AS x FROM g"),
+    "argpartition": (
+        lambda g: g.argpartition(40),
+        f"{_GR}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY x) - 1 AS r FROM g), v AS (SELECT *, max(CASE WHEN r = 40 THEN x END) OVER (PARTITION BY i) AS v FROM r) "
+        "SELECT i AS i0, row_number() OVER (PARTITION BY i ORDER BY x >= v, x > v, j) - 1 AS i1, j::DOUBLE AS x FROM v",
+    ),
     "fill_diagonal": (lambda g: gs.fill_diagonal(g, 5.0), f"{_GR} SELECT i AS i0, j AS i1, CASE WHEN i = j THEN 5.0 ELSE round(x, 4) END AS x FROM g"),
     "diag": (lambda g: G.diag(g, 1), f"{_GR} SELECT i AS i0, round(x, 4) AS x FROM g WHERE j = i + 1"),
     "nonzero": (lambda g: gs.nonzero(g > 4e5), f"{_GR} SELECT row_number() OVER (ORDER BY i, j) - 1 AS place, i AS i0, j AS i1 FROM g WHERE x > 4e5"),
