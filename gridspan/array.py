@@ -36,6 +36,9 @@ def _each(n: int) -> Column:
 class GridArray:
     """`df` has columns i0.. and x; `shape` their extents."""
 
+    #: (table, row, vector) where the array was made of a column of vectors, see `from_rows`.
+    packed: tuple[DataFrame, str, str] | None = None
+
     def __init__(self, df: DataFrame, shape: Sequence[int]):
         self.df, self.shape = df, tuple(int(n) for n in shape)
 
@@ -880,7 +883,9 @@ def from_rows(df: DataFrame, vector: str, row: str, rows: int | None = None, wid
     if width is None:
         width = df.select(F.max(F.size(vector))).first()[0] or 0
     cells = df.select(F.col(row).cast("long").alias("i0"), F.posexplode(vector).alias("i1", "x"))
-    return GridArray(cells.select("i0", F.col("i1").cast("long").alias("i1"), F.col("x").cast("double").alias("x")), [df.count() if rows is None else rows, width])
+    found = GridArray(cells.select("i0", F.col("i1").cast("long").alias("i1"), F.col("x").cast("double").alias("x")), [df.count() if rows is None else rows, width])
+    found.packed = df, row, vector
+    return found
 
 
 def diag(a: GridArray, k: int = 0) -> GridArray:

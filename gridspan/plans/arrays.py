@@ -319,7 +319,7 @@ def entries():
         "hamming": (lambda s, d: _out(FT.hamming(s, 32)), "SELECT CAST(k AS BIGINT) AS i0, round(0.54 - 0.46 * cos(2 * pi() * k / 31), 4) AS x FROM unnest(range(32)) u(k)"),
         "blackman": (lambda s, d: _out(FT.blackman(s, 32).apply(lambda x: x + 1.0)), "SELECT CAST(k AS BIGINT) AS i0, round(1.42 - 0.5 * cos(2 * pi() * k / 31) + 0.08 * cos(4 * pi() * k / 31), 4) AS x FROM unnest(range(32)) u(k)"),
         "bartlett": (lambda s, d: _out(FT.bartlett(s, 32)), "SELECT CAST(k AS BIGINT) AS i0, round(1 - abs(2.0 * k / 31 - 1), 4) AS x FROM unnest(range(32)) u(k)"),
-        "fft_round_trip": (lambda s, d: _out(FT.irfft(FT.rfft(_embedding(s, d)))), f"SELECT i AS i0, j AS i1, round(x, 4) AS x FROM ({_EMB})"),
+        "fft_round_trip": (lambda s, d: _out(FT.irfft(FT.rfft(_embedding(s, d)))), f"SELECT i AS i0, j AS i1, round(x, 4) + 0.0 AS x FROM ({_EMB})"),
         "fftfreq": (lambda s, d: _out(FT.fftfreq(s, 9)), "SELECT CAST(k AS BIGINT) AS i0, round((CASE WHEN k < 5 THEN k ELSE k - 9 END) / 9.0, 4) AS x FROM unnest(range(9)) u(k)"),
         "inv": (lambda s, d: _out((lambda g: L.inv(g) @ g)(_gram(s, d))), "SELECT CAST(i AS BIGINT) AS i0, CAST(j AS BIGINT) AS i1, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM unnest(range(64)) a(i), unnest(range(64)) b(j)"),
         "svdvals": (lambda s, d: _out(L.svdvals(_gram(s, d)).apply(lambda x: x * x).sum()), f"WITH e AS ({_EMB}), g AS (SELECT a.j, b.j AS k, sum(a.x * b.x) AS x FROM e a JOIN e b USING (i) GROUP BY 1, 2) SELECT round(sum(x * x), 4) AS x FROM g"),

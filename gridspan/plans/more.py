@@ -17,6 +17,7 @@ from gridspan.functions import elementwise as E
 from gridspan.functions import polynomials as P
 from gridspan.functions import types as T
 from gridspan.functions.random import default_rng
+from gridspan.layout import ranked
 from gridspan.operators import binning as B
 from gridspan.operators import linalg as L
 from gridspan.operators import spectral as FT
@@ -141,23 +142,108 @@ MADE = {
 
 _ANGLE = "2 * pi() * j * k / 64"
 _DFT = f"WITH e AS ({_EMB})"
+#: Neighbouring components as complex numbers, 32 a row: the first half of the spectrum of 62 real cells.
+_TURN = "2 * pi() * (t * k % 62) / 62"
+_HALVES = f"{_DFT}, h AS (SELECT i, j // 2 AS k, sum(CASE WHEN j % 2 = 0 THEN x ELSE 0 END) AS re, sum(CASE WHEN j % 2 = 1 THEN x ELSE 0 END) AS im, CASE WHEN j // 2 IN (0, 31) THEN 1 ELSE 2 END AS w FROM e GROUP BY 1, 2, 5)"
+
+
+def _halves(e: GridArray) -> GridArray:
+    return e.reshape(-1, 32, 2)
+
+
+def _two_axes(sign: str, keep: int, scale: str = "1") -> str:
+    """Both axes of the embeddings, one after the other."""
+    turn, turn2 = "2 * pi() * (j * k % 64) / 64", "2 * pi() * (i * l % n) / n"
+    return (
+        f"{_DFT}, m AS (SELECT count(*) AS n FROM embeddings), r AS (SELECT i, k, sum(x * cos({turn})) AS re, {sign}sum(x * sin({turn})) AS im FROM e, unnest(range({keep})) a(k) GROUP BY 1, 2), "
+        f"c AS (SELECT l, k, n, sum(re * cos({turn2}) - {sign}1 * im * sin({turn2})) AS re, sum(im * cos({turn2}) + {sign}1 * re * sin({turn2})) AS im FROM r, m, unnest(range((SELECT count(*) FROM embeddings))) b(l) GROUP BY 1, 2, 3) "
+        f"SELECT CAST(l AS BIGINT) AS i0, CAST(k AS BIGINT) AS i1, CAST(p AS BIGINT) AS i2, round(CASE WHEN p = 0 THEN re ELSE im END / ({scale}), 4) + 0.0 AS x FROM c, unnest(range(2)) b(p)"
+    )
+
+
+_BACK = (
+    f"{_HALVES}, m AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT l, k, w, n, sum(re * cos(2 * pi() * (i * l % n) / n) - im * sin(2 * pi() * (i * l % n) / n)) AS re, sum(im * cos(2 * pi() * (i * l % n) / n) + re * sin(2 * pi() * (i * l % n) / n)) AS im "
+    f"FROM h, m, unnest(range((SELECT count(*) FROM embeddings))) b(l) GROUP BY 1, 2, 3, 4) SELECT CAST(l AS BIGINT) AS i0, CAST(t AS BIGINT) AS i1, round(sum(w * (re * cos({_TURN}) - im * sin({_TURN}))) / (62.0 * max(n)), 4) + 0.0 AS x FROM c, unnest(range(62)) a(t) GROUP BY 1, 2"
+)
 #: Of the rows of embeddings, 64 long.
 TRANSFORMS = {
     "fft": (lambda e: FT.fft(e), f"{_DFT} SELECT i AS i0, CAST(k AS BIGINT) AS i1, CAST(p AS BIGINT) AS i2, round(sum(x * CASE WHEN p = 0 THEN cos({_ANGLE}) ELSE -sin({_ANGLE}) END), 4) + 0.0 AS x FROM e, unnest(range(64)) a(k), unnest(range(2)) b(p) GROUP BY 1, 2, 3"),
     "rfft": (lambda e: FT.rfft(e), f"{_DFT} SELECT i AS i0, CAST(k AS BIGINT) AS i1, CAST(p AS BIGINT) AS i2, round(sum(x * CASE WHEN p = 0 THEN cos({_ANGLE}) ELSE -sin({_ANGLE}) END), 4) + 0.0 AS x FROM e, unnest(range(33)) a(k), unnest(range(2)) b(p) GROUP BY 1, 2, 3"),
     "ihfft": (lambda e: FT.ihfft(e), f"{_DFT} SELECT i AS i0, CAST(k AS BIGINT) AS i1, CAST(p AS BIGINT) AS i2, round(sum(x * CASE WHEN p = 0 THEN cos({_ANGLE}) ELSE sin({_ANGLE}) END) / 64, 4) + 0.0 AS x FROM e, unnest(range(33)) a(k), unnest(range(2)) b(p) GROUP BY 1, 2, 3"),
-    "ifft": (lambda e: FT.ifft(FT.fft(e))[:, :, 0], f"{_DFT} SELECT i AS i0, j AS i1, round(x, 4) + 0.0 AS x FROM e"),
-    "irfft": (lambda e: FT.irfft(FT.rfft(e)), f"{_DFT} SELECT i AS i0, j AS i1, round(x, 4) + 0.0 AS x FROM e"),
-    "hfft": (lambda e: FT.hfft(FT.ihfft(e)), f"{_DFT} SELECT i AS i0, j AS i1, round(x, 4) + 0.0 AS x FROM e"),
-    "fft2": (lambda e: FT.fft2(FT.ifft2(e, complex_in=False), complex_in=True)[:, :, 0], f"{_DFT} SELECT i AS i0, j AS i1, round(x, 4) + 0.0 AS x FROM e"),
-    "ifft2": (lambda e: FT.ifft2(FT.fft2(e))[:, :, 0], f"{_DFT} SELECT i AS i0, j AS i1, round(x, 4) + 0.0 AS x FROM e"),
-    "fftn": (lambda e: FT.fftn(e)[0, 0], f"{_DFT} SELECT CAST(p AS BIGINT) AS i0, CASE WHEN p = 0 THEN round(sum(x), 4) ELSE 0 END AS x FROM e, unnest(range(2)) b(p) GROUP BY p"),
-    "ifftn": (lambda e: FT.ifftn(FT.fftn(e))[:, :, 0], f"{_DFT} SELECT i AS i0, j AS i1, round(x, 4) + 0.0 AS x FROM e"),
-    "rfft2": (lambda e: FT.irfft2(FT.rfft2(e)), f"{_DFT} SELECT i AS i0, j AS i1, round(x, 4) + 0.0 AS x FROM e"),
-    "irfftn": (lambda e: FT.irfftn(FT.rfftn(e)), f"{_DFT} SELECT i AS i0, j AS i1, round(x, 4) + 0.0 AS x FROM e"),
-    "rfftn": (lambda e: FT.rfftn(e)[0, 0], f"{_DFT} SELECT CAST(p AS BIGINT) AS i0, CASE WHEN p = 0 THEN round(sum(x), 4) ELSE 0 END AS x FROM e, unnest(range(2)) b(p) GROUP BY p"),
+    "ifft": (lambda e: FT.ifft(e, complex_in=False), f"{_DFT} SELECT i AS i0, CAST(k AS BIGINT) AS i1, CAST(p AS BIGINT) AS i2, round(sum(x * CASE WHEN p = 0 THEN cos({_ANGLE}) ELSE sin({_ANGLE}) END) / 64, 4) + 0.0 AS x FROM e, unnest(range(64)) a(k), unnest(range(2)) b(p) GROUP BY 1, 2, 3"),
+    "irfft": (lambda e: FT.irfft(_halves(e)), f"{_HALVES} SELECT i AS i0, CAST(t AS BIGINT) AS i1, round(sum(w * (re * cos({_TURN}) - im * sin({_TURN}))) / 62, 4) + 0.0 AS x FROM h, unnest(range(62)) a(t) GROUP BY 1, 2"),
+    "hfft": (lambda e: FT.hfft(_halves(e)), f"{_HALVES} SELECT i AS i0, CAST(t AS BIGINT) AS i1, round(sum(w * (re * cos({_TURN}) + im * sin({_TURN}))), 4) + 0.0 AS x FROM h, unnest(range(62)) a(t) GROUP BY 1, 2"),
+    "fft2": (lambda e: FT.fft2(e), _two_axes("-", 64)),
+    "fftn": (lambda e: FT.fftn(e), _two_axes("-", 64)),
+    "ifft2": (lambda e: FT.ifft2(e, complex_in=False), _two_axes("+", 64, "64.0 * n")),
+    "ifftn": (lambda e: FT.ifftn(e, complex_in=False), _two_axes("+", 64, "64.0 * n")),
+    "rfft2": (lambda e: FT.rfft2(e), _two_axes("-", 33)),
+    "rfftn": (lambda e: FT.rfftn(e), _two_axes("-", 33)),
+    "irfft2": (lambda e: FT.irfft2(_halves(e)), _BACK),
+    "irfftn": (lambda e: FT.irfftn(_halves(e)), _BACK),
 }
 
+#: Some frequencies of the whole series.
+_FREQUENCIES = "(VALUES (0), (1), (2), (7), (100), (1499)) f(k)"
+_FEW = "SELECT k FROM " + _FREQUENCIES
+LONG = {
+    "fft_series": (lambda s, d: FT.fft(_millions(s, d)), "-", "n", ""),
+    "ifft_series": (lambda s, d: FT.ifft(_millions(s, d), complex_in=False), "+", "n", " / n"),
+    "fft_series_bluestein": (lambda s, d: (lambda a: FT.fft(a, _prime_below(a.size)))(_millions(s, d)), "-", "p", ""),
+}
+
+
+def _millions(spark, sf_dir) -> GridArray:
+    return _series(spark, sf_dir).apply(lambda x: x / 1e6)
+
+
+def _prime_below(n: int) -> int:
+    return next(p for p in range(n, 1, -1) if all(p % k for k in range(2, math.isqrt(p) + 1)))
+
+
+def _long(make, sign: str, length: str, scale: str):
+    """The transform of the whole series, at some frequencies against sums over all of it; length: n, or the largest prime p up to n."""
+
+    def query(spark, sf_dir):
+        a = make(spark, sf_dir)
+        return _out(GridArray(a.df.filter(F.col("i0").isin(0, 1, 2, 7, 100, 1499)), a.shape))
+
+    prime = "(SELECT max(c) FROM (SELECT (SELECT count(*) FROM orders) - b AS c FROM unnest(range(200)) u(b)) WHERE len(list_filter(range(2, CAST(sqrt(c) AS BIGINT) + 1), lambda k: c % k = 0)) = 0)"
+    angle = "2 * pi() * ((i0 * k) % m) / m"
+    sql = (
+        f"{_SR}, q AS (SELECT t.*, {'n' if length == 'n' else prime} AS m FROM t) SELECT CAST(k AS BIGINT) AS i0, CAST(p AS BIGINT) AS i1, round(sum(x / 1e6 * CASE WHEN p = 0 THEN cos({angle}) ELSE {sign}sin({angle}) END{scale}), 4) + 0.0 AS x "
+        f"FROM q, {_FREQUENCIES}, unnest(range(2)) b(p) WHERE i0 < m GROUP BY 1, 2"
+    )
+    return query, sql
+
+
+def _whole_numbers(spark, sf_dir, name: str, index: str, column) -> GridArray:
+    df = table(spark, sf_dir, name)
+    return GridArray(ranked(df, [index], "i0").select("i0", column.cast("double").alias("x")), [df.count()])
+
+
+def _convolved(name: str, index: str, column, expr: str, flip: bool = False):
+    """The orders' prices in thousands with another column, place by place; whole numbers, so that sums are exact."""
+
+    def query(spark, sf_dir):
+        a, b = _whole_numbers(spark, sf_dir, "orders", "o_orderkey", F.floor(F.col("o_totalprice") / 1000)), _whole_numbers(spark, sf_dir, name, index, column())
+        found = FT.correlate(a, b, "full") if flip else FT.convolve(a, b)
+        return found.df.select(F.col("i0").cast("long").alias("i0"), (F.round("x") + 0.0).alias("x"))
+
+    place = "a.i + b.n - 1 - b.j" if flip else "a.i + b.j"
+    sql = (
+        f"WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, floor(o_totalprice / 1000) AS x FROM orders), b AS (SELECT row_number() OVER (ORDER BY {index}) - 1 AS j, {expr} AS y, count(*) OVER () AS n FROM {name}) "
+        f"SELECT {place} AS i0, CAST(sum(x * y) AS DOUBLE) + 0.0 AS x FROM a, b GROUP BY 1"
+    )
+    return query, sql
+
+
+CONVOLVED = {
+    "convolve_columns": ("supplier", "s_suppkey", lambda: F.floor("s_acctbal"), "floor(s_acctbal)", False),
+    "convolve_long": ("part", "p_partkey", lambda: F.col("p_size"), "p_size", False),
+    "correlate_columns": ("supplier", "s_suppkey", lambda: F.floor("s_acctbal"), "floor(s_acctbal)", True),
+}
+
 _I0 = "list_sum([pow({0} * {0} / 4, k) / pow(gamma(k + 1), 2) FOR k IN range(60)])"
 _J0 = "list_sum([pow(-1, k) * pow({0} * {0} / 4, k) / pow(gamma(k + 1), 2) FOR k IN range(60)])"
 _J1 = "({0} / 2) * list_sum([pow(-1, k) * pow({0} * {0} / 4, k) / (gamma(k + 1) * gamma(k + 2)) FOR k IN range(60)])"
@@ -367,6 +453,10 @@ def entries():
         found[name if name == "kaiser" else f"made_{name}"] = (lambda s, d, f=f: _out(f(s))), sql
     for name, (f, sql) in TRANSFORMS.items():
         found[name] = (lambda s, d, f=f: _out(f(_embedding(s, d)))), sql
+    for name, parts in LONG.items():
+        found[name] = _long(*parts)
+    for name, parts in CONVOLVED.items():
+        found[name] = _convolved(*parts)
     for name, (f, sql) in LINEAR.items():
         found[f"linalg_{name}"] = (lambda s, d, f=f: _out(f(_gram(s, d)))), sql
     for name, (make, sql) in SPECIAL.items():
