@@ -1,4 +1,4 @@
-"""Linear algebra on coordinates: joins and grouped sums; dense decompositions on stacks of small matrices."""
+"""Linear algebra on coordinates: tiles for products, joins and grouped sums for other sums of products, trees for tall matrices, dense decompositions on stacks of small ones."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspan.array import GridArray, identity
+from gridspan.operators import tall, tiles
 
 
 def einsum(subscripts: str, *operands: GridArray) -> GridArray:
@@ -67,6 +68,12 @@ def einsum_path(subscripts: str, *operands: GridArray) -> list[str]:
 
 
 def matmul(a: GridArray, b: GridArray) -> GridArray:
+    """Two matrices of floating point are multiplied by tiles; integers stay exact, and vectors and stacks meet cell by cell."""
+    if a.ndim == b.ndim == 2 and {a.dtype, b.dtype} <= {"double", "float"}:
+        if a.shape[1] != b.shape[0]:
+            raise ValueError(f"shapes {a.shape} and {b.shape} don't fit")
+        product = tiles.multiply(tiles.tiled(a.df, *a.shape), tiles.tiled(b.df, *b.shape))
+        return GridArray(tiles.cells(product), (a.shape[0], b.shape[1]))
     left, right = ("n" if a.ndim == 1 else "mn"), ("n" if b.ndim == 1 else "nk")
     batch = string.ascii_uppercase[: max(a.ndim, b.ndim, 2) - 2]
     la, lb = batch[len(batch) - max(a.ndim - 2, 0) :], batch[len(batch) - max(b.ndim - 2, 0) :]
@@ -96,6 +103,8 @@ def vdot(a: GridArray, b: GridArray) -> GridArray:
 
 def tensordot(a: GridArray, b: GridArray, axes: int | tuple[Sequence[int], Sequence[int]] = 2) -> GridArray:
     pairs = (list(range(a.ndim - axes, a.ndim)), list(range(axes))) if isinstance(axes, int) else ([a._axis(k) for k in axes[0]], [b._axis(k) for k in axes[1]])
+    if a.ndim == b.ndim == 2 and len(pairs[0]) == len(pairs[1]) == 1:
+        return matmul(a if pairs[0][0] else a.T, b.T if pairs[1][0] else b)
     left, right = list(string.ascii_lowercase[: a.ndim]), list(string.ascii_uppercase[: b.ndim])
     for p, q in zip(*pairs, strict=True):
         right[q] = left[p]
@@ -206,11 +215,24 @@ def _n(a: GridArray) -> tuple[int, int]:
     return a.shape[-2], a.shape[-1]
 
 
+def _is_tall(a: GridArray) -> bool:
+    return a.ndim == 2 and a.shape[0] > a.shape[1] > 0
+
+
+def _triangle(a: GridArray) -> GridArray:
+    n = a.shape[1]
+    return GridArray(tall.triangle(a.df, a.shape[0], n), (n, n))
+
+
 def inv(a):
     return dense(a, np.linalg.inv, _n(a))
 
 
 def pinv(a, rcond: float = 1e-15):
+    """Of a tall matrix: that of R, which has the same singular values, times the transpose of Q."""
+    if _is_tall(a):
+        q, r = qr(a)
+        return matmul(pinv(r, rcond), q.T)
     return dense(a, lambda m: np.linalg.pinv(m, rcond), _n(a)[::-1])
 
 
@@ -224,7 +246,9 @@ def slogdet(a) -> GridArray:
 
 
 def matrix_rank(a, tol: float | None = None):
-    return dense(a, lambda m: np.float64(np.linalg.matrix_rank(m, tol)), ())
+    rows, columns = _n(a)
+    rank = lambda m: (s := np.linalg.svd(m, compute_uv=False), np.float64((s > (s.max() * max(rows, columns) * np.finfo(float).eps if tol is None else tol)).sum()))[1]
+    return dense(_triangle(a) if _is_tall(a) else a, rank, ())
 
 
 def cond(a, p=None):
@@ -237,8 +261,18 @@ def solve(a: GridArray, b: GridArray) -> GridArray:
 
 
 def lstsq_small(a: GridArray, b: GridArray) -> GridArray:
-    """Least squares of one matrix that fits a task, of any rank."""
+    """Least squares of a matrix of any rank, the shortest where there are many.
+
+    Of a tall matrix from the triangle of a and b side by side, which is all that one task gets.
+    """
     vector = b.ndim == 1
+    if _is_tall(a):
+        n, wide = a.shape[1], 1 if vector else b.shape[1]
+        beside = b.df.select("i0", (F.lit(n).cast("long") if vector else F.col("i1") + n).alias("i1"), "x")
+        both = a.df.select(F.col("i0").cast("long").alias("i0"), F.col("i1").cast("long").alias("i1"), F.col("x").cast("double").alias("x")).unionByName(beside.withColumn("x", F.col("x").cast("double")))
+        r = _triangle(GridArray(both, (a.shape[0], n + wide)))
+        eps = a.shape[0] * np.finfo(float).eps
+        return dense(r, lambda m: np.linalg.lstsq(m[:, :n], m[:, n:], rcond=eps)[0][:, 0] if vector else np.linalg.lstsq(m[:, :n], m[:, n:], rcond=eps)[0], (n,) if vector else (n, wide))
     return dense(a, lambda m, r: np.linalg.lstsq(m, r, rcond=None)[0][:, 0] if vector else np.linalg.lstsq(m, r, rcond=None)[0], (a.shape[-1],) if vector else (a.shape[-1], b.shape[-1]), b)
 
 
@@ -264,19 +298,27 @@ def lstsq(df: DataFrame, features: Sequence[str | Column], target: str | Column)
 
 
 def svdvals(a):
-    return dense(a, lambda m: np.linalg.svd(m, compute_uv=False), (min(_n(a)),))
+    return dense(_triangle(a) if _is_tall(a) else a, lambda m: np.linalg.svd(m, compute_uv=False), (min(_n(a)),))
 
 
 def svd(a: GridArray, full_matrices: bool = True) -> tuple[GridArray, GridArray, GridArray]:
+    """Of a tall matrix, unless full: those of R, the left vectors times Q."""
     m, n = _n(a)
     k = min(m, n)
+    if _is_tall(a) and not full_matrices:
+        q, r = qr(a)
+        u, s, vt = svd(r)
+        return matmul(q, u), s, vt
     part = lambda j: lambda x: np.linalg.svd(x, full_matrices=full_matrices)[j]
     return dense(a, part(0), (m, m if full_matrices else k)), dense(a, part(1), (k,)), dense(a, part(2), (n if full_matrices else k, n))
 
 
 def qr(a: GridArray) -> tuple[GridArray, GridArray]:
+    """Of a tall matrix by a tree of strips, with no negative diagonal."""
     m, n = _n(a)
     k = min(m, n)
+    if _is_tall(a):
+        return GridArray(tall.orthogonal(a.df, m, n), (m, n)), _triangle(a)
     return dense(a, lambda x: np.linalg.qr(x)[0], (m, k)), dense(a, lambda x: np.linalg.qr(x)[1], (k, n))
 
 

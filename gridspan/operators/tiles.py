@@ -5,7 +5,8 @@ cells in order of rows. A product sends the tiles of one side to the columns of
 tiles of the other; a task multiplies the pairs that it meets as they come and
 holds one tile of the result. A long inner axis is split over tasks, whose sums
 are added level by level. A product over the rows of two array columns of one
-table needs no tiles: each task sums its own rows.
+table needs no tiles: each task sums its own rows. A masked or missing cell counts
+as zero, and a cell whose products are all masked is masked.
 """
 
 from __future__ import annotations
@@ -39,10 +40,33 @@ class Tiled(NamedTuple):
 _TILES = "bi long, bj long, tile array<double>"
 
 
-def _lists(blocks: list[np.ndarray]) -> pa.Array:
-    sizes = np.cumsum([0, *(b.size for b in blocks)])
-    flat = np.concatenate([b.ravel() for b in blocks]) if blocks else np.empty(0)
-    return pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(flat.astype(float)))
+#: Cells, and which of them count; None where all do.
+Tile = tuple[np.ndarray, np.ndarray | None]
+
+
+def _list(values: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """One list of cells, NULL where they don't count."""
+    mask = None if valid is None else ~valid.ravel()
+    return pa.ListArray.from_arrays(pa.array([0, values.size], pa.int32()), pa.array(values.ravel().astype(float), mask=mask))
+
+
+def _tile(column: pa.Array, k: int) -> Tile:
+    """The k-th list, flat, with zero for NULL."""
+    values = column[k].values
+    if not values.null_count:
+        return np.asarray(values), None
+    return values.fill_null(0.0).to_numpy(zero_copy_only=False), values.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _sum(a: Tile, b: Tile) -> Tile:
+    return a[0] + b[0], None if a[1] is None or b[1] is None else a[1] | b[1]
+
+
+def _product(a: Tile, b: Tile) -> Tile:
+    if a[1] is None and b[1] is None:
+        return a[0] @ b[0], None
+    one = [np.ones(x.shape) if valid is None else valid.astype(float) for x, valid in (a, b)]
+    return a[0] @ b[0], one[0] @ one[1] > 0
 
 
 def _cell_batch(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -52,19 +76,20 @@ def _cell_batch(column: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def tiled(df: DataFrame, rows: int, columns: int) -> Tiled:
-    """Of cells (i0, i1, x); a masked cell counts as zero."""
+    """Of cells (i0, i1, x)."""
     at = [F.expr(f"i{k} div {SIDE}").alias(f"b{c}") for k, c in enumerate("ij")]
-    inner = F.struct((F.col("i0") % SIDE).alias("r"), (F.col("i1") % SIDE).alias("c"), F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"))
-    grouped = df.select(*at, inner.alias("_cell")).groupBy("bi", "bj").agg(F.collect_list("_cell").alias("cells"))  # SIDE * SIDE cells at most
+    inner = F.struct((F.col("i0") % SIDE).alias("r"), (F.col("i1") % SIDE).alias("c"), F.col("x").cast("double").alias("x"))
+    grouped = df.filter("x is not null").select(*at, inner.alias("_cell")).groupBy("bi", "bj").agg(F.collect_list("_cell").alias("cells"))  # SIDE * SIDE cells at most
     shape = Tiled(df, rows, columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block = np.zeros(shape_of(batch.column(0)[k].as_py(), batch.column(1)[k].as_py()))
+                valid = np.zeros(block.shape, bool)
                 r, c, x = _cell_batch(batch.column(2), k)
-                block[r, c] = x
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), _lists([block])], ["bi", "bj", "tile"])
+                block[r, c], valid[r, c] = x, True
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), _list(block, None if valid.all() else valid)], ["bi", "bj", "tile"])
 
     side = SIDE
     shape_of = lambda bi, bj: (min(side, rows - bi * side), min(side, columns - bj * side))
@@ -78,10 +103,10 @@ def cells(t: Tiled) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                bi, bj, tile = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), np.asarray(batch.column(2)[k].values)
+                bi, bj, tile = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values
                 at = np.arange(len(tile))
                 wide = min(side, columns - bj * side)
-                yield pa.RecordBatch.from_arrays([pa.array(bi * side + at // wide), pa.array(bj * side + at % wide), pa.array(tile)], ["i0", "i1", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(bi * side + at // wide), pa.array(bj * side + at % wide), tile], ["i0", "i1", "x"])
 
     return t.df.mapInArrow(run, "i0 long, i1 long, x double")
 
@@ -97,13 +122,13 @@ def _added(parts: DataFrame, most: int) -> DataFrame:
         now, total = None, None
         for batch in batches:
             for k in range(batch.num_rows):
-                key, tile = tuple(batch.column(c)[k].as_py() for c in range(3)), np.asarray(batch.column(3)[k].values)
+                key, tile = tuple(batch.column(c)[k].as_py() for c in range(3)), _tile(batch.column(3), k)
                 if key != now:
                     if now is not None:
                         yield _part(now, total)
-                    now, total = key, tile.copy()
+                    now, total = key, tile
                 else:
-                    total += tile
+                    total = _sum(total, tile)
         if now is not None:
             yield _part(now, total)
 
@@ -114,8 +139,8 @@ def _added(parts: DataFrame, most: int) -> DataFrame:
             return parts.drop("s")
 
 
-def _part(key: tuple[int, int, int], tile: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array([k]) for k in key), _lists([tile])], ["bi", "bj", "s", "tile"])
+def _part(key: tuple[int, int, int], tile: Tile) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array([k]) for k in key), _list(*tile)], ["bi", "bj", "s", "tile"])
 
 
 def multiply(a: Tiled, b: Tiled) -> Tiled:
@@ -137,12 +162,13 @@ def multiply(a: Tiled, b: Tiled) -> Tiled:
                         yield _part(now, total)
                     now, held, total = (bi, j, split), None, None
                 depth = min(side, inner - k * side)
-                tile = np.asarray(batch.column(5)[row].values)
+                rows_of = (-1, depth) if which == 0 else (depth, -1)
+                tile = tuple(None if part is None else part.reshape(rows_of) for part in _tile(batch.column(5), row))
                 if which == 0:
-                    held, at = tile.reshape(-1, depth), k
+                    held, at = tile, k
                 elif held is not None and at == k:
-                    product = held @ tile.reshape(depth, -1)
-                    total = product if total is None else total + product
+                    product = _product(held, tile)
+                    total = product if total is None else _sum(total, product)
         if total is not None:
             yield _part(now, total)
 
@@ -163,7 +189,7 @@ def over_rows(df: DataFrame, left: str, right: str, rows: int, columns: int) ->
         task = TaskContext.get().partitionId()
         for bi in range(-(-rows // side)):
             for bj in range(-(-columns // side)):
-                yield _part((bi, bj, task), total[bi * side : (bi + 1) * side, bj * side : (bj + 1) * side])
+                yield _part((bi, bj, task), (total[bi * side : (bi + 1) * side, bj * side : (bj + 1) * side], None))
 
     doubles = df.select(F.col(left).cast("array<double>").alias("l"), F.col(right).cast("array<double>").alias("r"))
     return Tiled(_added(doubles.mapInArrow(run, "bi long, bj long, s long, tile array<double>"), df.rdd.getNumPartitions()), rows, columns)
