@@ -435,6 +435,54 @@ LINEAR = {
 }
 
 
+# Of all embeddings as one tall matrix.
+
+
+def _with_sum(e):
+    """A further column, the sum of the first two: no full rank."""
+    return G.concatenate([e, (e[:, :1] + e[:, 1:2])], 1)
+
+
+def _fitted_moments(e):
+    """Moments of the least-squares fit to column 5 by the other columns and one that depends on them: those of column 5 itself."""
+    a, y = _with_sum(e[:, :5]), e[:, 5]
+    return a.T.dot(a.dot(L.lstsq_small(a, y)))
+
+
+def _qr_product(e):
+    q, r = L.qr(e)
+    return q @ r
+
+
+def _qr_gram(e):
+    q = L.qr(e)[0]
+    return q.T @ q
+
+
+def _triangle_gram(e):
+    r = L.qr(e)[1]
+    return r.T @ r
+
+
+def _svd_product(e):
+    u, s, vt = L.svd(e, full_matrices=False)
+    return (u * s) @ vt
+
+
+_UNIT = "SELECT a.j AS i0, b.j AS i1, CASE WHEN a.j = b.j THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM (SELECT DISTINCT j FROM e) a, (SELECT DISTINCT j FROM e) b"
+
+TALL = {
+    "qr_tall": (_qr_product, f"{_GRAM} SELECT i AS i0, j AS i1, {_R4.format('x')} FROM e"),
+    "qr_tall_orthogonal": (_qr_gram, f"{_GRAM} {_UNIT}"),
+    "qr_tall_triangle": (_triangle_gram, f"{_GRAM} SELECT i AS i0, j AS i1, {_R4.format('x')} FROM g"),
+    "svd_tall": (_svd_product, f"{_GRAM} SELECT i AS i0, j AS i1, {_R4.format('x')} FROM e"),
+    "svdvals_tall": (lambda e: L.svdvals(e).apply(lambda x: F.pow(x / 10, 4.0)).sum(), f"{_GRAM} SELECT {_R4.format('sum(x * x / 10000)')} FROM g"),
+    "pinv_tall": (lambda e: L.pinv(e) @ e, f"{_GRAM} {_UNIT}"),
+    "matrix_rank_tall": (lambda e: L.matrix_rank(_with_sum(e)), f"{_GRAM} SELECT count(DISTINCT j)::DOUBLE AS x FROM e"),
+    "lstsq_tall": (_fitted_moments, f"{_GRAM} SELECT i AS i0, {_R4.format('x')} FROM g WHERE i < 5 AND j = 5 UNION ALL SELECT 5, {_R4.format('sum(x)')} FROM g WHERE i < 2 AND j = 5"),
+}
+
+
 def _grid_query(f):
     def query(spark, sf_dir):
         found = f(grid(_series(spark, sf_dir)))
@@ -459,6 +507,8 @@ def entries():
         found[name] = _convolved(*parts)
     for name, (f, sql) in LINEAR.items():
         found[f"linalg_{name}"] = (lambda s, d, f=f: _out(f(_gram(s, d)))), sql
+    for name, (f, sql) in TALL.items():
+        found[f"linalg_{name}"] = (lambda s, d, f=f: _out(f(_embedding(s, d)))), sql
     for name, (make, sql) in SPECIAL.items():
         points = lambda s, d: table(s, d, "orders").select("o_orderkey", ((F.col("o_orderkey") % 1001) / 200 - 2.5).alias("x"), ((F.col("o_orderkey") % 1001) / 200 + 0.5).alias("v"))
         found[f"elementwise_{name}"] = (lambda s, d, make=make, points=points: points(s, d).select("o_orderkey", (F.round(make(), 6) + F.lit(0.0)).alias("value"))), f"SELECT o_orderkey, round(CAST({sql} AS DOUBLE), 6) + 0.0 AS value FROM ({_POINTS})"
