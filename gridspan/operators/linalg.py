@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspan.array import GridArray, identity
-from gridspan.operators import tall, tiles
+from gridspan.operators import blocked, tall, tiles
 
 
 def einsum(subscripts: str, *operands: GridArray) -> GridArray:
@@ -224,7 +224,15 @@ def _triangle(a: GridArray) -> GridArray:
     return GridArray(tall.triangle(a.df, a.shape[0], n), (n, n))
 
 
+def _is_large(a: GridArray) -> bool:
+    """A square matrix of more than one tile."""
+    return a.ndim == 2 and a.shape[0] == a.shape[1] > tiles.SIDE
+
+
 def inv(a):
+    """Of a matrix of more than one tile by elimination, panel by panel, at once."""
+    if _is_large(a):
+        return GridArray(blocked.solved(a.df.sparkSession, a.df, a.shape[0], None, a.shape[0]), a.shape)
     return dense(a, np.linalg.inv, _n(a))
 
 
@@ -237,11 +245,17 @@ def pinv(a, rcond: float = 1e-15):
 
 
 def det(a):
+    if _is_large(a):
+        sign, log = blocked.log_determinant(a.df.sparkSession, a.df, a.shape[0])
+        return GridArray(a.df.sparkSession.createDataFrame([(float(sign * np.exp(log)),)], "x double"), ())
     return dense(a, np.linalg.det, ())
 
 
 def slogdet(a) -> GridArray:
     """A last axis of two: sign and logarithm."""
+    if _is_large(a):
+        found = blocked.log_determinant(a.df.sparkSession, a.df, a.shape[0])
+        return GridArray(a.df.sparkSession.createDataFrame(list(enumerate(found)), "i0 long, x double"), (2,))
     return dense(a, lambda m: np.array([float(v) for v in np.linalg.slogdet(m)]), (2,))
 
 
@@ -256,7 +270,12 @@ def cond(a, p=None):
 
 
 def solve(a: GridArray, b: GridArray) -> GridArray:
+    """Of a matrix of more than one tile by elimination, panel by panel, at once."""
     vector = b.ndim == a.ndim - 1
+    if _is_large(a):
+        right = b.df.withColumn("i1", F.lit(0).cast("long")) if vector else b.df
+        found = blocked.solved(a.df.sparkSession, a.df, a.shape[0], right, 1 if vector else b.shape[1])
+        return GridArray(found.drop("i1") if vector else found, b.shape)
     return dense(a, lambda m, r: np.linalg.solve(m, r)[:, 0] if vector else np.linalg.solve(m, r), (a.shape[-1],) if vector else (a.shape[-1], b.shape[-1]), b)
 
 
@@ -323,6 +342,9 @@ def qr(a: GridArray) -> tuple[GridArray, GridArray]:
 
 
 def cholesky(a):
+    """Of a matrix of more than one tile panel by panel, at once."""
+    if _is_large(a):
+        return GridArray(blocked.lower(a.df.sparkSession, a.df, a.shape[0]), a.shape)
     return dense(a, np.linalg.cholesky, _n(a))
 
 

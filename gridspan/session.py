@@ -42,3 +42,9 @@ def scratch(spark: SparkSession, what: str) -> str:
             raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="gridspan-")
     return f"{folder}/{what}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `scratch` named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -3,7 +3,7 @@ import pytest
 
 from gridspan import array as G
 from gridspan.operators import linalg as L
-from gridspan.operators import tall, tiles
+from gridspan.operators import blocked, tall, tiles
 
 RNG = np.random.default_rng(11)
 
@@ -65,3 +65,39 @@ def test_tall_of_deficient_rank(spark, small_parts):
     assert L.matrix_rank(real(spark, a)).tolist() == 3
     assert np.allclose(values(L.lstsq_small(real(spark, a), real(spark, y))), np.linalg.lstsq(a, y, rcond=None)[0])
     assert np.allclose(values(L.lstsq_small(real(spark, a), real(spark, np.stack([y, 2 * y], 1)))), np.linalg.lstsq(a, np.stack([y, 2 * y], 1), rcond=None)[0])
+
+
+@pytest.mark.parametrize("n", [6, 10, 23])
+def test_elimination_by_panels(spark, small_parts, monkeypatch, n):
+    monkeypatch.setattr(blocked, "FAN", 2)
+    a, b = RNG.normal(size=(n, n)), RNG.normal(size=(n, 7))
+    a[0, 0] = 0.0  # no pivot where the diagonal begins
+    given = real(spark, a)
+    assert np.allclose(values(L.solve(given, real(spark, b))), np.linalg.solve(a, b))
+    assert np.allclose(values(L.solve(given, real(spark, b[:, 0]))), np.linalg.solve(a, b[:, 0]))
+    assert np.allclose(values(L.inv(given)), np.linalg.inv(a))
+    assert np.allclose(values(L.slogdet(given)), np.linalg.slogdet(a))
+    assert np.allclose(values(L.det(given)), np.linalg.det(a))
+
+
+def test_elimination_of_odd_matrices(spark, small_parts):
+    turned = np.roll(np.eye(12), 5, 0)  # every pivot is in another tile
+    assert np.allclose(values(L.inv(real(spark, turned))), turned.T)
+    assert L.det(real(spark, turned)).tolist() == round(np.linalg.det(turned))
+    single = RNG.normal(size=(11, 11))
+    single[:, 7] = 0.0
+    assert L.slogdet(real(spark, single)).tolist() == [0.0, -np.inf]
+    with pytest.raises(np.linalg.LinAlgError):
+        L.inv(real(spark, single))
+    masked = np.diag(np.arange(1.0, 13)).tolist()
+    masked = [[x or None for x in row] for row in masked]  # whole tiles without a cell
+    assert np.allclose(values(L.inv(G.array(spark, masked))), np.diag(1 / np.arange(1.0, 13)))
+
+
+@pytest.mark.parametrize("n", [6, 10, 23])
+def test_cholesky_by_panels(spark, small_parts, n):
+    a = RNG.normal(size=(n, n))
+    a = a @ a.T + np.eye(n)
+    assert np.allclose(values(L.cholesky(real(spark, a))), np.linalg.cholesky(a))
+    with pytest.raises(np.linalg.LinAlgError):
+        L.cholesky(real(spark, a - 2 * np.trace(a) * np.eye(n)))
