@@ -483,6 +483,41 @@ TALL = {
 }
 
 
+# Square matrices with a row and a column for each embedding, of more tiles than one from 257 embeddings on.
+
+
+def _kernel(e, f):
+    """Products of all pairs of rows, each cell changed by f(x, row, column)."""
+    k = e @ e.T
+    return GridArray(k.df.withColumn("x", f(F.col("x"), F.col("i0"), F.col("i1"))), k.shape)
+
+
+def _lower(e):
+    """A lower triangle of products with a positive diagonal."""
+    n = e.shape[0]
+    return _kernel(e, lambda x, i, j: F.when(i > j, x / n).when(i == j, 1 + x / n).otherwise(0.0))
+
+
+def _updated(e):
+    """A diagonal and a product of two columns, rows turned upside down: nothing in it is symmetric and each pivot lies in another tile, but inverse and determinant have a closed form."""
+    n = e.shape[0]
+    return gs.flipud(_kernel(e, lambda x, i, j: F.when(i == j, 1 + x / n).otherwise(0.0)) + abs(e[:, :1]) @ abs(e[:, 1:2]).T)
+
+
+_LOWER = f"WITH e AS ({_EMB}), n AS (SELECT count(DISTINCT i) AS n FROM e), k AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS x FROM e a JOIN e b USING (j) WHERE a.i >= b.i GROUP BY 1, 2)"
+#: d: the diagonal; u, v: the two columns; c: one and the sum of their products by the diagonal.
+_UPDATED = f"WITH e AS ({_EMB}), n AS (SELECT count(DISTINCT i) AS n FROM e), r AS (SELECT i, 1 + sum(x * x) / any_value(n) AS d, sum(abs(x)) FILTER (j = 0) AS u, sum(abs(x)) FILTER (j = 1) AS v, sum(x) FILTER (j = 2) AS b FROM e, n GROUP BY 1), c AS (SELECT 1 + sum(u * v / d) AS c FROM r)"
+_SIGN = "CASE WHEN (n * (n - 1) // 2) % 2 = 0 THEN 1.0 ELSE -1.0 END * sign(c)"
+
+BLOCKED = {
+    "cholesky_blocked": (lambda e: L.cholesky((lambda t: t @ t.T)(_lower(e))), f"{_LOWER} SELECT a.i AS i0, b.i AS i1, {_R4.format('CASE WHEN a.i < b.i THEN 0 WHEN a.i = b.i THEN 1 + x / n ELSE x / n END')} FROM (SELECT DISTINCT i FROM e) a CROSS JOIN (SELECT DISTINCT i FROM e) b CROSS JOIN n LEFT JOIN k ON k.i = a.i AND k.j = b.i"),
+    "inv_blocked": (lambda e: L.inv(_updated(e)).apply(lambda x: x * 1000), f"{_UPDATED} SELECT a.i AS i0, n - 1 - b.i AS i1, {_R4.format('1000 * (CASE WHEN a.i = b.i THEN 1 / a.d ELSE 0 END - a.u / a.d * (b.v / b.d) / c)')} FROM r a CROSS JOIN r b CROSS JOIN n CROSS JOIN c"),
+    "solve_blocked": (lambda e: L.solve(_updated(e), e[:, 2]), f"{_UPDATED}, t AS (SELECT r.i, r.d, r.u, r.v, s.b FROM r CROSS JOIN n JOIN r s ON s.i = n - 1 - r.i), w AS (SELECT sum(v * b / d) AS w FROM t) SELECT i AS i0, {_R4.format('b / d - u / d * w / c')} FROM t CROSS JOIN w CROSS JOIN c"),
+    "det_blocked": (lambda e: L.det(_updated(e)), f"{_UPDATED} SELECT {_R4.format(f'exp((SELECT sum(ln(d)) FROM r)) * abs(c) * {_SIGN}')} FROM n CROSS JOIN c"),
+    "slogdet_blocked": (lambda e: L.slogdet(_updated(e)), f"{_UPDATED} SELECT 0::BIGINT AS i0, {_R4.format(_SIGN)} FROM n CROSS JOIN c UNION ALL SELECT 1, {_R4.format('(SELECT sum(ln(d)) FROM r) + ln(abs(c))')} FROM c"),
+}
+
+
 def _grid_query(f):
     def query(spark, sf_dir):
         found = f(grid(_series(spark, sf_dir)))
@@ -507,7 +542,7 @@ def entries():
         found[name] = _convolved(*parts)
     for name, (f, sql) in LINEAR.items():
         found[f"linalg_{name}"] = (lambda s, d, f=f: _out(f(_gram(s, d)))), sql
-    for name, (f, sql) in TALL.items():
+    for name, (f, sql) in (TALL | BLOCKED).items():
         found[f"linalg_{name}"] = (lambda s, d, f=f: _out(f(_embedding(s, d)))), sql
     for name, (make, sql) in SPECIAL.items():
         points = lambda s, d: table(s, d, "orders").select("o_orderkey", ((F.col("o_orderkey") % 1001) / 200 - 2.5).alias("x"), ((F.col("o_orderkey") % 1001) / 200 + 0.5).alias("v"))
