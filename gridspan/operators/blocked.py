@@ -43,7 +43,7 @@ def _longs(batch: pa.RecordBatch, columns: int, k: int) -> tuple[int, ...]:
     return tuple(batch.column(c)[k].as_py() for c in range(columns))
 
 
-def _written(df: DataFrame, before: str | None = None) -> tuple[DataFrame, str]:
+def written(df: DataFrame, before: str | None = None) -> tuple[DataFrame, str]:
     """`df` as a table of its own; the table `before`, which it came from, goes."""
     spark = df.sparkSession
     path = scratch(spark, "panel")
@@ -181,7 +181,7 @@ def _eliminate(spark: SparkSession, a: DataFrame, n: int, right: DataFrame | Non
     """
     side, grid = tiles.SIDE, -(-n // tiles.SIDE)
     width = lambda bj: min(side, n - bj * side) if bj < grid else min(side, columns - (bj - grid) * side)
-    table, path = _written(_whole(spark, Tiled(a, n, n)) if right is None else _whole(spark, Tiled(a, n, n)).unionByName(right))
+    table, path = written(_whole(spark, Tiled(a, n, n)) if right is None else _whole(spark, Tiled(a, n, n)).unionByName(right))
     used, order, diagonal = np.zeros(n, bool), [], []
     for k in range(grid):
         pivots, block = _tournament(table.filter(F.col("bj") == k).select("bi", "tile"), used, width(k), grid)
@@ -192,7 +192,7 @@ def _eliminate(spark: SparkSession, a: DataFrame, n: int, right: DataFrame | Non
             forget(spark, path)
             return np.concatenate(order), np.concatenate(diagonal), None, None
         if k + 1 < grid or right is not None:
-            table, path = _written(_taken(table, k, pivots, block, width), path)
+            table, path = written(_taken(table, k, pivots, block, width), path)
     if right is None:
         forget(spark, path)
         table = path = None
@@ -250,7 +250,7 @@ def log_determinant(spark: SparkSession, a: DataFrame, n: int) -> tuple[float, f
 def lower(spark: SparkSession, a: DataFrame, n: int) -> DataFrame:
     """Cells (i0, i1, x) of the Cholesky factor; only cells on and below the diagonal are read. Raises LinAlgError if a is not positive definite."""
     side, grid = tiles.SIDE, -(-n // tiles.SIDE)
-    table, path = _written(_whole(spark, Tiled(tiles.tiled(a, n, n).df, n, n)).filter("bi >= bj"))
+    table, path = written(_whole(spark, Tiled(tiles.tiled(a, n, n).df, n, n)).filter("bi >= bj"))
     out = scratch(spark, "factor")
     for k in range(grid):
         wide = min(side, n - k * side)
@@ -280,7 +280,7 @@ def lower(spark: SparkSession, a: DataFrame, n: int) -> DataFrame:
         if k + 1 < grid:
             done = spark.read.schema(_TILE).parquet(out).filter(F.col("bj") == k)
             p, q = (done.select(F.col("bi").alias(name), F.col("tile").alias(f"_{name}")) for name in ("bi", "bj"))
-            table, path = _written(table.filter(F.col("bj") > k).join(p, "bi").join(q, "bj").select("bi", "bj", "tile", "_bi", "_bj").mapInArrow(update, _TILE), path)
+            table, path = written(table.filter(F.col("bj") > k).join(p, "bi").join(q, "bj").select("bi", "bj", "tile", "_bi", "_bj").mapInArrow(update, _TILE), path)
     forget(spark, path)
     factor = Tiled(spark.read.schema(_TILE).parquet(out), n, n)
     return tiles.cells(factor._replace(df=_whole(spark, factor)))

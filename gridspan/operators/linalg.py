@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspan.array import GridArray, identity
-from gridspan.operators import blocked, tall, tiles
+from gridspan.operators import blocked, subspace, tall, tiles
 
 
 def einsum(subscripts: str, *operands: GridArray) -> GridArray:
@@ -356,6 +356,11 @@ def eigh(a: GridArray) -> tuple[GridArray, GridArray]:
     return eigvalsh(a), dense(a, lambda m: np.linalg.eigh(m)[1], _n(a))
 
 
+def eigh_leading(a: GridArray, k: int, tol: float = 1e-9) -> tuple[GridArray, GridArray]:
+    """The k eigenvalues of largest size, falling in size, and their vectors, of a symmetric matrix of any size: block subspace iteration, at once."""
+    return subspace.leading(a, k, tol)
+
+
 def eigvals(a: GridArray) -> GridArray:
     """A last axis of two: real and imaginary parts, in numpy's order."""
     return dense(a, lambda m: np.stack([np.linalg.eigvals(m).real, np.linalg.eigvals(m).imag], axis=1), (a.shape[-1], 2))

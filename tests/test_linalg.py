@@ -101,3 +101,12 @@ def test_cholesky_by_panels(spark, small_parts, n):
     assert np.allclose(values(L.cholesky(real(spark, a))), np.linalg.cholesky(a))
     with pytest.raises(np.linalg.LinAlgError):
         L.cholesky(real(spark, a - 2 * np.trace(a) * np.eye(n)))
+
+
+def test_leading_eigenvalues(spark, small_parts):
+    q = np.linalg.qr(RNG.normal(size=(31, 31)))[0]
+    given = np.array([-9.0, 8.0, 5.0, *np.linspace(-0.5, 0.5, 28)])
+    a = q * given @ q.T
+    w, v = (values(x) for x in L.eigh_leading(real(spark, a), 3))
+    assert np.allclose(w, given[:3]) and np.allclose(a @ v, v * w, atol=1e-7) and np.allclose(v.T @ v, np.eye(3))
+    assert np.allclose(values(L.eigh_leading(real(spark, np.zeros((7, 7))), 2)[0]), 0)
