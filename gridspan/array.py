@@ -9,6 +9,7 @@ arithmetic on coordinates and need no pass over the data.
 from __future__ import annotations
 
 import builtins
+import functools
 import itertools
 import math
 from collections.abc import Callable, Sequence
@@ -23,6 +24,9 @@ from gridspan.operators import selection
 
 Index = int | slice
 
+#: Positions, or intervals of positions, that one interval of the next level covers.
+FANOUT = 16
+
 
 def _axes(n: int) -> list[str]:
     return [f"i{k}" for k in range(n)]
@@ -667,13 +671,46 @@ class GridArray:
         joined = self.df.withColumn("_f", self._flat()).join(total, "_f", "left")
         return GridArray(joined.select(*self.axes, (F.col("x") + F.coalesce("_s", F.lit(0.0))).alias("x")), self.shape)
 
-    def add_reduceat(self, bounds: Sequence[int]) -> GridArray:
+    def add_reduceat(self, bounds: Sequence[int] | GridArray) -> GridArray:
         """Sums of the segments between bounds; of a bound not below the next, the one cell."""
-        ends = [*bounds[1:], self.shape[0]]
-        parts = [(k, a, b if b > a else a + 1) for k, (a, b) in enumerate(zip(bounds, ends, strict=True))]
-        segments = self.df.sparkSession.createDataFrame(parts, "_k long, _a long, _b long")
-        joined = self.df.join(F.broadcast(segments), (F.col("i0") >= F.col("_a")) & (F.col("i0") < F.col("_b")))
-        return GridArray(joined.groupBy(F.col("_k").alias("i0")).agg(F.sum("x").alias("x")), [len(parts)])
+        return self.reduceat(F.sum, bounds)
+
+    def reduceat(self, fold: Callable[[Column], Column], bounds: Sequence[int] | GridArray, axis: int = 0) -> GridArray:
+        """The fold of each segment from a bound up to the next, the last to the end of the axis; of a bound not below the next, the one cell.
+
+        Bounds may be the cells of a 1-D array of any size, rising or not, so that
+        segments may overlap. Positions are folded FANOUT at a time, level by
+        level, and a segment takes the largest aligned intervals that fit it, so
+        that a long one is never folded by one task and none is compared with all
+        cells. `fold` must give the same when folds are folded; it skips masked cells.
+        """
+        axis = self._axis(axis)
+        n, i, keys = self.shape[axis], f"i{axis}", self._keys(axis)
+        spark = self.df.sparkSession
+        if isinstance(bounds, GridArray):
+            given, count = bounds.df.select("i0", F.col("x").cast("long").alias("x")), bounds.shape[0]
+        else:
+            count = len(bounds)
+            given = spark.createDataFrame([(k, int(b)) for k, b in enumerate(bounds)], "i0 long, x long")
+        met = neighbours(given, "i0", [], "x", [0, 1]).filter(F.col("i0") >= 0)
+        end = F.when(F.col("i0") == count - 1, F.lit(n)).when(F.col("n_p1") > F.col("n_p0"), F.col("n_p1")).otherwise(F.col("n_p0") + 1)
+        segments = met.select(F.col("i0").alias("_k"), F.col("n_p0").cast("long").alias("_a"), F.greatest(end, F.col("n_p0") + 1).cast("long").alias("_b"))
+        levels = max(1, math.ceil(math.log(max(n, 2), FANOUT)))
+        run = lambda p, q: F.when(p < q, F.sequence(p, q - 1)).otherwise(F.array().cast("array<long>"))
+        pieces, at = [], segments
+        for level in range(levels):
+            a, b = F.col("_a"), F.col("_b")
+            up, down = F.ceil(a / FANOUT).cast("long"), F.floor(b / FANOUT).cast("long")
+            inner = up < down
+            taken = F.when(inner, F.concat(run(a, up * FANOUT), run(down * FANOUT, b))).otherwise(run(a, b)) if level + 1 < levels else run(a, b)
+            pieces.append(at.select("_k", F.lit(level).alias("_level"), F.explode(taken).alias("_at")))
+            at = at.filter(inner).select("_k", up.alias("_a"), down.alias("_b"))
+        totals = [self.df.select(*keys, F.col(i).cast("long").alias("_at"), "x").groupBy(*keys, "_at").agg(fold(F.col("x")).alias("x"))]
+        for _ in range(levels - 1):
+            totals.append(totals[-1].groupBy(*keys, F.expr(f"_at div {FANOUT}").alias("_at")).agg(fold(F.col("x")).alias("x")))
+        found = functools.reduce(DataFrame.unionAll, [p.join(t.withColumnRenamed("_at", "_to"), F.col("_at") == F.col("_to")).select("_k", *keys, "x") for p, t in zip(pieces, totals, strict=True)])
+        folded = found.groupBy("_k", *keys).agg(fold(F.col("x")).alias("x"))
+        return GridArray(folded.select(*(F.col("_k" if c == i else c).alias(c) for c in self.axes), "x"), [count if k == axis else m for k, m in enumerate(self.shape)])
 
     def diagonal(self, offset: int = 0) -> GridArray:
         n = max(0, min(self.shape[0] - max(-offset, 0), self.shape[1] - max(offset, 0)))

@@ -51,12 +51,8 @@ class ufunc:  # noqa: N801
     def outer(self, a: GridArray, b: GridArray) -> GridArray:
         return self(a.reshape(*a.shape, *[1] * b.ndim), b)
 
-    def reduceat(self, a: GridArray, bounds) -> GridArray:
-        ends = [*bounds[1:], a.shape[0]]
-        parts = [(k, p, q if q > p else p + 1) for k, (p, q) in enumerate(zip(bounds, ends, strict=True))]
-        segments = a.df.sparkSession.createDataFrame(parts, "_k long, _a long, _b long")
-        joined = a.df.join(F.broadcast(segments), (F.col("i0") >= F.col("_a")) & (F.col("i0") < F.col("_b")))
-        return GridArray(joined.groupBy(F.col("_k").alias("i0")).agg(self._folded()(F.col("x")).alias("x")), [len(parts)])
+    def reduceat(self, a: GridArray, bounds, axis: int = 0) -> GridArray:
+        return a.reduceat(self._folded(), bounds, axis)
 
     def at(self, a: GridArray, positions: GridArray, values: GridArray) -> GridArray:
         """Repeated positions take effect each time."""

@@ -30,6 +30,21 @@ _GR = f"WITH g AS ({grid_sql()})"
 _SR = f"WITH t AS ({_SERIES})"
 _R4 = "round({}, 4) + 0.0 AS x"
 
+
+def _overlapping_sums(a):
+    """A segment for each cell, its bounds neither rising nor falling."""
+    return UF.UFUNCS["add"].reduceat(a, GridArray(a.df.withColumn("x", F.col("i0") * 7919 % a.shape[0]), a.shape))
+
+
+def _rising_maxima(a):
+    """Segments of 1, 2, 3 and so on cells, the last as long as the series lets it be."""
+    count = math.isqrt(8 * a.shape[0]) // 2 + 1
+    while count * (count - 1) // 2 >= a.shape[0]:
+        count -= 1
+    bounds = a.df.filter(F.col("i0") < count).withColumn("x", F.expr("i0 * (i0 + 1) div 2"))
+    return UF.UFUNCS["maximum"].reduceat(a, GridArray(bounds, [count]))
+
+
 #: Of the series as rows of 100.
 GRID = {
     "flipud": (lambda g: gs.flipud(g), f"{_GR} SELECT (SELECT max(i) FROM g) - i AS i0, j AS i1, round(x, 4) AS x FROM g"),
@@ -109,6 +124,8 @@ SERIES = {
     "ufunc_call": (lambda a: UF.UFUNCS["add"](a, a), f"{_SR} SELECT i0, round(x + x, 4) AS x FROM t"),
     "ufunc_reduce": (lambda a: UF.UFUNCS["add"].reduce(grid(a), 1), f"SELECT i AS i0, round(sum(x), 4) AS x FROM ({grid_sql()}) GROUP BY 1"),
     "ufunc_accumulate": (lambda a: UF.UFUNCS["maximum"].accumulate(a), f"{_SR} SELECT i0, round(max(x) OVER (ORDER BY i0), 4) AS x FROM t"),
+    "reduceat_of_table": (_overlapping_sums, f"{_SR}, m AS (SELECT count(*) AS m FROM t), c AS (SELECT i0, sum(x) OVER (ORDER BY i0) AS c FROM t), s AS (SELECT i0 AS k, i0 * 7919 % m AS a, coalesce(lead(i0 * 7919 % m) OVER (ORDER BY i0), m) AS b FROM t, m) SELECT k AS i0, round(high.c - coalesce(low.c, 0), 4) AS x FROM s JOIN c high ON high.i0 = CASE WHEN b > a THEN b - 1 ELSE a END LEFT JOIN c low ON low.i0 = a - 1"),
+    "reduceat_max_of_table": (_rising_maxima, f"{_SR}, p AS (SELECT x, CAST(floor((sqrt(8 * i0 + 1) - 1) / 2) AS BIGINT) AS k FROM t) SELECT k AS i0, round(max(x), 4) AS x FROM p GROUP BY 1"),
     "ufunc_reduceat": (lambda a: UF.UFUNCS["add"].reduceat(a, [0, 10, 500]), f"{_SR} SELECT CASE WHEN i0 < 10 THEN 0 WHEN i0 < 500 THEN 1 ELSE 2 END::BIGINT AS i0, round(sum(x), 4) AS x FROM t GROUP BY 1"),
     "ufunc_at": (lambda a: UF.UFUNCS["add"].at(a, G.arange(a.df.sparkSession, 0, a.size).apply(lambda k: F.floor(k / 2)), G.full(a.df.sparkSession, a.size, 1.0)), f"{_SR} SELECT i0, round(x + CASE WHEN 2 * i0 + 1 < n THEN 2 WHEN 2 * i0 < n THEN 1 ELSE 0 END, 4) AS x FROM t"),
     "frompyfunc": (lambda a: a.apply(lambda x: UF.frompyfunc(lambda v: v * 2 + 1, "double")(x)), f"{_SR} SELECT i0, round(x * 2 + 1, 4) AS x FROM t"),

@@ -1,6 +1,7 @@
 """GridArray against numpy on small arrays."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from gridspan import array as G
 from gridspan import layout
 from gridspan.operators import linalg as L
+from gridspan.operators.ufunc import UFUNCS
 
 A23 = [[3.0, -1.0, 2.0], [0.5, 4.0, -2.0]]
 B23 = [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]
@@ -181,3 +183,23 @@ def test_running_by_blocks_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(layout, "BLOCK", 4)
     monkeypatch.setattr(layout, "BLOCKS", 3)
     same(G.array(spark, x.tolist()).cumsum(), np.cumsum(x))
+
+
+@pytest.mark.parametrize("bounds", [[0], [0, 4, 1, 5, 2, 6], [3, 3, 3, 40, 2, 41], [0, 7, 16, 17, 33, 200], [250, 0], list(range(0, 251, 3)), [(k * 97) % 251 for k in range(251)]])
+def test_reduceat(spark, monkeypatch, bounds):
+    monkeypatch.setattr(G, "FANOUT", 4)
+    x = np.random.default_rng(3).integers(-50, 50, 251)
+    a = G.array(spark, x.tolist())
+    for given in (bounds, G.array(spark, bounds)):
+        assert UFUNCS["add"].reduceat(a, given).tolist() == np.add.reduceat(x, bounds).tolist()
+    assert UFUNCS["maximum"].reduceat(a, bounds).tolist() == np.maximum.reduceat(x, bounds).tolist()
+    assert UFUNCS["logical_and"].reduceat(a, bounds).tolist() == np.logical_and.reduceat(x, bounds).tolist()
+
+
+def test_reduceat_of_axes_and_masks_without_comparing_all(spark):
+    x = np.arange(60.0).reshape(20, 3)
+    found = UFUNCS["add"].reduceat(G.array(spark, x.tolist()), G.array(spark, [0, 5, 19]))
+    assert np.allclose(found.tolist(), np.add.reduceat(x, [0, 5, 19]))
+    assert np.allclose(UFUNCS["add"].reduceat(G.array(spark, x.tolist()), [0, 2], 1).tolist(), np.add.reduceat(x, [0, 2], 1))
+    assert G.array(spark, [1.0, None, 3.0, None]).reduceat(F.sum, [0, 1, 3]).tolist() == [1.0, 3.0, None]
+    assert not re.search("NestedLoop|Cartesian|Window", found.df._jdf.queryExecution().executedPlan().toString())
