@@ -15,7 +15,7 @@ NAMES = [
     "strings_title", "strings_center", "dates_busday_count", "dates_busday_offset", "searchsorted", "histogram", "histogram_density", "bincount", "unique_all", "setxor1d", "isin", "lexsort",
     "array_cumsum", "array_sort", "array_gradient", "array_mask_select", "array_convolve", "array_ma_anom", "matmul_gram", "cross", "lstsq", "solve", "polynomial_laguerre_val", "clump_unmasked",
     "rfft", "elementwise_y1", "polynomial_hermite_int", "polynomial_fromroots", "random_gamma", "array_unwrap", "array_sort_descending", "shape_put_along_axis", "shape_fancy_index", "made_mgrid", "kaiser",
-    "ma_intersect1d", "ma_isin", "ma_convolve", "ma_polyfit", "ma_apply_along_axis", "ma_diagflat", "source_loadtxt", "source_savez", "source_frombuffer", "record_append_fields", "sort_complex", "types_promote_types",
+    "ma_intersect1d", "ma_isin", "ma_convolve", "ma_polyfit", "ma_apply_along_axis", "ma_diagflat", "source_loadtxt", "source_savez", "source_frombuffer", "record_append_fields", "array_reduceat_of_table", "array_reduceat_max_of_table", "linalg_inv_blocked", "linalg_slogdet_blocked", "linalg_eigh_leading_values", "sort_complex", "types_promote_types",
 ]
 
 
