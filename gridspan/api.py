@@ -72,7 +72,7 @@ def _method(name: str) -> Callable:
 _METHODS = (
     "sum prod mean var std max min ptp all any count_nonzero argmax argmin average cumsum cumprod diff ediff1d gradient trapezoid cumulative_trapezoid sort argsort partition argpartition "
     "searchsorted nonzero argwhere flatnonzero reshape ravel transpose swapaxes moveaxis rollaxis squeeze expand_dims flip rot90 broadcast_to repeat tile resize roll pad sliding_window_view as_strided take "
-    "take_along_axis compress extract delete insert put putmask diagonal trace tril triu trim_zeros clip astype"
+    "take_along_axis compress extract delete insert put putmask place diagonal trace tril triu trim_zeros clip astype"
 ).split()
 for _name in _METHODS:
     globals()[_name] = _method(_name)
@@ -252,13 +252,13 @@ def ndindex(spark, *shape: int):
 
 
 def put_along_axis(a: GridArray, index: GridArray, values: GridArray | float, axis: int) -> GridArray:
-    """A copy with the cells that `index` names along the axis, lane by lane, replaced; of repeated places one value is taken, the largest."""
+    """A copy with the cells that `index` names along the axis, lane by lane, replaced; of repeated places the last wins."""
     from pyspark.sql import functions as F
 
     axis = a._axis(axis)
     at, n = f"i{axis}", a.shape[axis]
     marks = index.apply(lambda k, v: F.struct(F.pmod(k.cast("long"), F.lit(n)).alias("at"), v.alias("new")), values)
-    told = marks.df.select(*a._keys(axis), F.col("x.at").alias(at), F.col("x.new").alias("_new")).groupBy(*a.axes).agg(F.max(F.struct("_new")).alias("_s"))
+    told = marks.df.select(*a._keys(axis), F.col(at).alias("_turn"), F.col("x.at").alias(at), F.struct(F.col("x.new").alias("_new")).alias("_new")).groupBy(*a.axes).agg(F.max_by("_new", "_turn").alias("_s"))
     joined = a.df.join(told, a.axes, "left")
     return GridArray(joined.select(*a.axes, F.when(F.col("_s").isNotNull(), F.col("_s._new")).otherwise(F.col("x")).alias("x")), a.shape)
 

@@ -664,6 +664,16 @@ class GridArray:
     def putmask(self, mask: GridArray, values: GridArray | float) -> GridArray:
         return self.apply(lambda a, m, v: F.when(E.truth(m.cast("double")), v).otherwise(a), mask, values)
 
+    def place(self, mask: GridArray, values: GridArray) -> GridArray:
+        """Where the mask holds, the values one after the other in order of cells, from the first again when they run out; raises ValueError without any value."""
+        if not values.size:
+            raise ValueError("no values to place")
+        held = mask.df.filter(E.truth(F.col("x").cast("double"))).select(mask._flat().alias("_f"))
+        turns = ranked(held, ["_f"], "_turn").select("_f", (F.col("_turn") % values.size).alias("_turn"))
+        new = turns.join(values.ravel().df.select(F.col("i0").alias("_turn"), F.struct(F.col("x").alias("_new")).alias("_s")), "_turn").drop("_turn")
+        joined = self.df.withColumn("_f", self._flat()).join(new, "_f", "left")
+        return GridArray(joined.select(*self.axes, F.when(F.col("_s").isNotNull(), F.col("_s._new")).otherwise(F.col("x")).alias("x")), self.shape)
+
     def add_at(self, positions: GridArray, values: GridArray) -> GridArray:
         """Flat positions increased, repeated ones each time: ufunc.at for addition."""
         pairs = positions.ravel().df.withColumnRenamed("x", "_f").join(values.ravel().df.withColumnRenamed("x", "_new"), "i0")

@@ -101,7 +101,7 @@ SERIES = {
     "ediff1d": (lambda a: gs.ediff1d(a, [1.0], [2.0]), f"{_SR}, d AS (SELECT i0, n, lead(x) OVER (ORDER BY i0) - x AS d FROM t) SELECT i0 + 1 AS i0, {_R4.format('d')} FROM d WHERE i0 < n - 1 UNION ALL SELECT 0, 1.0 UNION ALL SELECT n, 2.0 FROM t WHERE i0 = 0"),
     "compress": (lambda a: gs.compress(a, a > 2e5), f"{_SR} SELECT row_number() OVER (ORDER BY i0) - 1 AS i0, round(x, 4) AS x FROM t WHERE x > 2e5"),
     "extract": (lambda a: gs.extract(a, a < 1e5), f"{_SR} SELECT row_number() OVER (ORDER BY i0) - 1 AS i0, round(x, 4) AS x FROM t WHERE x < 1e5"),
-    "place": (lambda a: gs.putmask(a, a > 2e5, 3.0), f"{_SR} SELECT i0, CASE WHEN x > 2e5 THEN 3 ELSE round(x, 4) END AS x FROM t"),
+    "place": (lambda a: gs.place(a, a > 2e5, a[:7]), f"{_SR}, m AS (SELECT i0, row_number() OVER (ORDER BY i0) - 1 AS k FROM t WHERE x > 2e5) SELECT t.i0, round(CASE WHEN m.k IS NULL THEN t.x ELSE v.x END, 4) AS x FROM t LEFT JOIN m ON m.i0 = t.i0 LEFT JOIN t v ON v.i0 = m.k % 7"),
     "nancumprod": (lambda a: gs.nancumprod(a.apply(lambda x: F.when(x > 4e5, float("nan")).otherwise(1 + x / 1e10))), f"{_SR} SELECT i0, round(exp(sum(CASE WHEN x > 4e5 THEN 0 ELSE ln(1 + x / 1e10) END) OVER (ORDER BY i0)), 4) AS x FROM t"),
     "cumulative_sum": (lambda a: gs.cumulative_sum(a), f"{_SR} SELECT i0, round(sum(x) OVER (ORDER BY i0), 4) AS x FROM t"),
     "cumulative_prod": (lambda a: gs.cumulative_prod(a.apply(lambda x: 1 + x / 1e10)), f"{_SR} SELECT i0, round(exp(sum(ln(1 + x / 1e10)) OVER (ORDER BY i0)), 4) AS x FROM t"),

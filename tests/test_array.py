@@ -8,6 +8,7 @@ import pytest
 from numpy.testing import assert_allclose
 from pyspark.sql import functions as F
 
+from gridspan import api as gs
 from gridspan import array as G
 from gridspan import layout
 from gridspan.operators import linalg as L
@@ -203,3 +204,21 @@ def test_reduceat_of_axes_and_masks_without_comparing_all(spark):
     assert np.allclose(UFUNCS["add"].reduceat(G.array(spark, x.tolist()), [0, 2], 1).tolist(), np.add.reduceat(x, [0, 2], 1))
     assert G.array(spark, [1.0, None, 3.0, None]).reduceat(F.sum, [0, 1, 3]).tolist() == [1.0, 3.0, None]
     assert not re.search("NestedLoop|Cartesian|Window", found.df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_place_takes_values_in_turn(spark):
+    x = np.arange(12.0).reshape(3, 4)
+    want = x.copy()
+    np.place(want, x % 5 != 0, [-1.0, -2.0, -3.0, -4.0])
+    a = G.array(spark, x.tolist())
+    assert a.place(a.apply(lambda v: v % 5 != 0), G.array(spark, [-1.0, -2.0, -3.0, -4.0])).tolist() == want.tolist()
+    assert a.place(a > 100, G.array(spark, [1.0])).tolist() == x.tolist()
+    with pytest.raises(ValueError):
+        a.place(a > 1, G.array(spark, [1.0])[:0])
+
+
+def test_put_along_axis_keeps_the_last(spark):
+    x, at, new = np.zeros((2, 4)), np.array([[1, 1, 3], [2, 0, 2]]), np.array([[9.0, 5.0, 1.0], [8.0, 3.0, 2.0]])
+    want = x.copy()
+    np.put_along_axis(want, at, new, 1)
+    assert gs.put_along_axis(G.array(spark, x.tolist()), G.array(spark, at.tolist()), G.array(spark, new.tolist()), 1).tolist() == want.tolist()
