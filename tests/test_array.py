@@ -222,3 +222,15 @@ def test_put_along_axis_keeps_the_last(spark):
     want = x.copy()
     np.put_along_axis(want, at, new, 1)
     assert gs.put_along_axis(G.array(spark, x.tolist()), G.array(spark, at.tolist()), G.array(spark, new.tolist()), 1).tolist() == want.tolist()
+
+
+def test_narrow_arrays_meet_wide_ones_unrepeated(spark):
+    """Neither side is repeated over the wider shape before they meet, and a small one goes to every task."""
+    x = np.arange(12.0).reshape(3, 4)
+    a = G.array(spark, x.tolist())
+    found = [a - a.mean(0), a - a.mean(1, keepdims=True), a.anom(), UFUNCS["subtract"].outer(a[0], G.arange(spark, 3)), a[:1] + a[:, 1:2]]
+    want = [x - x.mean(0), x - x.mean(1, keepdims=True), x - x.mean(), np.subtract.outer(x[0], np.arange(3)), x[:1] + x[:, 1:2]]
+    for got, told in zip(found, want, strict=True):
+        same(got, told)
+        plan = got.df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode" not in plan and "broadcast" in plan
