@@ -70,3 +70,15 @@ def test_partition(spark):
 def test_plans_collect_no_group(spark, name):
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "percentile(" not in plan and "collect_set" not in plan
+
+
+def test_large_groups_are_cut_by_values_alone(spark, monkeypatch):
+    """Numbers of all sizes and signs, and no approximate quantiles, which may differ from scan to scan."""
+    monkeypatch.setattr(selection, "LARGE", 50)
+    x = np.concatenate([np.random.default_rng(4).normal(size=300), [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, 1e308, -1e308, NAN], np.full(200, 7.25)])
+    df = spark.createDataFrame([(0, float(v)) for v in x], "g int, x double")
+    ranks = range(len(x))
+    found = selection.at_ranks(df, ["g"], "x", {f"r{k}": lambda _, k=k: selection.F.lit(k) for k in ranks})
+    assert "approx" not in found._jdf.queryExecution().optimizedPlan().toString()
+    row = found.first()
+    assert [row[f"r{k}"] for k in ranks] == pytest.approx(np.sort(x).tolist(), nan_ok=True)
