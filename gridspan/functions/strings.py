@@ -293,3 +293,14 @@ def format_float_positional(x: ColumnOrValue) -> Column:
         return values.map(lambda v: None if v is None else np.format_float_positional(v))
 
     return F.pandas_udf(run, "string")(col(x).cast("double"))
+
+
+def format_float_scientific(a: ColumnOrValue, precision: int) -> Column:
+    """Of a double, as C prints it: its exact value is rounded, a tie to the even digit, where Java rounds the shortest text half up."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([f"{v:.{precision}e}" for v in x.tolist()], dtype=object)
+
+    x = col(a).cast("double")
+    return F.when(x.isNotNull(), run(x))

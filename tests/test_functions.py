@@ -210,3 +210,30 @@ def test_one_namespace(spark):
     assert [i.tolist() for i in gs.tril_indices(spark, 3)] == [i.tolist() for i in np.tril_indices(3)]
     assert spark.range(6).select(*gs.unravel_index(F.col("id"), (2, 3))).collect()[4] == (1, 1)
     assert gs.round(gs.array(spark, [2.5]), 0).tolist() == [2.0] and gs.gamma(gs.array(spark, [5.0])).tolist() == [24.0]
+
+
+def test_format_float_scientific_rounds_the_exact_value(spark):
+    values = [10005.0, 10015.0, 12345.0, 0.00012345, 2.5, -10025.0, 0.0, float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r.v for r in df.select(S.format_float_scientific("x", 3).alias("v")).collect()]
+    assert got == [None if v is None else "%.3e" % v for v in values]
+
+
+@pytest.mark.parametrize(("name", "args"), [("dirichlet", ([1.0, 2.0],)), ("bytes", (5,)), ("logseries", (0.5,)), ("f", (5.0, 12.0)), ("binomial", (10, 0.3))])
+def test_a_row_draws_from_its_own_key(spark, name, args):
+    """Whatever rows it meets in its batch, and without a new generator for each."""
+    df = spark.range(40).repartition(3)
+    got = {r.id: r.v for r in df.select("id", getattr(default_rng(9), name)("id", *args).alias("v")).collect()}
+    for k in range(40):
+        want = getattr(np.random.Generator(np.random.Philox(key=(9, (1 << 48) + k))), name)(*args)
+        assert (bytes(got[k]) if name == "bytes" else got[k]) == (want.tolist() if isinstance(want, np.ndarray) else want)
+
+
+def test_masked_sets_by_one_aggregation(spark):
+    """No row is sorted to meet another: memory goes with the values, not with the rows."""
+    a, b = (spark.createDataFrame([(v,) for v in rows], "x double") for rows in ([1.0, 1.0, 2.0, None, float("nan"), -0.0], [2.0, 2.0, None, 3.0, 0.0]))
+    for f, want in ((M.intersect1d, {None, 2.0, 0.0}), (M.setdiff1d, {1.0, "nan"}), (M.setxor1d, {1.0, 3.0, "nan"})):
+        found = f(a, "x", b, "x")
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        rows = ["nan" if r.x != r.x else r.x for r in found.collect()]
+        assert len(rows) == len(want) and set(rows) == want
