@@ -418,18 +418,23 @@ def union1d(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
     return a.select(F.col(x).alias("x")).unionAll(b.select(F.col(y).alias("x"))).distinct()
 
 
+def _sides(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
+    """(x, s): each value of either side once, masked too, with 1 for a, 2 for b and 3 for both: one aggregation, no row meets another in a join."""
+    both = a.select(F.col(x).alias("x"), F.lit(1).alias("s")).unionAll(b.select(F.col(y).alias("x"), F.lit(2).alias("s")))
+    return both.groupBy("x").agg(F.bit_or("s").alias("s"))
+
+
 def intersect1d(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
-    return a.select(F.col(x).alias("x")).intersect(b.select(F.col(y).alias("x")))
+    return _sides(a, x, b, y).filter("s = 3").select("x")
 
 
 def setdiff1d(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
-    return a.select(F.col(x).alias("x")).subtract(b.select(F.col(y).alias("x")))
+    return _sides(a, x, b, y).filter("s = 1").select("x")
 
 
 def setxor1d(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
-    """One aggregation: values that exactly one side has."""
-    both = a.select(F.col(x).alias("x"), F.lit(1).alias("s")).unionAll(b.select(F.col(y).alias("x"), F.lit(2).alias("s")))
-    return both.groupBy("x").agg(F.bit_or("s").alias("s")).filter("s < 3").select("x")
+    """Values that exactly one side has."""
+    return _sides(a, x, b, y).filter("s < 3").select("x")
 
 
 def isin(a: DataFrame, x: str, b: DataFrame, y: str, out: str = "isin", invert: bool = False) -> DataFrame:
