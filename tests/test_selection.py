@@ -82,3 +82,8 @@ def test_large_groups_are_cut_by_values_alone(spark, monkeypatch):
     assert "approx" not in found._jdf.queryExecution().optimizedPlan().toString()
     row = found.first()
     assert [row[f"r{k}"] for k in ranks] == pytest.approx(np.sort(x).tolist(), nan_ok=True)
+
+
+def test_partition_with_parts_in_order(spark):
+    x = np.random.default_rng(5).integers(0, 9, 40).astype(float)
+    assert G.array(spark, x.tolist()).partition(10, ordered=True).tolist() == np.sort(x).tolist()
