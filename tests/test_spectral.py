@@ -83,3 +83,13 @@ def test_convolve_of_two_columns(spark, monkeypatch, kernel):
         same(FT.correlate(real(spark, x), real(spark, y), mode), np.correlate(x, y, mode))
     same(FT.convolve(real(spark, y), real(spark, x)), np.convolve(x, y))
     same(FT.convolve(real(spark, y), list(RNG.normal(size=70) * 0 + 2.0)), np.convolve(y, np.full(70, 2.0)))
+
+
+def test_long_transforms_meet_in_a_shuffle(spark, monkeypatch):
+    """A transform is larger than the table it came from, so the planner's estimate must not send it to every task."""
+    monkeypatch.setattr(FT, "KERNEL", 8)
+    monkeypatch.setattr(FT, "FEW", 64)
+    x, y = np.arange(90.0) % 7, np.arange(50.0) % 5
+    found = FT.convolve(G.array(spark, x.tolist()), G.array(spark, y.tolist()))
+    assert "strategy=merge" in found.df._jdf.queryExecution().optimizedPlan().toString()
+    np.testing.assert_allclose(found.tolist(), np.convolve(x, y), atol=1e-9)
