@@ -110,3 +110,16 @@ def test_leading_eigenvalues(spark, small_parts):
     w, v = (values(x) for x in L.eigh_leading(real(spark, a), 3))
     assert np.allclose(w, given[:3]) and np.allclose(a @ v, v * w, atol=1e-7) and np.allclose(v.T @ v, np.eye(3))
     assert np.allclose(values(L.eigh_leading(real(spark, np.zeros((7, 7))), 2)[0]), 0)
+
+
+def test_large_arrays_never_meet_by_an_estimated_broadcast(spark, monkeypatch):
+    """What tasks make of a small table may be large: sides of more than FEW cells meet in a shuffle, panels by their known size."""
+    monkeypatch.setattr(G, "FEW", 8)
+    x = np.arange(16.0).reshape(4, 4)
+    a = G.array(spark, x.tolist())
+    found = a @ a.T + a
+    assert "strategy=merge" in found.df._jdf.queryExecution().optimizedPlan().toString()
+    np.testing.assert_allclose(found.tolist(), x @ x.T + x)
+    panel = spark.range(2)
+    plan = lambda n: panel.join(blocked._met(panel, n), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(1000) and "strategy=merge" in plan(blocked.SENT)
