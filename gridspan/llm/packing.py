@@ -45,6 +45,7 @@ _STATED = (
 #: Characters that count as letters, digits or marks by any edition of the Unicode tables.
 _LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _SIMPLE = re.compile(rf"(?!.*<\|)[\x21-\x7e{_LETTERS}]+")
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
@@ -64,7 +65,7 @@ class WordTokens:
     neither is encoded together with all other new words of a batch.
     """
 
-    ENTRIES = 120_000
+    ENTRIES = 250_000
     MARK = "\x1e"
 
     def __init__(self, path: str):
@@ -73,32 +74,42 @@ class WordTokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
 
-        self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        stated = json.loads(self.tokenizer.to_str())
-        self.simple = (stated["normalizer"], stated["pre_tokenizer"]) == _STATED
-        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
         # Kept by the process, so that the next task of this worker starts with it.
-        self.new, self.old = tokenizers.__dict__.setdefault("_word_tokens", {}).setdefault(path, ({}, {}))
-
-    def _simple(self, word: bytes) -> bytes | None:
-        """The ids of a word of Latin letters, digits and ASCII marks, straight from the model, else None.
+        kept = tokenizers.__dict__.setdefault("_word_tokens", {})
+        if path not in kept:
+            kept[path] = *self._stated(tokenizers.Tokenizer.from_file(path)), {}, {}
+        self.tokenizer, self.simple, self.mark, self.spelt, self.new, self.old = kept[path]
+        self.marks = _MARKS if self.simple else b".,"
+
+    def _stated(self, tokenizer) -> tuple:
+        """The tokenizer, whether it states what words may be split by here, the id of MARK if it has one of its own, and the bytes of each id."""
+        stated = json.loads(tokenizer.to_str())
+        mark = tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        spelt = [k.to_bytes(4, "little") for k in range(max(tokenizer.get_vocab().values()) + 1)]
+        return tokenizer, (stated["normalizer"], stated["pre_tokenizer"]) == _STATED, mark[0] if len(mark) == 1 else None, spelt
+
+    def _simple(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of those words that are Latin letters, digits and ASCII marks alone, straight from the model.
 
         Lower case, the split and the spelling of bytes are those that the
         tokenizer's own description states; without it, or for other
         characters, the tokenizer does all the work.
         """
-        if not _SIMPLE.fullmatch(text := word.decode("utf-8", "replace")):
-            return None
-        model = self.tokenizer.model.tokenize
-        return np.array([t.id for part in _SPLIT.findall(text.lower()) for t in model(part.encode().decode("latin-1").translate(_SPELLING))], "<u4").tobytes()
+        model, spelt, found = self.tokenizer.model.tokenize, self.spelt, {}
+        # White space ends any sequence of bytes, so decoding all words at once is decoding each.
+        for word, text in zip(words, b" ".join(words).decode("utf-8", "replace").split(" ") if words else (), strict=True):
+            if text.isascii() and text.isalpha():
+                found[word] = b"".join([spelt[t.id] for t in model(text.lower())])
+            elif _SIMPLE.fullmatch(text):
+                found[word] = b"".join([spelt[t.id] for part in _SPLIT.findall(text.lower()) for t in model(part if part.isascii() else part.encode().decode("latin-1").translate(_SPELLING))])
+        return found
 
     def _plain(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         if self.simple:
-            known = {w: ids for w in words if (ids := self._simple(w)) is not None}
+            known = self._simple(words)
             return known | self._encode_joined([w for w in words if w not in known])
         return self._encode_joined(words)
 
@@ -115,24 +126,30 @@ class WordTokens:
         return found | {w: self._plain(w) for w in words if w not in found}
 
     def fill(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """A table with all of `words`."""
-        missing = [w for w in words if w not in self.new]
+        """A table of `words` alone, so small that it stays in the processor's cache while texts are looked up."""
+        missing = words.difference(self.new)
         if len(self.new) + len(missing) > self.ENTRIES:
             self.old.clear()
             self.old.update(self.new)
             self.new.clear()
-            missing = list(words)
-        again = {w: self.old[w] for w in missing if w in self.old}
-        self.new.update(again)
-        missing = [w for w in missing if w not in again]
-        # A comma or full stop after an ASCII letter is a token of its own.
-        tails = {w for w in missing if w[-1] in b".," and len(w) > 1 and (97 <= w[-2] <= 122 or 65 <= w[-2] <= 90)}
-        stems = {w[:-1] for w in tails} | {w[-1:] for w in tails}
-        plain = {w for w in missing if w not in tails} | {s for s in stems if s not in self.new}
-        self.new.update(self._encode(sorted(plain)))
-        for w in tails:
-            self.new[w] = self.new[w[:-1]] + self.new[w[-1:]]
-        return self.new
+            missing = words
+        if self.old:
+            self.new.update({w: self.old[w] for w in missing.intersection(self.old)})
+        # Marks that end a word after an ASCII letter are a part of their own; of any split, a comma or full stop.
+        plain, tails = set(), {}
+        for w in missing.difference(self.new):
+            stem = w.rstrip(self.marks)
+            if len(stem) < len(w) and stem[-1:].isalpha() and b"<|" not in w and (self.simple or len(stem) == len(w) - 1):
+                tails[w] = len(stem)
+                plain.add(stem)
+                plain.add(w[len(stem) :])
+            else:
+                plain.add(w)
+        self.new.update(self._encode(list(plain.difference(self.new))))
+        new = self.new
+        for w, n in tails.items():
+            new[w] = new[w[:n]] + new[w[n:]]
+        return {w: new[w] for w in words}
 
 
 def _tokenise(path: str, capacity: int):

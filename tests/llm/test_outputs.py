@@ -314,3 +314,16 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     import corpus_pipeline as C
 
     assert C.run(spark, pipeline_folder(spark, tmp_path, [], [])).collect() == []
+
+
+def test_words_with_marks_share_their_stem_and_a_table_holds_what_was_asked():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens = K.WordTokens(path)
+    assert K.WordTokens(path).tokenizer is tokens.tokenizer
+    words = {w.encode() for w in ("Stemword", "stemword***", "stemword,%%%", "stemword...", "don't", "rock's'", "a<|b|>", "cafés!!", "éé", "x2&&", "***", "中文.", "é.")} | {b"bad\xff\xfe,,"}
+    asked = []
+    encode, tokens._encode = tokens._encode, lambda missing: asked.extend(missing) or encode(missing)
+    table = tokens.fill(words)
+    assert set(table) == words
+    assert b"stemword***" not in asked and b"stemword,%%%" not in asked
+    assert table == {w: tokens._plain(w) for w in words}
