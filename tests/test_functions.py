@@ -1,6 +1,7 @@
 """Functions against numpy and Python, sources, masked arrays, streams."""
 
 import math
+import tracemalloc
 from datetime import date
 
 import numpy as np
@@ -237,3 +238,14 @@ def test_masked_sets_by_one_aggregation(spark):
         assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
         rows = ["nan" if r.x != r.x else r.x for r in found.collect()]
         assert len(rows) == len(want) and set(rows) == want
+
+
+def test_bessel_memory_does_not_follow_the_length():
+    x = np.linspace(-2.5, 2.5, 5000)
+    for kind, at in (("j", x), ("y", x + 3)):
+        tracemalloc.start()
+        found = E.bessel(kind, 1, at)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 10e6
+        assert np.allclose(found[::500], np.concatenate([E.bessel(kind, 1, at[k : k + 1]) for k in range(0, 5000, 500)]), rtol=1e-12, atol=1e-14)
