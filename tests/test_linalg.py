@@ -112,6 +112,18 @@ def test_leading_eigenvalues(spark, small_parts):
     assert np.allclose(values(L.eigh_leading(real(spark, np.zeros((7, 7))), 2)[0]), 0)
 
 
+def test_leading_eigenvalues_of_a_product_that_is_not_formed(spark, small_parts, monkeypatch):
+    e = RNG.normal(size=(41, 3)) * [3.0, 2.0, 1.0]
+    sizes = []
+    tiled = tiles.tiled
+    monkeypatch.setattr(tiles, "tiled", lambda df, rows, columns: sizes.append(rows * columns) or tiled(df, rows, columns))
+    a = real(spark, e)
+    w, v = (values(x) for x in L.eigh_leading((a, a.T), 3))
+    assert max(sizes) < 41 * 41
+    given = np.linalg.eigvalsh(e @ e.T)[::-1][:3]
+    assert np.allclose(w, given) and np.allclose(e @ (e.T @ v), v * w, atol=1e-7) and np.allclose(v.T @ v, np.eye(3))
+
+
 def test_large_arrays_never_meet_by_an_estimated_broadcast(spark, monkeypatch):
     """What tasks make of a small table may be large: sides of more than FEW cells meet in a shuffle, panels by their known size."""
     monkeypatch.setattr(G, "FEW", 8)
