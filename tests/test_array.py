@@ -206,6 +206,16 @@ def test_reduceat_of_axes_and_masks_without_comparing_all(spark):
     assert not re.search("NestedLoop|Cartesian|Window", found.df._jdf.queryExecution().executedPlan().toString())
 
 
+def test_reduceat_asks_each_tier_of_blocks_once(spark, monkeypatch):
+    monkeypatch.setattr(G, "FANOUT", 4)
+    x, bounds = np.arange(250.0), [0, 200, 3, 249, 17]
+    a = G.array(spark, x.tolist())
+    found = UFUNCS["add"].reduceat(G.GridArray(a.df.filter("i0 not in (18, 240)"), a.shape), bounds)
+    assert found.tolist() == np.add.reduceat(np.where(np.isin(x, [18, 240]), 0, x), bounds).tolist()
+    plan = found.df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin ", plan)) == 2  # 250 cells, 16 blocks
+
+
 def test_place_takes_values_in_turn(spark):
     x = np.arange(12.0).reshape(3, 4)
     want = x.copy()
