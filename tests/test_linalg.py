@@ -135,3 +135,23 @@ def test_large_arrays_never_meet_by_an_estimated_broadcast(spark, monkeypatch):
     panel = spark.range(2)
     plan = lambda n: panel.join(blocked._met(panel, n), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan(1000) and "strategy=merge" in plan(blocked.SENT)
+
+
+def test_cells_meet_in_pieces(spark, small_parts, monkeypatch):
+    """No list of structs is aggregated, whose tasks sort all their cells from 128 tiles or strips on; cells may come in any order."""
+    monkeypatch.setattr(tiles, "HELD", 40)
+    x = RNG.normal(size=(400, 7))
+    a = real(spark, x)
+    a.df = a.df.orderBy("x").coalesce(1)
+    u, s, vt = L.svd(a, full_matrices=False)
+    plan = ((u * s) @ vt).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "strategy=merge" not in plan
+    assert np.allclose(values((u * s) @ vt), x) and np.allclose(values(L.matmul(a, real(spark, x.T))), x @ x.T)
+    holes = x.tolist()
+    holes[13][2], holes[399] = None, [None] * 7
+    a = G.array(spark, holes)
+    a.df = a.df.orderBy("x").coalesce(1)
+    found = L.matmul(a, real(spark, np.eye(7))).tolist()
+    zeros = np.array([[0.0 if v is None else v for v in row] for row in holes])
+    assert found[399] == [None] * 7 and np.allclose(np.array(found[:399], float), zeros[:399])
+    assert np.allclose(values(L.svdvals(a)), np.linalg.svd(zeros)[1])
