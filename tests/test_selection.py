@@ -87,3 +87,21 @@ def test_large_groups_are_cut_by_values_alone(spark, monkeypatch):
 def test_partition_with_parts_in_order(spark):
     x = np.random.default_rng(5).integers(0, 9, 40).astype(float)
     assert G.array(spark, x.tolist()).partition(10, ordered=True).tolist() == np.sort(x).tolist()
+
+
+def test_only_a_cell_of_a_large_group_is_ordered(spark, monkeypatch):
+    """Whatever the rows: at most LARGE of a group for each rank, and no approximate quantiles of the whole table."""
+    monkeypatch.setattr(selection, "LARGE", 50)
+    sizes, counted = [], selection._counted
+
+    def seen(rows, keys):
+        sizes.append(rows.groupBy(*keys).count().agg(selection.F.max("count")).first()[0])
+        return counted(rows, keys)
+
+    monkeypatch.setattr(selection, "_counted", seen)
+    x = np.random.default_rng(6).uniform(900, 105000, 3000)
+    df = spark.createDataFrame([(k % 2, float(v)) for k, v in enumerate(x)], "g int, x double")
+    found = selection.quantiles(df, ["g"], "x", {"low": (0.3, "linear"), "high": (0.777, "inverted_cdf")})
+    got = {r["g"]: (r["low"], r["high"]) for r in found.collect()}
+    assert all(got[g] == pytest.approx((np.quantile(x[g::2], 0.3), np.quantile(x[g::2], 0.777, method="inverted_cdf"))) for g in (0, 1))
+    assert sizes and max(sizes) <= 50 and "approx" not in found._jdf.queryExecution().optimizedPlan().toString()
