@@ -92,6 +92,47 @@ def test_keep_one_tells_rows_of_one_id_apart(table):
     assert found == sorted([(None, text(1)), (None, text(2)), (7, text(3)), (3, text(4)), (9, None)], key=str)
 
 
+def test_shingles_of_one_set_are_not_shuffled(table, spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(200))
+    near = text(1).replace("w1x0 ", "other ")
+    rows = [(k, text(k)) for k in range(1, 40)] + [(90, near), (91, text(7)), (92, text(8))]
+    docs = table(rows).select(store.doc_key().alias("k"), "text")
+    sets = spark.createDataFrame([(k,) for k in [*range(1, 40), 90]], "rep long")
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    places = spark.sparkContext.broadcast(J.standing(sets))
+    texts = docs.select(J._slot(F.col("k")).alias("slot"), "text")
+    ranks = J.frequent_shingles(texts, 5, places)
+    batch = pa.RecordBatch.from_pylist([{"slot": r.slot, "text": r.text} for r in texts.collect()])
+    made = pa.Table.from_batches(list(J._prefixes(Held(ranks), Held(places.value), 75, 5)([batch]))).to_pydict()
+    # 196 shingles a set, 54 of them in the prefix; only 1 and 90 share any. The copies 91 and 92 make none of theirs shared.
+    assert len(set(made["a"])) == 2
+    assert 2 * J.SHARED <= len(made["a"]) <= 2 * 54
+
+
+@pytest.mark.parametrize("copies", [1, 9])
+def test_texts_are_not_shuffled_to_keep_one(table, spark, monkeypatch, copies):
+    rows = [(100 * c + k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(30) for c in range(copies)] + [(9999, "w0x0 w0x1 w0x2 w0x3 w0x4")] * (copies > 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = J.keep_one(table(rows))
+        plan = left._jdf.queryExecution().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(r.doc_id for r in left.collect()) == [*range(30)] + [9999] * (copies > 1)
+        monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+        assert sorted(r.doc_id for r in J.keep_one(table(rows)).collect()) == [*range(30)] + [9999] * (copies > 1)
+        monkeypatch.setattr(J, "BROADCAST_IDS", 0)
+        assert sorted(r.doc_id for r in J.keep_one(table(rows)).collect()) == [*range(30)] + [9999] * (copies > 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_tree_links_connect_what_all_pairs_connect():
     import numpy as np
 
