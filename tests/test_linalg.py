@@ -155,3 +155,16 @@ def test_cells_meet_in_pieces(spark, small_parts, monkeypatch):
     zeros = np.array([[0.0 if v is None else v for v in row] for row in holes])
     assert found[399] == [None] * 7 and np.allclose(np.array(found[:399], float), zeros[:399])
     assert np.allclose(values(L.svdvals(a)), np.linalg.svd(zeros)[1])
+
+
+@pytest.mark.parametrize("of", ["inv", "solve", "cholesky"])
+def test_panels_are_written_as_bytes_and_without_a_join_for_missing_tiles(spark, small_parts, monkeypatch, of):
+    plans, written = [], blocked.written
+    monkeypatch.setattr(blocked, "written", lambda df, before=None: plans.append((dict(df.dtypes), df._jdf.queryExecution().optimizedPlan().toString())) or written(df, before))
+    x = np.diag(np.arange(1.0, 18.0))
+    a = real(spark, x)
+    a.df = a.df.filter("x <> 0")  # whole tiles are missing
+    found = {"inv": lambda: L.inv(a), "solve": lambda: L.solve(a, real(spark, np.ones(17))), "cholesky": lambda: L.cholesky(a)}[of]()
+    np.testing.assert_allclose(values(found), {"inv": np.linalg.inv(x), "solve": 1 / np.diag(x), "cholesky": np.sqrt(x)}[of], atol=1e-12)
+    assert all(types["tile"] == "binary" for types, _ in plans)
+    assert "Join" not in plans[0][1]
