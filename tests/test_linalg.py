@@ -157,6 +157,17 @@ def test_cells_meet_in_pieces(spark, small_parts, monkeypatch):
     assert np.allclose(values(L.svdvals(a)), np.linalg.svd(zeros)[1])
 
 
+def test_a_tile_goes_to_blocks_of_a_product(spark, small_parts, monkeypatch):
+    sent, numbers = [], tiles._numbers
+    monkeypatch.setattr(tiles, "_numbers", lambda n: sent.append(n) or numbers(n))
+    rng = np.random.default_rng(4)
+    for rows, inner, columns, most in ((40, 23, 40, 3), (6, 12, 200, 14)):
+        a, b = rng.normal(size=(rows, inner)), rng.normal(size=(inner, columns))
+        sent.clear()
+        np.testing.assert_allclose(values(real(spark, a) @ real(spark, b)), a @ b, atol=1e-12)
+        assert max(sent) <= most  # before: every column or row of tiles, 8 and 40
+
+
 @pytest.mark.parametrize("of", ["inv", "solve", "cholesky"])
 def test_panels_are_written_as_bytes_and_without_a_join_for_missing_tiles(spark, small_parts, monkeypatch, of):
     plans, written = [], blocked.written
